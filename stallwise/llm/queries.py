@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from . import quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, and whether it is kept."""
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
+
+
+QUERIES = (op1_sharding, op10_quality_rules)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_rules": quality.ORACLE_SQL}
