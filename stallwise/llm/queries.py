@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import mixing, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*columns)
 
 
-QUERIES = (op1_sharding, op10_quality_rules)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document so that sources meet targets of 150% of all words."""
+    out = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+QUERIES = (op1_sharding, op9_mixing, op10_quality_rules)
 
 
 def queries() -> dict[str, Query]:

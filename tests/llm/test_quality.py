@@ -35,7 +35,7 @@ def base(x):
     return (x["n_words"], x["word_chars"], x["n_symbols"], x["n_dup_lines"], x["n_repeat_words"], x["base_failed"])
 
 
-PROSE = "\n".join(f"Sentence number {i} tells something new about item {i * i} and ends well here." for i in range(8))
+PROSE = "\n".join(" ".join(f"word{i}x{k}" for k in range(11)) + " end." for i in range(8))
 
 
 def test_defined_cases(spark):
