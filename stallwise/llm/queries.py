@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, packing, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
-QUERIES = (op1_sharding, op9_mixing, op10_quality_rules)
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenized, in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+QUERIES = (op1_sharding, op5_packing, op9_mixing, op10_quality_rules)
 
 
 def queries() -> dict[str, Query]:
