@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, sharding
+from . import langid, mixing, neardup, packing, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = (op1_sharding, op5_packing, op6_language_id, op9_mixing, op10_quality_rules)
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near duplicates: five-word shingles, similarity 0.85."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES = (op1_sharding, op5_packing, op6_language_id, op8_near_dedup, op9_mixing, op10_quality_rules)
 
 
 def queries() -> dict[str, Query]:
