@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, quality, sharding
+from . import langid, licenses, mixing, neardup, packing, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = (op1_sharding, op5_packing, op6_language_id, op8_near_dedup, op9_mixing, op10_quality_rules)
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases, and the licenses whose notices it quotes."""
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.drop("spans")
+
+
+QUERIES = (op1_sharding, op3_license_scan, op5_packing, op6_language_id, op8_near_dedup, op9_mixing, op10_quality_rules)
 
 
 def queries() -> dict[str, Query]:
