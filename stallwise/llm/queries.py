@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, neardup, packing, quality, sharding
+from . import fingerprints, langid, licenses, mixing, neardup, packing, quality, sharding
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,7 +58,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("spans")
 
 
-QUERIES = (op1_sharding, op3_license_scan, op5_packing, op6_language_id, op8_near_dedup, op9_mixing, op10_quality_rules)
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, and its likeness to an edited text's and the next document's."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_sharding, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op8_near_dedup, op9_mixing, op10_quality_rules)
 
 
 def queries() -> dict[str, Query]:
