@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, mixing, neardup, packing, quality, sharding
+from . import fingerprints, langid, licenses, mixing, neardup, packing, quality, sharding, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_sharding, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op8_near_dedup, op9_mixing, op10_quality_rules)
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text, by a wrapper inferred from its host's pages."""
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = (op1_sharding, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op7_html_extraction, op8_near_dedup, op9_mixing, op10_quality_rules)
 
 
 def queries() -> dict[str, Query]:
