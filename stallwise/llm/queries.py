@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, licenses, mixing, neardup, packing, quality, sharding, wrappers
+from . import archives, fingerprints, langid, licenses, mixing, neardup, packing, quality, sharding, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in ZIP packages, read back by range."""
+    out = archives.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's license phrases, and the licenses whose notices it quotes."""
     out = licenses.scan(table(spark, sf_dir, "documents"))
@@ -68,7 +74,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_sharding, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op7_html_extraction, op8_near_dedup, op9_mixing, op10_quality_rules)
+QUERIES = (op1_sharding, op2_zip_archives, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op7_html_extraction, op8_near_dedup, op9_mixing, op10_quality_rules)
 
 
 def queries() -> dict[str, Query]:
@@ -76,4 +82,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.ORACLE_SQL}
+    return {"op2_zip_archives": archives.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL}
