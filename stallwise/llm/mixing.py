@@ -110,33 +110,34 @@ def mix(
     weights: tuple[float, ...] = (5, 2, 1),
     share: float = 1.5,
     cap: int = 2,
-    salt: int = 65_536,
+    bands: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    whole: bool = False,
 ) -> DataFrame:
     """Whole copies of every document so that sources meet their target sizes.
 
-    Returns ``doc_id, source, size, source_size, target, rate, copies, taken`` for every row;
-    ``size`` is the text's words unless given, ``taken`` is copies times size.  Copies are the
-    rate rounded up or down for cells of equally large documents of a source: a cell's
-    copies carry the error of the larger cells before it, so a source's total misses its
-    target by about half its smallest documents.  Within a cell, a hash of the id says
-    which documents get the copy more; reruns agree.
+    Returns ``doc_id, source, size, source_size, target, rate, copies, taken`` for every row, and with
+    ``whole`` the row itself as a struct ``document``; ``size`` is the text's words unless
+    given, ``taken`` is copies times size.  Copies are the rate rounded up or down for cells of
+    equally large documents of a source: a cell's copies carry the error of the larger cells
+    before it, so a source's total misses its target by about half its smallest
+    documents.  Within a cell, a hash of the id says which documents get the copy more; reruns agree.
 
     Defined cases: a null text has size 0; size 0 documents are taken once and add
     nothing; a null source is a source of its own; repeated rows are documents of their own;
     an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (words(F.col(text_col)) if size is None else size).cast("long").alias("size")
-    ).withColumn("h", F.xxhash64("doc_id", "source", "size"))
-    rows = cut(rows)
-    # A cell's documents fall in fixed bands by hash, so that a cell of any size can be ranked in parts.
-    rows = rows.withColumn("band", F.pmod(F.shiftrightunsigned("h", 17), F.lit(salt)).cast("int"))
-    banded = rows.groupBy("source", "size", "band").agg(F.count("*").alias("k"))
-    cells = cut(banded.groupBy("source", "size").agg(F.sum("k").alias("n")))
+    size = (words(F.col(text_col)) if size is None else size).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("s"), size.alias("z"), *[F.struct("*").alias("document")] * whole)
+    # A cell's documents fall in fixed bands by hash, so that a cell of any size can be joined and ranked in parts.
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "s", "z")).withColumn("b", F.pmod(F.shiftrightunsigned("h", 17), F.lit(bands)).cast("int"))
+    if not whole:
+        rows = cut(rows)
+    counted = rows.groupBy(F.col("s").alias("source"), F.col("z").alias("size"), F.col("b").alias("band")).agg(F.count("*").alias("k"))
+    counted = cut(counted) if whole else counted
+    cells = cut(counted.groupBy("source", "size").agg(F.sum("k").alias("n")))
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = cut(targets(totals, weights, share, cap))
     found = solve(cells, goals, cap)
@@ -145,18 +146,15 @@ def mix(
     )
     rated = cells.withColumnRenamed("source", "s").join(found, F.equal_null(F.col("s"), F.col("source"))).drop("s")
     rated = rated.withColumn("rate", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(rate))
-    copies = cut(_rounded(rated, cap))
-
-    # Cells whose documents all get equally many copies need no rank; in the others, documents with the smallest hashes get one more.
-    out = rows.withColumnRenamed("source", "s").withColumnRenamed("size", "z").join(
-        copies, F.equal_null(F.col("s"), F.col("source")) & (F.col("z") == F.col("size"))
-    ).drop("s", "z")
-    even = out.filter(F.col("extra") == 0).withColumn("copies", F.col("base"))
-    uneven = out.filter(F.col("extra") > 0)
-    chosen = _extra(uneven, banded, copies)
-    columns = ["doc_id", "source", "size", "source_size", "target", "rate", "copies"]
-    result = even.select(*columns).unionByName(chosen.select(*columns))
-    return result.withColumn("taken", F.col("copies") * F.col("size"))
+    quotas = cut(_quotas(counted, _rounded(rated, cap)))
+    # Joined by band, so that the documents of one large cell spread over tasks.
+    out = rows.join(quotas, F.equal_null("s", "source") & (F.col("z") == F.col("size")) & (F.col("b") == F.col("band")))
+    even = out.filter((F.col("quota") == 0) | (F.col("quota") == F.col("k"))).withColumn("more", F.col("quota") > 0)
+    ranked = F.row_number().over(Window.partitionBy("source", "size", "band").orderBy("h", "doc_id"))
+    part = out.filter((F.col("quota") > 0) & (F.col("quota") < F.col("k"))).withColumn("more", ranked <= F.col("quota"))
+    result = even.unionByName(part).withColumn("copies", F.col("base") + F.col("more").cast("long"))
+    result = result.withColumn("taken", F.col("copies") * F.col("size"))
+    return result.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", *["document"] * whole)
 
 
 def _rounded(rated: DataFrame, cap: int) -> DataFrame:
@@ -190,22 +188,13 @@ def _rounded(rated: DataFrame, cap: int) -> DataFrame:
     return rated.groupBy("source").applyInPandas(carry, schema)
 
 
-def _extra(uneven: DataFrame, banded: DataFrame, copies: DataFrame) -> DataFrame:
-    """Copies in cells where some documents get one more: those first by band, then by hash.
+def _quotas(banded: DataFrame, copies: DataFrame) -> DataFrame:
+    """``copies`` for each band of each cell, with ``k`` documents of which ``quota`` get one copy more.
 
-    Whole bands before the deciding one get it, whole bands after it don't; only
-    the deciding band of each cell is ranked.  A band with many documents arises only from equal
-    hashes, whose rows are interchangeable.
+    Whole bands before a cell's deciding one get it, whole bands after it don't; only
+    the deciding band's documents need a rank.  A cell has at most as many rows here as there are bands.
     """
-    cell = Window.partitionBy("cs", "cz").orderBy("band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bands = banded.select(F.col("source").alias("cs"), F.col("size").alias("cz"), "band", "k").join(
-        copies.filter(F.col("extra") > 0).select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("extra").alias("e2")),
-        F.equal_null("cs", "s2") & (F.col("cz") == F.col("z2")),
-    ).withColumn("upto", F.sum("k").over(cell)).withColumn("quota", F.greatest(F.lit(0), F.least(F.col("k"), F.col("e2") - F.col("upto") + F.col("k"))))
-    bands = bands.select("cs", "cz", F.col("band").alias("cb"), "k", "quota")
-    at = uneven.join(bands, F.equal_null(F.col("source"), F.col("cs")) & (F.col("size") == F.col("cz")) & (F.col("band") == F.col("cb")))
-    whole = at.filter((F.col("quota") == 0) | (F.col("quota") == F.col("k"))).withColumn("copies", F.col("base") + (F.col("quota") > 0).cast("long"))
-    ranked = Window.partitionBy("source", "size", "band").orderBy("h", "doc_id")
-    part = at.filter((F.col("quota") > 0) & (F.col("quota") < F.col("k"))).withColumn("r", F.row_number().over(ranked))
-    part = part.withColumn("copies", F.col("base") + (F.col("r") <= F.col("quota")).cast("long")).drop("r")
-    return whole.unionByName(part)
+    cells = copies.withColumnsRenamed({"source": "s", "size": "z"})
+    at = banded.join(cells, F.equal_null(F.col("source"), F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    upto = F.sum("k").over(Window.partitionBy("source", "size").orderBy("band").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return at.withColumn("quota", F.greatest(F.lit(0), F.least(F.col("k"), F.col("extra") - upto + F.col("k"))))

@@ -68,9 +68,9 @@ def test_rates_are_exponential_in_size(spark):
 
 def test_reruns_agree_and_hot_cells(spark):
     rows = [(i, "a b c", "x", 0) for i in range(300)] + [(i, "d " * 50, "y", 0) for i in range(300, 310)] + [(5, "a b c", "z", 0)] * 40
-    one = mixed(spark, rows, salt=4)
+    one = mixed(spark, rows, bands=4)
     key = lambda x: sorted(map(repr, x))
-    assert key(one) == key(mixed(spark, rows, salt=4))
+    assert key(one) == key(mixed(spark, rows, bands=4))
     sizes = {"x": 900, "y": 500, "z": 120}
     want = brute_targets(sizes)
     for s in sizes:
@@ -88,3 +88,11 @@ def test_word_counts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [x[0] for x in df.select(mixing.words(df["t"])).collect()]
     assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_whole_documents(spark):
+    rows = [(i, "w " * (i % 5), "a" if i % 2 else None, i) for i in range(60)] + [(3, "w w w", "a", 3)] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    out = mixing.mix(docs, whole=True).collect()
+    assert sorted(map(repr, (tuple(x["document"]) for x in out))) == sorted(map(repr, rows))
+    assert all(x["size"] == len(x["document"]["text"].split()) for x in out)
