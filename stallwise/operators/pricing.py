@@ -85,7 +85,7 @@ def reference_prices(ads: DataFrame, retail: DataFrame) -> DataFrame:
     price = F.when(usable & by_retail, F.col("retail_price")).when(usable & by_market, F.col("market_price"))
     ratio = F.round(F.col("price_mkd") / price, 4)
     return out.select(
-        "ad_url", F.round(price, 2).alias("reference_new_price_mkd"), F.when(usable & by_retail, F.col("retail_n")).when(usable & by_market, F.col("market_n")).alias("reference_sample_size"),
+        "ad_url", F.round(price.cast("decimal(20,6)"), 2).cast("double").alias("reference_new_price_mkd"), F.when(usable & by_retail, F.col("retail_n")).when(usable & by_market, F.col("market_n")).alias("reference_sample_size"),
         F.when(usable & by_retail, "retail").when(usable & by_market, "marketplace").alias("reference_source"), ratio.alias("price_vs_new_ratio"),
         is_deal(ratio, F.col("condition")).alias("good_price_deal"),
     )
