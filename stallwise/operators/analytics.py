@@ -63,9 +63,9 @@ def trimmed(rows: DataFrame, key: str, value: str) -> DataFrame:
     fewer than three values inside, all count.  Values are first counted by (key, value), so
     a key's window sorts its distinct values, not its rows.
     """
-    cells = rows.groupBy(key, value).agg(F.count("*").alias("k"))
+    cells = rows.groupBy(key, value).agg(F.count("*").alias("rows_"))
     w = Window.partitionBy(key)
-    cells = cells.withColumns({"n": F.sum("k").over(w), "upto": F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
+    cells = cells.withColumns({"n": F.sum("rows_").over(w), "upto": F.sum("rows_").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
     first, third = F.greatest(F.lit(1), F.floor(F.col("n") / 4)), F.least(F.col("n"), F.floor(3 * F.col("n") / 4) + 1)
     cells = cells.withColumns({
         "q1": F.min(F.when(F.col("upto") >= first, F.col(value))).over(w),
@@ -73,19 +73,19 @@ def trimmed(rows: DataFrame, key: str, value: str) -> DataFrame:
     })
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     cells = cells.withColumn("inside", F.col(value).between(F.col("q1") - spread, F.col("q3") + spread))
-    cells = cells.withColumn("some", F.sum(F.when(F.col("inside"), F.col("k")).otherwise(0)).over(w) >= 3)
-    used = cells.withColumn("k", F.when(F.col("inside") | ~F.col("some"), F.col("k")).otherwise(0)).withColumn("before", F.coalesce(F.sum("k").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    used = used.withColumn("m", F.sum("k").over(w))
+    cells = cells.withColumn("some", F.sum(F.when(F.col("inside"), F.col("rows_")).otherwise(0)).over(w) >= 3)
+    used = cells.withColumn("rows_", F.when(F.col("inside") | ~F.col("some"), F.col("rows_")).otherwise(0)).withColumn("before", F.coalesce(F.sum("rows_").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    used = used.withColumn("m", F.sum("rows_").over(w))
     # The middle places of the used values; one value, or the mean of two.
     low, high = F.floor((F.col("m") - 1) / 2), F.floor(F.col("m") / 2)
 
     def at(place: Column) -> Column:
-        return F.max(F.when((F.col("before") <= place) & (F.col("before") + F.col("k") > place), F.col(value)))
+        return F.max(F.when((F.col("before") <= place) & (F.col("before") + F.col("rows_") > place), F.col(value)))
 
-    live = F.col("k") > 0
+    live = F.col("rows_") > 0
     return used.groupBy(key).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.first("m").alias("m"),
-        (F.sum(F.col(value).cast("decimal(28,6)") * F.col("k")) / F.sum("k")).cast("double").alias("avg"),
+        (F.sum(F.col(value).cast("decimal(28,6)") * F.col("rows_")) / F.sum("rows_")).cast("double").alias("avg"),
         F.min(F.when(live, F.col(value))).alias("least"), F.max(F.when(live, F.col(value))).alias("greatest"), ((at(low) + at(high)) / 2).alias("median"),
     )
 
