@@ -56,15 +56,15 @@ def read_retail(responses: DataFrame, source: str, base_url: str, column: str =
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _HREF = re.compile(r"href\s*=\s*[\"']?([^\"'\s>]+)", re.I)
-_NUMBER = re.compile(r"\d+(?:\.\d+)*")
+_NUMBER = re.compile(r"(?<!\d)\d{1,3}(?:[. ]\d{3})+(?!\d)|\d+")
 # Words from which on a card's text is about its price, and the longest title.
 _PRICE_TAIL = re.compile(r"\s*(?:редовна цена|клуб цена|цена)\b.*$|\s*\d[\d.,]*\s*(?:ден|мкд|mkd|eur|€)\.?.*$", re.I)
 LONGEST_TITLE, LEAST_PRICE = 140, 100
 
 
 def card_price(text: str) -> float | None:
-    """The least number from 100 on in a text whose commas are dropped; dots group thousands."""
-    found = [float(n.replace(".", "")) for n in _NUMBER.findall(text.replace(",", ""))]
+    """The least number from 100 on in a text whose commas are dropped; dots and blanks group thousands."""
+    found = [float(re.sub("[. ]", "", n)) for n in _NUMBER.findall(text.replace(",", ""))]
     return min((n for n in found if n >= LEAST_PRICE), default=None)
 
 

@@ -129,10 +129,10 @@ def test_title_similarity(spark):
 
 
 def test_cards():
-    page = """<ul><li><a href="/p/1"><img src=x>Samsung Galaxy S23 128GB 24.999 ден</a></li><li><a href="/p/1">again 500</a></li><li><a href="/about">About</a></li>
+    page = """<ul><li><a href="/p/1"><img src=x>Samsung Galaxy S23 64GB 24.999 ден</a></li><li><a href="/p/1">again 500</a></li><li><a href="/about">About</a></li>
     <li><a href="https://other.example/x">Foreign 999</a></li><li><a href="/p/2">Phone 32.999 28.500</a></li></ul>"""
     got = sources.cards(page, "https://shop.example/list", "shop.example")
-    assert [(c["source_url"], c["title"], c["price"]) for c in got] == [("https://shop.example/p/1", "Samsung Galaxy S23 128GB", 24999.0), ("https://shop.example/p/2", "Phone 32.999 28.500", 28500.0)]
+    assert [(c["source_url"], c["title"], c["price"]) for c in got] == [("https://shop.example/p/1", "Samsung Galaxy S23 64GB", 24999.0), ("https://shop.example/p/2", "Phone 32.999 28.500", 28500.0)]
     assert sources.card_price("Гаранција 24 месеци, испорака за 3 дена") is None and sources.card_title("iPhone 15 Pro Редовна цена 89.999") == "iPhone 15 Pro"
     assert sources.card_brand("Lenovo ThinkPad T14") == "LENOVO" and sources.card_brand("") is None
 
