@@ -6,9 +6,10 @@
    propose pairs.  A linked pair shares at least ``least_shared`` of its sketch values (but for a chance
    below 1e-7), so it shares one among each side's rarest ``k - least_shared + 1``; only those
    enter the lists, and a passage that thousands of texts share does not.
-3. Every list first pairs its members with one hub.  What that links is contracted,
-   and only members of different components are paired after it, within
-   compatible sizes.  A group of near copies so costs its size, not its square.
+3. Every list first pairs its members with one hub, the member whose values most others
+   hold.  What that links is contracted.  In lists of up to ``crowd`` members, those of
+   different components are then paired, within compatible sizes; in longer ones, those
+   that differ alike from the hub.  A group of near copies so costs about its size, not its square.
 4. Sketches of the union estimate each pair's similarity, and pairs that pass are
    verified on their full sets.
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, written
@@ -80,17 +81,21 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def rarest(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The inverted lists: ``value, class, n`` for each class's rarest sketch values that another class has too."""
+    """The inverted lists: ``value, class, n, weight`` for each class's rarest sketch values that another class has too.
+
+    The weight is how many classes hold the class's values, summed: the text that a group's
+    members are copies of has the values that most of them kept, so it weighs most.
+    """
     n, held = F.col("n"), F.least(F.col("n"), F.lit(k))
     # Sets this small pair only with sets that their sketches hold whole, so the bound is exact.
     whole = n * 100 <= k * percent
     prefix = F.when(whole, n - F.ceil(n * percent / 100) + 1).otherwise(held - least_shared(k, percent) + 1)
     values = classes.select("class", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = values.join(common, "value").groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "value"))).alias("vs"))
+    shared = values.join(common, "value").groupBy("class").agg(F.first("n").alias("n"), F.sum("c").alias("weight"), F.sort_array(F.collect_list(F.struct("c", "value"))).alias("vs"))
     # Values that no other class has are the rarest of all and use up the prefix first.
     take = F.greatest(F.lit(0), prefix - held + F.size("vs")).cast("int")
-    return shared.select("class", "n", F.explode(F.slice("vs", F.lit(1), take)).alias("x")).select(F.col("x.value").alias("value"), "class", "n")
+    return shared.select("class", "n", "weight", F.explode(F.slice("vs", F.lit(1), take)).alias("x")).select(F.col("x.value").alias("value"), "class", "n", "weight")
 
 
 def _fits(n: str, m: str, percent: int) -> Column:
@@ -98,11 +103,18 @@ def _fits(n: str, m: str, percent: int) -> Column:
     return F.least(F.col(n), F.col(m)) * 100 >= F.greatest(F.col(n), F.col(m)) * percent
 
 
+def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members are in different components so far, with each member's ``root``."""
+    at = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = at.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("value")
+    return at.join(mixed, "value", "left_semi")
+
+
 def hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each list's members with its hub, ``a, b``."""
-    hubs = lists.groupBy("value").agg(F.min(F.struct(F.col("class").alias("a"), F.col("n").alias("m"))).alias("hub"))
-    pairs = lists.join(hubs, "value").select(F.col("hub.a").alias("a"), F.col("class").alias("b"), "n", F.col("hub.m").alias("m"))
-    return pairs.filter((F.col("a") != F.col("b")) & _fits("n", "m", percent)).select("a", "b").distinct()
+    """Each list's members with its hub, its weightiest member, ``a < b``."""
+    hubs = lists.groupBy("value").agg(F.max(F.struct("weight", F.col("class").alias("a"), F.col("n").alias("m"))).alias("hub"))
+    pairs = lists.join(hubs, "value").filter((F.col("hub.a") != F.col("class")) & _fits("n", "hub.m", percent))
+    return pairs.select(F.least("hub.a", "class").alias("a"), F.greatest("hub.a", "class").alias("b")).distinct()
 
 
 def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -111,10 +123,8 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     Sizes fall in bands as wide as the similarity allows, so a member meets only its own
     and one neighbouring band.
     """
-    at = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = at.groupBy("value").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("value")
     band = F.floor(F.log("n") / (-math.log(percent / 100) * 1.0001))
-    at = at.join(mixed, "value", "left_semi").withColumn("band", band)
+    at = _apart(lists, roots).withColumn("band", band)
     other = at.select("value", F.col("class").alias("c2"), F.col("n").alias("m"), F.col("root").alias("root2"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), (F.col("band")).alias("own"))
     pairs = at.join(other, ["value", "band"]).filter(
         (F.col("root") != F.col("root2")) & _fits("n", "m", percent) & ((F.col("own") != F.col("band")) | (F.col("class") < F.col("c2")))
@@ -156,17 +166,67 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Dat
     return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(kept, "a binary, b binary, sure boolean")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, width: int) -> DataFrame:
-    """The links ``a, b`` among the pairs, confirmed on the full sets of one text of each class."""
-    likely = cut(estimated(pairs, classes, k, percent))
-    unsure = likely.filter(~F.col("sure"))
-    wanted = cut(unsure.select(F.col("a").alias("class")).union(unsure.select("b")).distinct())
+def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``class, hashes``: the full sets of some classes, from one text of each."""
+    wanted = cut(wanted.select("class").distinct())
     ids = wanted.join(classes, "class").select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.alias("d").join(ids.alias("i"), F.equal_null(F.col("d.doc_id"), F.col("i.doc_id")), "left_semi")
     sets = full_sets(texts, width).join(wanted, "class", "left_semi")
-    sets = written(sets.groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
+    return written(sets.groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
+
+
+def crowd_pairs(lists: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs ``a < b`` that may be linked among the members of long lists, found by how they differ from a hub.
+
+    With D(x) the hashes by which x and the hub differ, x and y differ by at least
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  Being linked bounds that from above by c (|x| + |y|), and x not
+    linked with the hub has |D(x)| > c (|x| + |hub|), so together they share more than (1 - c) / 2 of D(y).
+    Members that are not linked with the hub are therefore looked for among each other, and among the
+    linked ones, by the rarest part of those differences; copies of one text differ from
+    it each in their own way, so hardly any pair comes up that isn't linked.
+    """
+    c = (100 - percent) / (100 + percent)
+    hubs = lists.groupBy("value").agg(F.max(F.struct("weight", F.col("class").alias("hub"))).alias("best")).select("value", "best.hub")
+    members = cut(lists.join(hubs, "value").filter("class <> hub").select("hub", "class").distinct())
+    sets = sets_of(members.select("class").union(members.select(F.col("hub"))), classes, docs, width)
+    joined = members.join(sets, "class").join(sets.select(F.col("class").alias("hub"), F.col("hashes").alias("h")), "hub")
+
+    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 200):
+                part = batch.slice(k, 200)
+                loose, found = [], []
+                for x, y in zip(part["hashes"], part["h"]):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    d = np.setxor1d(x, y, assume_unique=True)
+                    both = (len(x) + len(y) - len(d)) // 2
+                    loose.append(100 * both < percent * (len(x) + len(y) - both))
+                    found.append(d.view(np.int64))
+                lists_ = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part["hub"], part["class"], pa.array(loose), lists_], names=["hub", "class", "loose", "d"])
+
+    differ = joined.select("hub", "class", "hashes", "h").mapInArrow(differing, "hub binary, class binary, loose boolean, d array<long>")
+    each = written(differ.select("hub", "class", "loose", F.size("d").alias("size"), F.explode("d").alias("d")), "differences")
+    common = each.groupBy("hub", "d").agg(F.count("*").alias("c")).filter("c > 1")
+    at = each.join(common, ["hub", "d"])
+    order = Window.partitionBy("hub", "class").orderBy("c", "d")
+    at = at.withColumns({"place": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("hub", "class"))})
+    # Differences that no other member has come first in the order and use up the prefix.
+    near = F.col("place") <= F.col("size") - F.floor(F.lit((1 - c) / 2) * F.col("size")) - (F.col("size") - F.col("shared"))
+    at = at.select("hub", "d", "class", "loose", near.alias("near"))
+    left = at.filter("loose")
+    right = at.filter("near").select("hub", "d", F.col("class").alias("other"), F.col("loose").alias("loose2"))
+    pairs = left.join(right, ["hub", "d"]).filter((F.col("class") != F.col("other")) & (~F.col("loose2") | (F.col("near") & (F.col("class") < F.col("other")))))
+    return pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, width: int) -> DataFrame:
+    """The links ``a, b`` among the pairs, confirmed on the full sets of one text of each class."""
+    likely = cut(estimated(pairs, classes, k, percent))
+    unsure = likely.filter(~F.col("sure"))
+    sets = sets_of(unsure.select(F.col("a").alias("class")).union(unsure.select("b")), classes, docs, width)
 
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +244,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
     return cut(joined.mapInArrow(confirmed, "a binary, b binary").union(likely.filter("sure").select("a", "b")))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int = 5, crowd: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's group: ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs of other than white space with A-Z in lower case.  Two texts are linked when the
@@ -205,10 +265,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int
     first = cut(hub_pairs(lists, percent))
     links = verified(first, classes, docs, k, percent, width)
     roots = cut(components(links))
-    second = cross_pairs(lists, roots, percent).join(
-        first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
-    )
-    more = verified(cut(second), classes, docs, k, percent, width)
+    # What is left: short lists pair their members, long ones those that differ alike from the hub.
+    left = written(_apart(lists, roots).drop("root"), "apart")
+    lengths = left.groupBy("value").agg(F.count("*").alias("length"))
+    short = left.join(lengths.filter(F.col("length") <= crowd), "value", "left_semi")
+    long_ = left.join(lengths.filter(F.col("length") > crowd), "value", "left_semi")
+    pairs = cross_pairs(short, roots, percent).union(crowd_pairs(long_, classes, docs, percent, width)).distinct()
+    more = verified(cut(pairs.join(first, ["a", "b"], "left_anti")), classes, docs, k, percent, width)
     if not more.isEmpty():
         roots = cut(components(links.union(more)))
     member = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

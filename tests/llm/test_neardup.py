@@ -61,9 +61,9 @@ def test_near_copies_shared_passages_and_chains(spark):
     passage = [word() for _ in range(60)]
     rows = []
     base = [word() for _ in range(200)]
-    for i in range(120):  # near copies of one text, all different
+    for i in range(120):  # near copies of one text, all different, some of them near the threshold
         t = list(base)
-        for _ in range(2):
+        for _ in range(1 + i % 5):
             t[r.randrange(200)] = word()
         rows.append((i, " ".join(t)))
     for i in range(200, 320):  # one passage in otherwise different texts, of which it is a half
@@ -75,7 +75,9 @@ def test_near_copies_shared_passages_and_chains(spark):
     for i in range(500, 560):  # short texts, a word apart
         rows.append((i, " ".join([*base[:12], word()][r.randrange(2) :])))
     r.shuffle(rows)
-    assert found(spark, rows) == sorted(brute(rows), key=repr)
+    want = sorted(brute(rows), key=repr)
+    assert found(spark, rows) == want
+    assert found(spark, rows, crowd=1) == want  # all by their differences from hubs
 
 
 def test_defined_cases(spark):
