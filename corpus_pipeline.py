@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that fail the quality rules, and documents that fail or lose too much; n_chars follows the text."""
-    kept = quality.judge(docs.select(*COLUMNS)).filter("kept")
+    kept = quality.accepted(docs.select(*COLUMNS))
     return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -134,6 +134,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return at.drop(t, words, lines, windows, kept_lines, full)
 
 
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, with its columns.
+
+    The row number keeps the optimizer from pushing the verdict below the columns that it is
+    made of, which would write each of their expressions out again wherever it is used.
+    """
+    at = judge(docs, id_col, text_col)
+    number = fresh(at.columns, "row_")
+    return at.withColumn(number, F.monotonically_increasing_id()).filter(F.col("kept") & (F.col(number) >= 0)).drop(number)
+
+
 ORACLE_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t,
