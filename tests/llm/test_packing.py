@@ -12,7 +12,7 @@ from stallwise.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-ENCODER = packing.Encoder(PATH, cached=50)
+ENCODER = packing.Encoder(PATH, cached=50, block=64)
 
 
 def ids_of(text):
