@@ -74,3 +74,8 @@ def test_random_texts(spark):
     collect()
     out = judged(spark, texts)
     assert [base(out[i]) for i in range(len(texts))] == [brute(t) for t in texts]
+
+
+def test_accepted_rows(spark):
+    docs = spark.createDataFrame([(0, None), (1, PROSE), (2, "short"), (1, PROSE)], "doc_id long, text string")
+    assert [(x["doc_id"], x["clean_text"]) for x in quality.accepted(docs).collect()] == [(1, PROSE)] * 2
