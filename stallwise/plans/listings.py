@@ -287,6 +287,12 @@ def knn_top1_dup(spark, d):
     return similarity.nearest_in_block(table(spark, d, "embeddings"), "label", 0.6)
 
 
+@register("knn_top1_dup_all", f"""WITH s AS (SELECT a.vec_id, b.vec_id AS other, round(1 - {COSINE}, 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id)
+  SELECT vec_id, other AS duplicate_of, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS p FROM s WHERE distance <= 0.6) WHERE p = 1""")
+def knn_top1_dup_all(spark, d):
+    return similarity.nearest_earlier(table(spark, d, "embeddings"), 0.6)
+
+
 @register("reference_price", f"""WITH {ADS_SQL}, rows AS (SELECT *, lower(trim(brand)) AS bk, lower(trim(model)) AS mk FROM ads WHERE ad_type = 'product' AND brand IS NOT NULL AND price_mkd IS NOT NULL),
   rt AS (SELECT lower(trim(p_brand)) AS bk, lower(trim(p_name)) AS mk, min(p_retailprice) * 61.5 AS rp, CAST(count(*) AS INT) AS rn FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2),
   mp AS (SELECT bk, mk, median(price_mkd) AS mp, CAST(count(*) AS INT) AS mn FROM rows WHERE condition = 'New' AND price_mkd >= 1500 GROUP BY 1, 2 HAVING count(*) >= 2),

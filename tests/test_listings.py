@@ -128,6 +128,23 @@ def test_title_similarity(spark):
     assert got[0]["similarity_score"] == pytest.approx(score, abs=1e-4)
 
 
+def test_nearest_earlier_of_all_rows(spark):
+    spread = [[math.cos(i * 0.7), math.sin(i * 0.7), 0.1 * (i % 7)] for i in range(60)]
+    rows = [(i, [float(x) for x in v], i % 5) for i, v in enumerate(spread)]
+    rows += [(60, [0.0, 0.0, 0.0], 0), (61, None, 0), (62, [1.0, None, 0.0], 0), (63, [1.0, 0.0], 0), (64, rows[3][1], 9), (65, rows[3][1], 8), (None, [1.0, 0.0, 0.0], 0), (66, [2.0, 0.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = set()
+    whole = [(i, v) for i, v, _ in rows if i is not None and v and None not in v and any(v)]
+    for i, v in whole:
+        near = [(round(1 - sum(x * y for x, y in zip(v, w)) / math.sqrt(sum(x * x for x in v) * sum(x * x for x in w)), 6) + 0.0, j) for j, w in whole if j < i and len(w) == len(v)]
+        if near and min(near)[0] <= 0.05:
+            want.add((i, min(near)[1], min(near)[0]))
+    assert {(64, 3, 0.0), (65, 3, 0.0), (66, 63, 0.0)} <= want
+    for size in (7, 2048):  # blocks don't change the result
+        got = [tuple(x) for x in similarity.nearest_earlier(df.repartition(3), 0.05, size=size).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_cards():
     page = """<ul><li><a href="/p/1"><img src=x>Samsung Galaxy S23 64GB 24.999 ден</a></li><li><a href="/p/1">again 500</a></li><li><a href="/about">About</a></li>
     <li><a href="https://other.example/x">Foreign 999</a></li><li><a href="/p/2">Phone 32.999 28.500</a></li></ul>"""
