@@ -14,6 +14,7 @@ its host's wrapper and gives up the texts in those places.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -156,21 +157,47 @@ def _past(page: str, position: int, tag: str) -> int:
     return end.end() if end else position
 
 
-# A wrapper's item is a list: [key, least, most, pages, constant or None, characters, linked, children].
+# A wrapper's item is a list: [key, least, most, pages, constant or None, characters, linked, children, seen].
 # least and most are 0 or 1 and 1 or 2 (repeated); texts have the key "#text" and no children.
-KEY, LEAST, MOST, PAGES, CONSTANT, CHARS, LINKED, CHILDREN = range(8)
+# seen has the least signatures of the pages with the item, and pages is their number, EVIDENCE at most:
+# copies of a page have one signature, so they count once wherever they are read and merged.
+KEY, LEAST, MOST, PAGES, CONSTANT, CHARS, LINKED, CHILDREN, SEEN = range(9)
 TEXT = "#text"
+#: A text that is the same on so many different pages is a constant of its host.
+EVIDENCE = 3
 
 
-def _item(node) -> list:
+def _signature(tree: Block) -> int:
+    """48 bits of a page's blocks and texts; what doesn't show isn't in it."""
+    parts = []
+
+    def walk(block: Block) -> None:
+        for child in block.children:
+            if isinstance(child, tuple):
+                parts.append(child[0])
+            else:
+                parts.append(f"<{child.label}")
+                walk(child)
+                parts.append(">")
+
+    walk(tree)
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=6).digest())
+
+
+def _item(node, page: int) -> list:
+    """The item of a block or text of the page with this signature."""
     if isinstance(node, tuple):
         text, links = node
-        return [TEXT, 1, 1, 1, text if len(text) <= 80 else f"#{zlib.crc32(text.encode('utf-8', 'surrogatepass'))}:{len(text)}", len(text), links, []]
-    return [node.label, 1, 1, 1, None, 0, 0, fold([_item(c) for c in node.children])]
+        return [TEXT, 1, 1, 1, text if len(text) <= 80 else f"#{zlib.crc32(text.encode('utf-8', 'surrogatepass'))}:{len(text)}", len(text), links, [], [page]]
+    return [node.label, 1, 1, 1, None, 0, 0, fold([_item(c, page) for c in node.children]), [page]]
+
+
+def _page(tree: Block) -> list:
+    return _item(tree, _signature(tree))
 
 
-def _merge(a: list, b: list, pages: int, within: bool = False) -> list:
-    """One item for two of the same key, seen on ``pages`` pages.
+def _merge(a: list, b: list, within: bool = False) -> list:
+    """One item for two of the same key.
 
     Texts of different pages stay constant if they are equal; those of neighbours
     ``within`` the same pages, if each is, as the run of both.
@@ -180,7 +207,8 @@ def _merge(a: list, b: list, pages: int, within: bool = False) -> list:
         constant = f"#{zlib.crc32(f'{x}|{y}'.encode('utf-8', 'surrogatepass'))}"
     else:
         constant = x if x == y and not within else None
-    out = [a[KEY], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), pages, constant, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], []]
+    seen = a[SEEN] if a[SEEN] == b[SEEN] else sorted({*a[SEEN], *b[SEEN]})[:EVIDENCE]
+    out = [a[KEY], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), len(seen), constant, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], [], seen]
     out[CHILDREN] = fold(align(a[CHILDREN], b[CHILDREN], within))
     return out
 
@@ -212,7 +240,7 @@ def _fold(items: list[list], look) -> list[list]:
             if looks[-period:] == looks[-2 * period : -period] and len(set(looks[-period:])) == period:
                 for k in range(period):
                     old, new = out[k - 2 * period], out[k - period]
-                    merged = _merge(old, new, max(old[PAGES], new[PAGES]), True)
+                    merged = _merge(old, new, True)
                     merged[MOST] = 2
                     out[k - 2 * period] = merged
                 del out[-period:], looks[-period:]
@@ -223,12 +251,8 @@ def _fold(items: list[list], look) -> list[list]:
 def align(a: list[list], b: list[list], within: bool = False) -> list[list]:
     """The items of two sequences, aligned by a longest common subsequence of keys; the rest become optional."""
     n, m = len(a), len(b)
-
-    def pages(x: list, y: list) -> int:
-        return max(x[PAGES], y[PAGES]) if within else x[PAGES] + y[PAGES]
-
     if [x[KEY] for x in a] == [x[KEY] for x in b]:
-        return [_merge(x, y, pages(x, y), within) for x, y in zip(a, b)]
+        return [_merge(x, y, within) for x, y in zip(a, b)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         row, below, key = best[i], best[i + 1], a[i][KEY]
@@ -237,7 +261,7 @@ def align(a: list[list], b: list[list], within: bool = False) -> list[list]:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][KEY] == b[j][KEY]:
-            out.append(_merge(a[i], b[j], pages(a[i], b[j]), within))
+            out.append(_merge(a[i], b[j], within))
             i, j = i + 1, j + 1
         elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([a[i][KEY], 0, *a[i][2:]])
@@ -249,24 +273,24 @@ def align(a: list[list], b: list[list], within: bool = False) -> list[list]:
 
 
 def infer(trees: Iterator[Block]) -> list | None:
-    """The wrapper of some pages; pages that are the same throughout count once in a row."""
+    """The wrapper of some pages; pages that are the same throughout are merged once in a row."""
     wrapper, last = None, None
     for tree in trees:
-        item = _item(tree)
+        item = _page(tree)
         if wrapper is None:
             wrapper = item
         elif item != last:
-            wrapper = _merge(wrapper, item, wrapper[PAGES] + 1)
+            wrapper = _merge(wrapper, item)
         last = item
     return wrapper
 
 
-def mark(item: list, aside: bool = False, in_main: bool = False, least_pages: int = 3) -> dict:
+def mark(item: list, aside: bool = False, in_main: bool = False, least_pages: int = EVIDENCE) -> dict:
     """Which of a wrapper's texts are main text: ``{"k": key, "c": children}``, and for texts ``{"k", "m", "o"}``; ``r`` if repeated.
 
     ``m`` says so for pages with an article or main block: all texts inside, but for
     blocks marked otherwise.  ``o`` says so for pages without one: any text that isn't
-    in a block marked otherwise, constant over ``least_pages`` pages or more, or mostly links.
+    in a block marked otherwise, constant over ``least_pages`` different pages or more (up to EVIDENCE are told apart), or mostly links.
     """
     key = item[KEY]
     if key == TEXT:
@@ -371,11 +395,11 @@ def plans(pages: DataFrame, salt: int = 64, held: int = 5000) -> DataFrame:
 
         for batch in batches:
             for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
-                item = _item(parse(page or ""))
+                item = _page(parse(page or ""))
                 if host not in found:
                     found[host] = item
                 elif item != last[host]:
-                    found[host] = _merge(found[host], item, found[host][PAGES] + 1)
+                    found[host] = _merge(found[host], item)
                 last[host] = item
             if len(found) > held:
                 yield rows()
@@ -388,7 +412,7 @@ def plans(pages: DataFrame, salt: int = 64, held: int = 5000) -> DataFrame:
             # In a fixed order, so that the same partial wrappers always give the same one.
             whole, *others = (json.loads(x) for x in sorted(table["plan"].to_pylist()))
             for x in others:
-                whole = _merge(whole, x, whole[PAGES] + x[PAGES])
+                whole = _merge(whole, x)
             out = _dump(mark(whole) if finish else whole)
             return pa.table({"host": table["host"].slice(0, 1), "part": table["part"].slice(0, 1), "plan": pa.array([out], pa.string())})
 

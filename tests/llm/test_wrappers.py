@@ -47,6 +47,20 @@ def test_hosts_without_an_article_block(spark):
     assert got == [f"Day {i}\n{s}" for i, s in enumerate(story)]
 
 
+def test_copies_count_as_one_page(spark):
+    copy = "<body><div><p>Only story</p></div><div>Its end, {}</div></body>"
+    story = [f"<body><div><p>Site</p></div><ul><li>Day {i}</ul><h3>Imprint</h3></body>" for i in range(3)]
+    layout = "<body><div><p>Site</p></div><section><p>A copied layout</p></section><h3>Imprint</h3></body>"
+    pages = [("http://copies/", copy.format("once")), ("http://mixed/", layout), ("http://hidden/", copy.format("twice"))] * 8
+    pages = [(u, h.replace("<body>", f"<body><!-- {i} --><script>{i}</script>") if "hidden" in u else h) for i, (u, h) in enumerate(pages)]
+    pages += [("http://mixed/", s) for s in story]
+    rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    want = {"http://copies/": "Only story\nIts end, once", "http://mixed/": "A copied layout", "http://hidden/": "Only story\nIts end, twice"}
+    for parts in (1, 2, 9):
+        got = [x["text"] for x in w.main_text(rows.repartition(parts)).orderBy("page_id").collect()]
+        assert got == [want[u] for u, _ in pages[:24]] + ["Day 0", "Day 1", "Day 2"], parts
+
+
 def test_driver_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     out = {x["page_id"]: x for x in w.main_text(rows).collect()}
