@@ -31,12 +31,16 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: similarity 0.8 or more over five-word shingles.
 
-    Of rows that share the kept id and text, one stays.
+    It is the row with the smallest id, null ids last, and the smallest hash of the text among those; of rows
+    that share id and text, one stays.  A text without words is in no group: those with a null id all stay.
     """
-    groups = neardup.near_duplicates(docs, percent=80)
-    kept = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    alone = docs.join(kept.filter("copies = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(kept.filter("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    # Ids may be null or repeated, so rows are told apart by id and text.
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("hash"))
+    docs = docs.withColumn("key", key)
+    kept = neardup.near_duplicates(docs, percent=80, id_col="key").filter("kept").groupBy(F.col("doc_id").alias("key"), "n_shingles").agg(F.count("*").alias("copies"))
+    each = (F.col("copies") == 1) | (F.col("key.last") & (F.col("n_shingles") == 0))
+    alone = docs.join(kept.filter(each).select("key"), "key", "left_semi")
+    repeated = docs.join(kept.filter(~each).select("key"), "key", "left_semi").dropDuplicates(["key"])
     return alone.unionByName(repeated).select(*COLUMNS)
 
 

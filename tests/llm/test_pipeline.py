@@ -56,6 +56,24 @@ def test_every_stage_on_its_own_input(spark, tmp_path):
     assert shingles("a b c") == {("a", "b", "c")}
 
 
+def test_dedup_by_rows(spark):
+    """Null and repeated ids: one row of each group stays, whatever its id is shared with."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    near = lambda t: t + " end"
+    rows = [
+        (None, a), (None, near(a)), (None, a), (None, b),  # groups of null ids only
+        (1, c), (2, near(c)), (2, d),  # 2 is kept for d, but not for its copy of c
+        (3, e), (3, near(e)), (3, e),  # copies under one id
+        (None, near(d)), (None, ""), (None, ""), (None, None), (4, ""), (4, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 4):
+        out = [tuple(x) for x in pipeline.dedup(spark, docs.repartition(parts), SF).select("doc_id", "text").collect()]
+        assert set(out) <= set(rows)
+        said = Counter((i, t and t.removesuffix(" end")) for i, t in out)
+        assert said == Counter([(None, a), (None, b), (1, c), (2, d), (3, e), (None, ""), (None, ""), (None, None), (4, "")])
+
+
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 20
