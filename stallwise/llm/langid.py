@@ -65,6 +65,50 @@ def _log_table(counts: list[tuple[str, str, int]], languages: tuple[str, ...]) -
     return table, np.log(0.5 / totals).astype(np.float32)
 
 
+def _most_each(counts: dict[str, int], most: int) -> int:
+    """How many of each language make up ``most`` at most: small languages whole, the others alike, one of each at least."""
+    left = most
+    for k, n in enumerate(sorted(counts.values())):
+        share = left // (len(counts) - k)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return most
+
+
+def _sample(usable: DataFrame, max_rows: int) -> DataFrame:
+    """``l, t``: of each language the distinct texts of the smallest hashes, ``max_rows`` in all at most, from ``t, l``."""
+    hashed = usable.withColumn("h", F.xxhash64("t", "l"))
+    distinct = hashed.select("l", "h").distinct().persist()
+    try:
+        counts = {x["l"]: x["n"] for x in distinct.groupBy("l").agg(F.count("*").alias("n")).collect()}
+        each = _most_each(counts, max_rows)
+        large = {k: n for k, n in counts.items() if n > each}
+        if not large:
+            return hashed.groupBy("l", "h").agg(F.first("t").alias("t")).select("l", "t")
+        spark = usable.sparkSession
+        # Hashes are uniform: these bounds let a few more through than are needed, which then give the exact ones.
+        bounds = [(k, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, (each + 8 * each**0.5 + 30) / n)))) for k, n in large.items()]
+        some = distinct.join(F.broadcast(spark.createDataFrame(bounds, "l string, bound long")), "l").filter("h <= bound")
+        least: dict[str, list[int]] = {}
+        for x in some.select("l", "h").collect():
+            least.setdefault(x["l"], []).append(x["h"])
+        exact = [(k, sorted(v)[min(each, len(v)) - 1]) for k, v in least.items()]
+        taken = hashed.join(F.broadcast(spark.createDataFrame(exact, "l string, bound long")), "l", "left").filter("bound is null or h <= bound")
+        return taken.groupBy("l", "h").agg(F.first("t").alias("t")).select("l", "t")
+    finally:
+        distinct.unpersist()
+
+
+def _most_frequent(counts: DataFrame, item: str, most: int) -> DataFrame:
+    """At most ``most`` items of ``item, l, n``: all those of a language with few, and the most frequent of the rest."""
+    sizes = {x["l"]: x["c"] for x in counts.groupBy("l").agg(F.count("*").alias("c")).collect()}
+    # A quarter is set aside, so that a language of a few texts isn't crowded out.
+    few = [k for k, c in sizes.items() if c <= most // (4 * len(sizes))]
+    top = counts.groupBy(item).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), item).limit(most - sum(sizes[k] for k in few)).select(item)
+    return top.union(counts.filter(F.col("l").isin(few)).select(item)).distinct() if few else top
+
+
 def fit(
     labelled: DataFrame,
     text_col: str = "text",
@@ -76,29 +120,28 @@ def fit(
 ) -> Model:
     """Fit a model on rows with a text and a language.
 
-    Bounds, all on the fit alone: about ``max_rows`` rows chosen by a hash of the text, whole,
-    and the ``max_words`` words and ``max_grams`` n-grams that are the most frequent in them.  A language is learned if the sample has it.
+    Bounds, all on the fit alone: ``max_rows`` distinct texts at most (but one of each language at least), chosen by a
+    hash of the text, whole, with as many of each language as it has or as the bound leaves it; and the
+    ``max_words`` words and ``max_grams`` n-grams that are the most frequent in them, those of languages with few included.
     """
     usable = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    n = usable.count()
-    share = min(1.0, max_rows / max(n, 1))
-    sample = usable.filter(F.pmod(F.xxhash64("t", "l"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0))
+    sample = _sample(usable, max_rows)
     found = F.regexp_extract_all(F.lower("t"), F.lit(r"(?U)([\p{L}]+)"), F.lit(1))
     words = sample.select("l", F.explode(found).alias("w")).groupBy("w", "l").agg(F.count("*").alias("n"))
     words = words.filter(F.length("w") <= 60).persist()
     try:
-        top = words.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(max_words).select("w")
+        languages = tuple(sorted(x["l"] for x in words.select("l").distinct().collect()))
+        top = _most_frequent(words, "w", max_words)
         counts = words.join(F.broadcast(top), "w").select("w", "l", "n").collect()
         padded = F.concat(F.lit(" "), F.col("w"), F.lit(" "))
         starts = F.sequence(F.lit(1), F.length(padded))
         grams = F.flatten(F.array(*[F.transform(starts, lambda i, k=k: F.substring(padded, i, F.lit(k))) for k in range(1, longest + 1)]))
         sized = words.select("l", "n", F.explode(F.array_distinct(grams)).alias("g")).groupBy("g", "l").agg(F.sum("n").alias("n")).persist()
-        top = sized.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(max_grams).select("g")
+        top = _most_frequent(sized, "g", max_grams)
         gram_counts = sized.join(F.broadcast(top), "g").select("g", "l", "n").collect()
         sized.unpersist()
     finally:
         words.unpersist()
-    languages = tuple(sorted({x["l"] for x in counts}))
     word_table, _ = _log_table([tuple(x) for x in counts], languages)
     gram_table, unseen = _log_table([tuple(x) for x in gram_counts], languages)
     return Model(languages, word_table, gram_table, unseen, longest)

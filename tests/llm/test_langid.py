@@ -50,6 +50,23 @@ def test_small_caches_change_nothing(spark):
     assert [big.predict(t) for t in texts] == [small.predict(t) for t in texts]
 
 
+def test_sample_has_every_language_within_its_bound(spark):
+    rows = [(f"the house number {i}", "en") for i in range(3000)] + [("one hot text", "en")] * 2000 + [("das haus", "de")] * 500
+    rows += [(f"la casa {i}", "es") for i in range(4)] + [(None, "fr"), ("rien", None)]
+    df = spark.createDataFrame(rows, "t string, l string")
+    usable = df.filter("t is not null and l is not null").repartition(3)
+    got = [tuple(x) for x in langid._sample(usable, 40).collect()]
+    assert len(got) == len(set(got)) == 40 and set(got) <= {(l, t) for t, l in rows}
+    assert sum(x[0] == "es" for x in got) == 4 and ("de", "das haus") in got
+    assert sorted(got) == sorted(tuple(x) for x in langid._sample(usable.repartition(2), 40).collect())
+    assert len(langid._sample(usable, 5000).collect()) == 3001 + 1 + 4
+    assert langid.fit(df, "t", "l", max_rows=40).languages == ("de", "en", "es")
+    many = spark.createDataFrame([(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} the", "en") for w in ("ka", "lo", "mi") for i in range(676)] * 2 + [("zdravo svete", "sr")], "t string, l string")
+    m = langid.fit(many, "t", "l", max_rows=600, max_words=100, max_grams=200)
+    assert {"zdravo", "svete", "the"} <= set(m.words) and len(m.words) <= 100 and len(m.grams) <= 200
+    assert langid.Scorer(m).predict("zdravo")[0] == "sr"
+
+
 def test_fold(spark):
     rows = spark.range(200).select("id", langid.held_out(F.col("id")).alias("h")).collect()
     assert all(x["h"] == (zlib.crc32(str(x["id"]).encode()) % 4 == 2) for x in rows)
