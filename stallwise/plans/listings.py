@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prices, records, text
 from ..operators import analytics, classify, filters, merge, pricing, similarity
-from .catalog import register
+from .catalog import oracle_sql, register
 from .fixture import ADS_SQL, ads, table
 
 TODAY = "1998-09-01"
@@ -305,6 +305,13 @@ def reference_price(spark, d):
     return pricing.reference_prices(ads(spark, d), retail)
 
 
+@register("reference_price_all", oracle_sql()["reference_price"].replace(" WHERE p_partkey % 3 = 0", ""))
+def reference_price_all(spark, d):
+    """Reference prices with all parts as the retail catalogue."""
+    retail = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), (F.col("p_retailprice") * 61.5).alias("price_mkd"))
+    return pricing.reference_prices(ads(spark, d), retail)
+
+
 @register("price_correction", f"""WITH {ADS_SQL}, s AS (SELECT ad_url, price_mkd AS p, CASE WHEN cluster_id % 2 = 0 THEN floor(reference_new_price_mkd) * 61.5 ELSE floor(reference_new_price_mkd) * 30 END AS said FROM ads)
   SELECT ad_url, CASE WHEN said IS NULL OR said <= 0 THEN p WHEN p IS NULL OR p / said < 0.5 OR p / said > 2.0 THEN said ELSE p END AS price_mkd FROM s""")
 def price_correction(spark, d):

@@ -145,6 +145,16 @@ def test_nearest_earlier_of_all_rows(spark):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_reference_prices_of_the_whole_catalogue(spark):
+    assert entry.queries()["reference_price_all"](spark, SF).filter("price_vs_new_ratio is not null and reference_source <> 'retail'").count() == 0
+    assert "%" not in catalog.oracle_sql()["reference_price_all"].split("FROM part ")[-1].split(" GROUP BY")[0]
+    rows = [("a", "x1", "Used", 1000.0), ("b", "x1", "New", 2000.0), ("c", "x1", "New", 3000.0), ("d", "y2", "Used", 500.0), ("e", "y2", "New", 2000.0)]
+    ads = spark.createDataFrame([(u, "product", "Acme", m, m, c, p) for u, m, c, p in rows], "ad_url string, ad_type string, brand string, model string, title string, condition string, price_mkd double")
+    retail = spark.createDataFrame([("acme", "y2", 800.0)], "brand string, title string, price_mkd double")
+    got = {x["ad_url"]: (x["reference_source"], x["reference_new_price_mkd"], x["reference_sample_size"]) for x in pricing.reference_prices(ads, retail).collect()}
+    assert got == {"a": ("marketplace", 2500.0, 2), "b": (None,) * 3, "c": (None,) * 3, "d": ("retail", 800.0, 1), "e": ("retail", 800.0, 1)}
+
+
 def test_cards():
     page = """<ul><li><a href="/p/1"><img src=x>Samsung Galaxy S23 64GB 24.999 ден</a></li><li><a href="/p/1">again 500</a></li><li><a href="/about">About</a></li>
     <li><a href="https://other.example/x">Foreign 999</a></li><li><a href="/p/2">Phone 32.999 28.500</a></li></ul>"""
