@@ -281,6 +281,13 @@ def knn_topk(spark, d):
     return similarity.nearest(rows, rows.filter("vec_id = 0"), 10)
 
 
+@register("knn_topk_all", f"""WITH s AS (SELECT b.vec_id AS query, a.vec_id, round({COSINE}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 10""")
+def knn_topk_all(spark, d):
+    rows = table(spark, d, "embeddings")
+    return similarity.nearest_each(rows, rows.filter("vec_id % 20 = 0"), 10)
+
+
 @register("knn_top1_dup", f"""WITH s AS (SELECT a.vec_id, b.vec_id AS other, round(1 - {COSINE}, 6) AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id)
   SELECT vec_id, other AS duplicate_of, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS p FROM s WHERE distance <= 0.6) WHERE p = 1""")
 def knn_top1_dup(spark, d):

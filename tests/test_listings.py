@@ -155,6 +155,16 @@ def test_reference_prices_of_the_whole_catalogue(spark):
     assert got == {"a": ("marketplace", 2500.0, 2), "b": (None,) * 3, "c": (None,) * 3, "d": ("retail", 800.0, 1), "e": ("retail", 800.0, 1)}
 
 
+def test_nearest_of_each_query(spark):
+    rows = spark.createDataFrame([(i, [1.0, float(i // 4)]) for i in range(40)] + [(40, None), (41, [1.0])], "vec_id long, embedding array<double>")
+    vectors = {x[0]: x[1] for x in rows.limit(40).collect()}
+    cos = lambda v, w: round(sum(x * y for x, y in zip(v, w)) / math.hypot(*v) / math.hypot(*w), 6)
+    want = {q: sorted((-cos(vectors[q], v), i) for i, v in vectors.items() if i != q)[:5] for q in (0, 20)}
+    for size in (6, 2048):
+        got = similarity.nearest_each(rows, rows.filter("vec_id % 20 = 0"), 5, size=size).orderBy("query", "rank").collect()
+        assert {q: [(-x["similarity"], x["vec_id"]) for x in got if x["query"] == q] for q in (0, 20)} == want and len(got) == 10
+
+
 def test_cards():
     page = """<ul><li><a href="/p/1"><img src=x>Samsung Galaxy S23 64GB 24.999 ден</a></li><li><a href="/p/1">again 500</a></li><li><a href="/about">About</a></li>
     <li><a href="https://other.example/x">Foreign 999</a></li><li><a href="/p/2">Phone 32.999 28.500</a></li></ul>"""
