@@ -285,22 +285,25 @@ def infer(trees: Iterator[Block]) -> list | None:
     return wrapper
 
 
-def mark(item: list, aside: bool = False, in_main: bool = False, least_pages: int = EVIDENCE) -> dict:
-    """Which of a wrapper's texts are main text: ``{"k": key, "c": children}``, and for texts ``{"k", "m", "o"}``; ``r`` if repeated.
+def mark(item: list, aside: bool = False, in_main: bool = False, least_pages: int = EVIDENCE, around: str | None = None) -> dict:
+    """Which of a wrapper's texts are main text: ``{"k": key, "c": children}``, and for texts ``{"k", "m", "n", "o"}``; ``r`` if repeated.
 
     ``m`` says so for pages with an article or main block: all texts inside, but for
-    blocks marked otherwise.  ``o`` says so for pages without one: any text that isn't
+    blocks marked otherwise.  ``n`` says so for pages whose articles are all in blocks that only their marks
+    set aside: an article or main block lifts those ``around`` it.  ``o`` says so for pages without one: any text that isn't
     in a block marked otherwise, constant over ``least_pages`` different pages or more (up to EVIDENCE are told apart), or mostly links.
     """
     key = item[KEY]
     if key == TEXT:
         constant = item[CONSTANT] is not None and item[PAGES] >= least_pages
         linked = item[LINKED] * 2 > item[CHARS]
-        return {"k": key, "r": item[MOST] > 1, "m": in_main and not aside, "o": not (aside or constant or linked)}
+        return {"k": key, "r": item[MOST] > 1, "m": in_main and not aside, "n": in_main and not around, "o": not (aside or constant or linked)}
     tag, *parts = key.split(" ")
-    aside = aside or _is_aside(tag, parts, in_main)
+    here = _is_aside(tag, parts, in_main)
+    around = _lifted(around, here, tag, parts)
+    aside = aside or here
     in_main = in_main or tag in MAIN
-    return {"k": key, "r": item[MOST] > 1, "c": [mark(x, aside, in_main, least_pages) for x in item[CHILDREN]]}
+    return {"k": key, "r": item[MOST] > 1, "c": [mark(x, aside, in_main, least_pages, around) for x in item[CHILDREN]]}
 
 
 def _is_aside(tag: str, parts: list[str], in_main: bool) -> bool:
@@ -313,17 +316,51 @@ def _is_aside(tag: str, parts: list[str], in_main: bool) -> bool:
     return any(p in MARKS or p.startswith(MARK_STARTS) for p in parts)
 
 
-def has_main(block: Block, inside: bool = False) -> bool:
-    """Whether a page has an article or main block with text, outside of navigation and the like."""
+def _lifted(around: str | None, here: bool, tag: str, parts: list[str]) -> str | None:
+    """How the blocks around and this one set aside what is inside: None if not, "marked" if an article or main block lifts it, "kept" if none does.
+
+    Navigation, footers, forms and comments keep what they hold.
+    """
+    if around == "kept" or (here and (tag in ASIDE or any(p.startswith("comment") for p in parts))):
+        return "kept"
+    return "marked" if here else None if tag in MAIN else around
+
+
+def has_main(block: Block, inside: bool = False, tags: frozenset = MAIN) -> bool:
+    """Whether a page has an article or main block (one of ``tags``) with text, outside of navigation and the like."""
     for child in block.children:
         if isinstance(child, tuple):
             if inside:
                 return True
-        elif not _is_aside(child.tag, child.label.split(" ")[1:], inside) and has_main(child, inside or child.tag in MAIN):
+        elif not _is_aside(child.tag, child.label.split(" ")[1:], inside) and has_main(child, inside or child.tag in tags, tags):
+            return True
+    return False
+
+
+def has_marked(block: Block, tags: frozenset, in_main: bool = False, inside: bool = False, around: str | None = None) -> bool:
+    """Whether a page has a block of ``tags`` with text that only marks of blocks around it set aside."""
+    for child in block.children:
+        if isinstance(child, tuple):
+            if inside and not around:
+                return True
+            continue
+        parts = child.label.split(" ")[1:]
+        at = _lifted(around, _is_aside(child.tag, parts, in_main), child.tag, parts)
+        if at != "kept" and has_marked(child, tags, in_main or child.tag in MAIN, inside or child.tag in tags, at):
             return True
     return False
 
 
+def _flag(tree: Block) -> str:
+    """Which mark of a wrapper's texts holds for a page; articles come before main blocks."""
+    for tags in (frozenset(("article",)), MAIN):
+        if has_main(tree, tags=tags):
+            return "m"
+        if has_marked(tree, tags):
+            return "n"
+    return "o"
+
+
 def _accepts(items: list[dict], block: Block) -> bool:
     """Whether a wrapper's items have a place for everything in a block."""
     places: dict[str, list[dict]] = {}
@@ -346,7 +383,7 @@ def extract(tree: Block, plan: dict) -> str:
     has, as the page is one of those that the wrapper was inferred from.
     """
     out: list[str] = []
-    flag = "m" if has_main(tree) else "o"
+    flag = _flag(tree)
 
     def walk(block: Block, items: list[dict]) -> None:
         places: dict[str, list[int]] = {}

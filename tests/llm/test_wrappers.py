@@ -61,6 +61,17 @@ def test_copies_count_as_one_page(spark):
         assert got == [want[u] for u, _ in pages[:24]] + ["Day 0", "Day 1", "Day 2"], parts
 
 
+def test_marked_blocks_around_an_article(spark):
+    story = "<article><p>Story {}</p><div class='share'>Share it</div></article>"
+    side = "<div class='related'><article>Teaser</article></div>"
+    pages = [
+        (f"<div class='content-sidebar-wrap'><h4>Search</h4>{story}</div>", "Story {}"), (f"<main><h1>Day</h1><div class='ad notice'>{story}</div></main>", "Day\nStory {}"),
+        (f"<div>{story}</div>{side}", "Story {}"), (f"<nav class='search'>{story}</nav><p>Other {{}}</p>", "Other {}"), (f"<div class='comments'>{story}</div><p>Other {{}}</p>", "Other {}"),
+    ]
+    rows = [(f"http://h{k}/", f"<body>{h.replace('{}', str(i))}</body>", t.format(i)) for k, (h, t) in enumerate(pages) for i in range(4)]
+    assert texts(spark, [(u, h) for u, h, _ in rows]) == [t for *_, t in rows]
+
+
 def test_driver_pages(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     out = {x["page_id"]: x for x in w.main_text(rows).collect()}
