@@ -40,12 +40,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """A run's folder of intermediate tables below the shared one; what is left of it goes when the driver's JVM ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/stallwise/{uuid.uuid4().hex}"
+        self._files(self.folder, "deleteOnExit")
+
+    def _files(self, path: str, call: str, *how) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        getattr(at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), call)(at, *how)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a frame as parquet and read it back, which also cuts its lineage."""
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing lazy refers to any more."""
+        for name in names:
+            self._files(f"{self.folder}/{name}", "delete", True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as parquet to the shared folder and read it back, which also cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stallwise/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write a frame as parquet to a run's folder of its own and read it back."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 def fresh(taken: list[str], name: str) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import Scratch, cut
 from .graph import components
 from .shingles import shingle_sets
 
@@ -35,6 +35,9 @@ from .shingles import shingle_sets
 BROADCAST_IDS = 1_000_000
 
 
+_SIGN = np.uint64(1 << 63)
+
+
 def least_shared(k: int, percent: int, risk: float = 1e-7) -> int:
     """The most values that two sketches of ``k`` share with a chance of at least ``1 - risk`` at the least similarity."""
     p, below, n = percent / 100, 0.0, 0
@@ -59,7 +62,7 @@ def sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
             for _, hashes in shingle_sets(batch["text"].to_pylist(), width):
                 classes.append(_class_of(hashes))
                 counts.append(len(hashes))
-                values.append(hashes[:k].view(np.int64))
+                values.append((hashes[:k] ^ _SIGN).view(np.int64))  # in the order of signed numbers
             offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
             columns = [batch["doc_id"], pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), lists]
@@ -69,15 +72,16 @@ def sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``class, hashes`` (sorted, as bytes) of every row with a word."""
+    """``class, hashes`` of every row with a word."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, hashes in shingle_sets(batch["text"].to_pylist(), width):
                 if len(hashes):
-                    yield pa.RecordBatch.from_arrays([pa.array([_class_of(hashes)], pa.binary()), pa.array([hashes.tobytes()], pa.binary())], names=["class", "hashes"])
+                    found = pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([_class_of(hashes)], pa.binary()), found], names=["class", "hashes"])
 
-    return docs.select("text").mapInArrow(hashed, "class binary, hashes binary")
+    return docs.select("text").mapInArrow(hashed, "class binary, hashes array<long>")
 
 
 def rarest(classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -132,38 +136,24 @@ def cross_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("class", "c2").alias("a"), F.greatest("class", "c2").alias("b")).distinct()
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    values, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+def _linked(x: str, y: str, n: Column, m: Column, percent: int) -> Column:
+    """Whether two sets of sizes ``n`` and ``m`` are as similar as that."""
+    return F.size(F.array_intersect(x, y)) * (100 + percent) >= (n + m) * percent
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """``a, b, sure`` for pairs that their sketches don't rule out; ``sure`` if the sketches hold the full sets."""
-    least = least_shared(k, percent)
 
     def sketched(name: str) -> DataFrame:
         return classes.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, sure = [], []
-            sizes = zip(batch["n_a"].to_pylist(), batch["n_b"].to_pylist())
-            for i, ((n, m), x, y) in enumerate(zip(sizes, _lists(batch["s_a"]), _lists(batch["s_b"]))):
-                whole = n <= k and m <= k
-                both = np.intersect1d(x, y, assume_unique=True)
-                if whole:
-                    found = 100 * len(both) >= percent * (n + m - len(both))
-                else:  # of the union's k smallest, how many both have
-                    union = np.union1d(x, y)[:k]
-                    found = np.count_nonzero(both <= union[-1]) >= min(least, len(union))
-                if found:
-                    keep.append(i)
-                    sure.append(whole)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
-
     joined = pairs.join(sketched("b"), "b").join(sketched("a"), "a")
-    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(kept, "a binary, b binary, sure boolean")
+    whole = F.greatest("n_a", "n_b") <= k
+    # One of the sketches is full, so their union has k values at least; of its k smallest, how many both have.
+    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
+    both = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
+    found = F.when(whole, _linked("s_a", "s_b", F.col("n_a"), F.col("n_b"), percent)).otherwise(both >= least_shared(k, percent))
+    return joined.filter(found).select("a", "b", whole.alias("sure"))
 
 
 def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -171,77 +161,58 @@ def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
     wanted = cut(wanted.select("class").distinct())
     ids = wanted.join(classes, "class").select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+        ids, wanted = F.broadcast(ids), F.broadcast(wanted)
     texts = docs.alias("d").join(ids.alias("i"), F.equal_null(F.col("d.doc_id"), F.col("i.doc_id")), "left_semi")
     sets = full_sets(texts, width).join(wanted, "class", "left_semi")
-    return written(sets.groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
+    return sets.groupBy("class").agg(F.first("hashes").alias("hashes"))
 
 
-def crowd_pairs(lists: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def crowd_pairs(lists: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """Pairs ``a < b`` that may be linked among the members of long lists, found by how they differ from a hub.
 
-    With D(x) the hashes by which x and the hub differ, x and y differ by at least
-    |D(x)| + |D(y)| - 2 |D(x) & D(y)|.  Being linked bounds that from above by c (|x| + |y|), and x not
-    linked with the hub has |D(x)| > c (|x| + |hub|), so together they share more than (1 - c) / 2 of D(y).
-    Members that are not linked with the hub are therefore looked for among each other, and among the
-    linked ones, by the rarest part of those differences; copies of one text differ from
-    it each in their own way, so hardly any pair comes up that isn't linked.
+    Let D(x) be the hashes by which x and the hub differ.  What x and y differ by is what D(x) and D(y) do, so with
+    q = 100 + percent and r = 100 - percent, x and y are linked if and only if
+    2 q |D(x) & D(y)| >= q |D(x)| + q |D(y)| - r |x| - r |y|.  Put D(x) and D(y) in one order.  If
+    the first hash of both is at place j of D(y), they share |D(y)| - j + 1 at most, so
+    u(x) = q |D(x)| - r |x| is at most v(y, j) = q |D(y)| - 2 q (j - 1) + r |y|, and likewise u(y) and v(x, i).
+    Members linked with the hub are in its component already; one that isn't, a loose one, has u(x) > r |hub|.  So only pairs
+    with a loose member are looked for, by hashes with v(y, j) > r |hub|.  With the rarest hashes first those are
+    the ones that a copy got by edits of its own, and hardly any pair comes up that isn't linked.
     """
-    c = (100 - percent) / (100 + percent)
+    q, r = 100 + percent, 100 - percent
     hubs = lists.groupBy("value").agg(F.max(F.struct("weight", F.col("class").alias("hub"))).alias("best")).select("value", "best.hub")
     members = cut(lists.join(hubs, "value").filter("class <> hub").select("hub", "class").distinct())
-    sets = sets_of(members.select("class").union(members.select(F.col("hub"))), classes, docs, width)
+    sets = scratch.write(sets_of(members.select("class").union(members.select(F.col("hub"))), classes, docs, width), "crowd_sets")
     joined = members.join(sets, "class").join(sets.select(F.col("class").alias("hub"), F.col("hashes").alias("h")), "hub")
-
-    def differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, len(batch), 200):
-                part = batch.slice(k, 200)
-                loose, found = [], []
-                for x, y in zip(part["hashes"], part["h"]):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    d = np.setxor1d(x, y, assume_unique=True)
-                    both = (len(x) + len(y) - len(d)) // 2
-                    loose.append(100 * both < percent * (len(x) + len(y) - both))
-                    found.append(d.view(np.int64))
-                lists_ = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part["hub"], part["class"], pa.array(loose), lists_], names=["hub", "class", "loose", "d"])
-
-    differ = joined.select("hub", "class", "hashes", "h").mapInArrow(differing, "hub binary, class binary, loose boolean, d array<long>")
-    each = written(differ.select("hub", "class", "loose", F.size("d").alias("size"), F.explode("d").alias("d")), "differences")
+    d = F.concat(F.array_except("hashes", "h"), F.array_except("h", "hashes"))
+    differ = joined.select("hub", "class", F.size("hashes").cast("long").alias("n"), (r * F.size("h").cast("long")).alias("least"), d.alias("ds"))
+    each = scratch.write(differ.select("hub", "class", "n", "least", F.size("ds").cast("long").alias("size"), F.explode("ds").alias("d")), "differences")
     common = each.groupBy("hub", "d").agg(F.count("*").alias("c")).filter("c > 1")
-    at = each.join(common, ["hub", "d"])
     order = Window.partitionBy("hub", "class").orderBy("c", "d")
-    at = at.withColumns({"place": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("hub", "class"))})
-    # Differences that no other member has come first in the order and use up the prefix.
-    near = F.col("place") <= F.col("size") - F.floor(F.lit((1 - c) / 2) * F.col("size")) - (F.col("size") - F.col("shared"))
-    at = at.select("hub", "d", "class", "loose", near.alias("near"))
-    left = at.filter("loose")
-    right = at.filter("near").select("hub", "d", F.col("class").alias("other"), F.col("loose").alias("loose2"))
-    pairs = left.join(right, ["hub", "d"]).filter((F.col("class") != F.col("other")) & (~F.col("loose2") | (F.col("near") & (F.col("class") < F.col("other")))))
+    at = each.join(common, ["hub", "d"]).withColumns({"place": F.row_number().over(order), "shared": F.count("*").over(Window.partitionBy("hub", "class"))})
+    # Differences that no other member has are the rarest and have the first places; j - 1 counts them too.
+    before = F.col("place") - 1 + F.col("size") - F.col("shared")
+    u, spread = q * F.col("size") - r * F.col("n"), r * F.col("n")
+    at = at.select("hub", "d", "class", "least", u.alias("u"), (q * F.col("size") + spread - 2 * q * before).alias("v"), (spread * 100 / percent).alias("most"))
+    # A partner y of x has |y| <= |x| 100 / percent and |D(y)| >= |D(x)| - |what they differ by|: so u(y) >= u(x) - 2 r |y|.
+    left = at.filter("u > least and v >= greatest(u - 2 * most, -most)").select("hub", "d", "class", "u", "v")
+    right = at.filter("v > least").select("hub", "d", F.col("class").alias("other"), F.col("u").alias("u2"), F.col("v").alias("v2"), (F.col("u") > F.col("least")).alias("loose"))
+    fits = F.when(F.col("loose"), F.col("class") < F.col("other")).otherwise(F.col("class") != F.col("other"))
+    pairs = left.join(right, ["hub", "d"]).filter((F.col("u") <= F.col("v2")) & (F.col("u2") <= F.col("v")) & fits)
     return pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, width: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, width: int, scratch: Scratch) -> DataFrame:
     """The links ``a, b`` among the pairs, confirmed on the full sets of one text of each class."""
     likely = cut(estimated(pairs, classes, k, percent))
     unsure = likely.filter(~F.col("sure"))
-    sets = sets_of(unsure.select(F.col("a").alias("class")).union(unsure.select("b")), classes, docs, width)
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch["h_a"], batch["h_b"])):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["a"].take(at), batch["b"].take(at)], names=["a", "b"])
-
+    sets = scratch.write(sets_of(unsure.select(F.col("a").alias("class")).union(unsure.select("b")), classes, docs, width), "sets")
     joined = unsure.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("h_b")), "b")
-    joined = joined.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("h_a")), "a").select("a", "b", "h_a", "h_b")
-    return cut(joined.mapInArrow(confirmed, "a binary, b binary").union(likely.filter("sure").select("a", "b")))
+    joined = joined.join(sets.select(F.col("class").alias("a"), F.col("hashes").alias("h_a")), "a")
+    links = joined.filter(_linked("h_a", "h_b", F.size("h_a"), F.size("h_b"), percent)).select("a", "b")
+    links = cut(links.union(likely.filter("sure").select("a", "b")))
+    scratch.drop("sets")
+    return links
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int = 5, crowd: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,20 +229,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int
     a result each; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(sketches(docs, k, width), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(sketches(docs, k, width), "sketches")
     grouped = rows.filter(F.col("class").isNotNull()).groupBy("class")
-    classes = written(grouped.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = written(rarest(classes, k, percent), "lists")
+    classes = scratch.write(grouped.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    lists = scratch.write(rarest(classes, k, percent), "lists")
     first = cut(hub_pairs(lists, percent))
-    links = verified(first, classes, docs, k, percent, width)
+    links = verified(first, classes, docs, k, percent, width, scratch)
     roots = cut(components(links))
     # What is left: short lists pair their members, long ones those that differ alike from the hub.
-    left = written(_apart(lists, roots).drop("root"), "apart")
+    left = scratch.write(_apart(lists, roots).drop("root"), "apart")
     lengths = left.groupBy("value").agg(F.count("*").alias("length"))
     short = left.join(lengths.filter(F.col("length") <= crowd), "value", "left_semi")
     long_ = left.join(lengths.filter(F.col("length") > crowd), "value", "left_semi")
-    pairs = cross_pairs(short, roots, percent).union(crowd_pairs(long_, classes, docs, percent, width)).distinct()
-    more = verified(cut(pairs.join(first, ["a", "b"], "left_anti")), classes, docs, k, percent, width)
+    pairs = cross_pairs(short, roots, percent).union(crowd_pairs(long_, classes, docs, percent, width, scratch)).distinct()
+    pairs = cut(pairs.join(first, ["a", "b"], "left_anti"))
+    scratch.drop("lists", "apart", "crowd_sets", "differences")
+    more = verified(pairs, classes, docs, k, percent, width, scratch)
     if not more.isEmpty():
         roots = cut(components(links.union(more)))
     member = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
