@@ -8,6 +8,7 @@ each document once, whole, without a shuffle.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,11 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
-@dataclass(frozen=True)
+#: Python's word characters but for decimal digits and ``_``: letters, and numerals such as those of fractions.
+WORDS = re.compile(r"[^\W\d_]+")
+
+
+def only_letters(words: list[str]) -> list[str]:
+    """Words parted at what isn't a letter, as ``\\p{L}+`` in the fit."""
+    return [p for w in words for p in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
+@dataclass(frozen=True, eq=False)
 class Model:
     """Log frequencies by language: of words, and of the n-grams of padded words."""
 
@@ -36,13 +45,13 @@ class Model:
 
         A known word's own frequencies; else the mean, over the places of the padded
         word, of the longest known n-gram that starts there, one nat less for each letter that the
-        n-gram is shorter than the longest.
+        n-gram is shorter than the longest.  This is the definition; ``Scorer`` does it for many words at once.
         """
         known = self.words.get(word)
         if known is not None:
             return known
         padded = f" {word} "
-        total, places = np.zeros(len(self.languages), dtype=np.float32), max(1, len(padded) - 1)
+        total, places = np.zeros(len(self.languages)), len(padded) - 1
         for i in range(places):
             for n in range(min(self.longest, len(padded) - i), 0, -1):
                 found = self.grams.get(padded[i : i + n])
@@ -53,6 +62,11 @@ class Model:
                 total += self.unseen
         return total / places
 
+    @functools.cached_property
+    def scorer(self) -> Scorer:
+        """The process's scorer, which later tasks in it use again."""
+        return Scorer(self)
+
 
 def _log_table(counts: list[tuple[str, str, int]], languages: tuple[str, ...]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Smoothed log frequencies of items from (item, language, count), and those of an unseen item."""
@@ -148,41 +162,99 @@ def fit(
 
 
 class Scorer:
-    """Scores texts; keeps the vectors of at most ``kept`` words besides the model's own."""
+    """Scores texts; keeps the vectors of at most ``kept`` words besides a block's own.
+
+    The n-grams are a tree: a node is a prefix, its vector that of the longest known n-gram on the way to
+    it.  All places of all words new to the scorer go down the tree together, a letter at a time.
+    """
 
-    def __init__(self, model: Model, kept: int = 200_000):
-        self.model, self.kept = model, kept
+    def __init__(self, model: Model, kept: int = 200_000, block: int = 1 << 20):
+        self.model, self.kept, self.block = model, kept, block
+        self.letters = np.array(sorted({ord(c) for g in model.grams for c in g} | {ord(" ")}), dtype=np.uint32)
+        code = {chr(c): k for k, c in enumerate(self.letters.tolist(), 1)}
+        nodes, vectors, steps = {"": 0}, [model.unseen.astype(np.float64)], {}
+        for prefix in sorted({g[:n] for g in model.grams for n in range(1, len(g) + 1)}, key=len):
+            found, above = model.grams.get(prefix), nodes[prefix[:-1]]
+            steps[above * (len(code) + 1) + code[prefix[-1]]] = nodes[prefix] = len(vectors)
+            vectors.append(vectors[above] if found is None else found - np.float64(model.longest - len(prefix)))
+        self.vectors = np.array(vectors)
+        self.steps = np.array(sorted(steps), dtype=np.int64)
+        self.next = np.array([steps[k] for k in self.steps.tolist()], dtype=np.int64)
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.languages)), dtype=np.float32)
+        self.table = np.zeros((1024, len(self.model.languages)))
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """The scores, a row each, of words that the model doesn't know."""
+        data = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), dtype=np.uint32)
+        codes = np.minimum(np.searchsorted(self.letters, data), len(self.letters) - 1)
+        codes = np.where(self.letters[codes] == data, codes + 1, 0)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+        ends = np.repeat(np.cumsum(lengths), lengths)
+        node = np.zeros(len(data), dtype=np.int64)
+        alive = np.arange(len(data))
+        for n in range(self.model.longest if len(self.steps) else 0):
+            alive = alive[alive + n < ends[alive]]
+            step = node[alive] * (len(self.letters) + 1) + codes[alive + n]
+            found = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            taken = self.steps[found] == step
+            alive = alive[taken]
+            node[alive] = self.next[found[taken]]
+        starts = np.cumsum(lengths) - lengths
+        each = self.vectors[node]
+        each[starts + lengths - 1] = 0  # no n-gram starts at the last blank
+        return np.add.reduceat(each, starts) / (lengths - 1)[:, None]
 
     def _add(self, words: set[str]) -> None:
-        need = len(self.at) + len(words)
-        if need > len(self.table):
-            grown = np.zeros((max(need, 2 * len(self.table)), self.table.shape[1]), dtype=np.float32)
+        if len(self.at) + len(words) > len(self.table):
+            grown = np.zeros((max(len(self.at) + len(words), 2 * len(self.table)), self.table.shape[1]))
             grown[: len(self.at)] = self.table[: len(self.at)]
             self.table = grown
-        for w in words:
-            self.table[len(self.at)] = self.model.score(w)
-            self.at[w] = len(self.at)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its probability, from the mean score a word over at most 25 words' worth of evidence."""
-        found = LETTERS.findall(text.lower()) if text else []
-        if not found or not self.model.languages:
-            return UNKNOWN, 0.0
-        missing = set(found).difference(self.at)
-        if len(self.at) + len(missing) > self.kept:
+        known = self.model.words
+        new = [w for w in words if w not in known]
+        old = [w for w in words if w in known]
+        k = len(self.at)
+        if new:
+            self.table[k : k + len(new)] = self.unseen(new)
+        if old:
+            self.table[k + len(new) : k + len(words)] = [known[w] for w in old]
+        self.at.update(zip(new + old, range(k, k + len(words))))
+
+    def _block(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        found = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        missing = set().union(*found).difference(self.at)
+        if not all(map(str.isalpha, missing)):
+            found = [only_letters(words) for words in found]
+            missing = set().union(*found).difference(self.at)
+        if missing and len(self.at) + len(missing) > self.kept:
             self.clear()
-            missing = set(found)
+            missing = set().union(*found)
         self._add(missing)
-        total = self.table[np.fromiter(map(self.at.__getitem__, found), dtype=np.int64, count=len(found))].sum(axis=0, dtype=np.float64)
-        mean = total / len(found)
-        best = int(np.argmax(mean))
-        odds = np.exp(np.minimum(len(found), 25) * (mean - mean[best]))
-        return self.model.languages[best], float(1 / odds.sum())
+        for words in found:
+            if not words:
+                yield UNKNOWN, 0.0
+                continue
+            total = self.table[np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+            mean = total / len(words)
+            best = int(np.argmax(mean))
+            odds = np.exp(np.minimum(len(words), 25) * (mean - mean[best]))
+            yield self.model.languages[best], float(1 / odds.sum())
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """Each text's language and its probability, from the mean score a word over at most 25 words' worth of evidence."""
+        if not self.model.languages:
+            yield from ((UNKNOWN, 0.0) for _ in texts)
+            return
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop] or "") <= self.block):
+                size += len(texts[stop] or "")
+                stop += 1
+            yield from self._block(texts[start:stop])
+            start = stop
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,10 +270,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = shipped.value.scorer
         for batch in batches:
             if len(batch):
-                guesses = [scorer.predict(t) for t in batch[text_col].to_pylist()]
+                guesses = list(scorer.predict(batch[text_col].to_pylist()))
                 new = [pa.array([g[0] for g in guesses], pa.string()), pa.array([g[1] for g in guesses], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score"])
 

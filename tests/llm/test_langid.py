@@ -1,3 +1,5 @@
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -20,11 +22,8 @@ def model(spark):
 def test_words_then_n_grams(spark):
     m = model(spark)
     assert m.languages == ("de", "en", "es")
-    s = langid.Scorer(m)
-    assert s.predict("the water and the house")[0] == "en"
-    assert s.predict("Der Garten, das Wasser!")[0] == "de"
-    assert s.predict("gartenhaus wasserhaus")[0] == "de"  # no known word
-    assert s.predict("también jardínes")[0] == "es"
+    texts = ["the water and the house", "Der Garten, das Wasser!", "gartenhaus wasserhaus", "también jardínes"]  # the third has no known word
+    assert [x[0] for x in m.scorer.predict(texts)] == ["en", "de", "de", "es"]
     assert np.allclose(m.score("garten"), m.words["garten"])
     g = m.score("gart")
     assert g.shape == (3,) and np.isfinite(g).all()
@@ -47,7 +46,27 @@ def test_small_caches_change_nothing(spark):
     m = model(spark)
     texts = [t for t in TEXTS.values()] + ["house garten casa " + "x y z w", "agua wasser water"]
     big, small = langid.Scorer(m), langid.Scorer(m, kept=3)
-    assert [big.predict(t) for t in texts] == [small.predict(t) for t in texts]
+    assert list(big.predict(texts)) == list(small.predict(texts)) == [x for t in texts for x in langid.Scorer(m, block=1).predict([t])]
+
+
+def brute(m, text):
+    """Word by word, letter by letter, by the definition."""
+    words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split()
+    if not words:
+        return "und", 0.0
+    mean = np.mean([m.score(w) for w in words], axis=0, dtype=np.float64)
+    odds = np.exp(min(len(words), 25) * (mean - mean.max()))
+    return m.languages[int(np.argmax(mean))], 1 / odds.sum()
+
+
+def test_against_brute_force(spark):
+    r, m = random.Random(3), model(spark)
+    pool = [*" ".join(TEXTS.values()), *"xyzqß½²Ⅷ①_-.,7٣é中☃́ İſ"]
+    texts = ["".join(r.choices(pool, k=r.randrange(60))) for _ in range(400)] + [None, "", "½", "²", "Ⅷ①", "a½b"]
+    texts += [x["text"] for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    got, want = list(langid.Scorer(m, block=500).predict(texts)), [brute(m, t) for t in texts]
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want], atol=1e-5)
+    assert {x[0] for x in got[402:405]} == {"und"}
 
 
 def test_sample_has_every_language_within_its_bound(spark):
@@ -64,7 +83,7 @@ def test_sample_has_every_language_within_its_bound(spark):
     many = spark.createDataFrame([(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} the", "en") for w in ("ka", "lo", "mi") for i in range(676)] * 2 + [("zdravo svete", "sr")], "t string, l string")
     m = langid.fit(many, "t", "l", max_rows=600, max_words=100, max_grams=200)
     assert {"zdravo", "svete", "the"} <= set(m.words) and len(m.words) <= 100 and len(m.grams) <= 200
-    assert langid.Scorer(m).predict("zdravo")[0] == "sr"
+    assert next(m.scorer.predict(["zdravo"]))[0] == "sr"
 
 
 def test_fold(spark):
