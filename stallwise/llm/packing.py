@@ -10,154 +10,83 @@ members are ever gathered.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Chunks at whose borders the vocabulary's own pattern always splits too: a Latin word
-#: before sentence marks that end at white space, such marks, other runs of non-space
-#: with the blank before them, and white space.
-CHUNKS = re.compile(
-    r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?]*(?:\s|\Z))|[.,;:!?]+(?!\S)| ?\S+|\s+(?!\S)|\s+"
-)
-#: Python takes these for white space, the tokenizer doesn't; texts with them go to it whole.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: White space other than blanks and newlines.
-OTHER_SPACE = re.compile("[^\\S \n]")
-ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
-
-
-@functools.cache
-def _byte_letters() -> dict[int, int]:
-    """The byte-level vocabularies' letter for each byte: itself if it prints, else the next unused from 256 on."""
-    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in prints]
-    return {b: 256 + k for k, b in enumerate(others)}
-
+#: The byte-level vocabularies' own pattern of what is encoded apart; fixed.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Texts with a run of white space this long go to the tokenizer itself: the faster encoder's stack ends at some.
+LONG_SPACE = 10_000
 
-class Cache:
-    """A dictionary of two generations, at most ``2 * size`` entries and what one block of texts adds."""
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def lacking(self, keys: set[str]) -> list[str]:
-        """Those of the keys that neither generation has; those of the old one become young."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        out = []
-        for k in keys.difference(self.young):
-            found = self.old.get(k)
-            if found is None:
-                out.append(k)
-            else:
-                self.young[k] = found
-        return out
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: itself if it prints, else those from 256 on in order."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, the same as the tokenizer's.
 
-    A blank between two non-spaces always begins a token, so texts are cut there and the parts
-    looked up in a cache; a part that isn't found is cut into chunks, with a cache of their
-    own, and only chunks that are new go to the tokenizer.
+    Where a vocabulary file is byte-level BPE without more to it, and its merges make ids in order, the rank of a merge is its
+    id, which is what the faster encoder of ``tiktoken`` goes by; other files, and texts that name
+    an added token or have very long white space, go to the tokenizer.
     """
 
-    def __init__(self, path: str, cached: int = 300_000, block: int = 1 << 20):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([ODD_SPACE.pattern, *map(re.escape, self.added)]))
-        self.parts, self.chunks, self.block = Cache(cached), Cache(cached), block
-        probe = ["word", " Wörter", " qzxv", "été"]
-        self.single = False
-        slow = self._chunk_ids(probe)
-        self.single = type(self.tokenizer.model).__name__ == "BPE"
-        self.single = self.single and self._chunk_ids(probe) == slow
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks.  A word of letters only is a single token of the pre-tokenizer, so the model gets it as it is."""
-        if not self.single:
-            return self._ids(chunks)
-        tokenize, letters = self.tokenizer.model.tokenize, _byte_letters()
-        out: list[bytes | None] = []
-        for c in chunks:
-            if c.lstrip(" ").isalpha():
-                if c.isascii():
-                    seen = f"Ġ{c[1:]}" if c[0] == " " else c
-                else:
-                    seen = c.encode().decode("latin-1").translate(letters)
-                out.append(array("I", [t.id for t in tokenize(seen)]).tobytes())
-            else:
-                out.append(None)
-        rest = iter(self._ids([c for c, x in zip(chunks, out) if x is None]))
-        return [next(rest) if x is None else x for x in out]
-
-    def _cut(self, text: str) -> list[str] | None:
-        """The parts of a text, each but the first with the blank before it left out; None if some blank is beside other space."""
-        if "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
-            return None
-        if any(x in text for x in ASCII_SPACE) if text.isascii() else OTHER_SPACE.search(text):
-            return None
-        if any(x in text for x in self.added):
-            return None
-        return text.split(" ")
-
-    def _learn(self, parts: set[str], chunks: set[str]) -> None:
-        """Add parts, with the blank before them, and chunks to the caches."""
-        new = self.parts.lacking(parts)
-        words = [p for p in new if p.isalpha()]  # a chunk each
-        self.parts.young.update(zip(words, self._chunk_ids([f" {p}" for p in words])))
-        others = [p for p in new if not p.isalpha()]
-        cut = [CHUNKS.findall(f" {p}") for p in others]
-        self._learn_chunks(chunks.union(*cut))
-        at = self.chunks.young.__getitem__
-        self.parts.young.update((p, b"".join(map(at, x))) for p, x in zip(others, cut))
-
-    def _learn_chunks(self, chunks: set[str]) -> None:
-        new = self.chunks.lacking(chunks)
-        if new:
-            self.chunks.young.update(zip(new, self._chunk_ids(new)))
-
-    def _by_chunks(self, text: str) -> bytes:
-        if self.whole.search(text):
-            return self._ids([text])[0]
-        chunks = CHUNKS.findall(text)
-        self._learn_chunks(set(chunks))
-        return b"".join(map(self.chunks.young.__getitem__, chunks))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, a block of texts at a time."""
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= self.block):
-                size += len(texts[stop])
-                stop += 1
-            cut = [self._cut(t) for t in texts[start:stop]]
-            self._learn(set(chain.from_iterable(x for x in cut if x)), {c for x in cut if x for c in CHUNKS.findall(x[0])})
-            known = self.chunks.young.__getitem__
-            heads = [x and b"".join(map(known, CHUNKS.findall(x[0]))) for x in cut]
-            at = self.parts.young.__getitem__
-            for text, parts, head in zip(texts[start:stop], cut, heads):
-                yield self._by_chunks(text) if parts is None else head + b"".join(map(at, islice(parts, 1, None)))
-            start = stop
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        self.path = path
+        self.added = [x["content"] for x in described["added_tokens"]]
+        self.space = re.compile(rf"\s{{{LONG_SPACE}}}")
+        self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=self._ranks(described["model"]), special_tokens={}) if self._plain(described) else None
+
+    @staticmethod
+    @functools.cache
+    def of(path: str) -> Encoder:
+        """The process's encoder of a file, which later tasks in it use again."""
+        return Encoder(path)
+
+    @functools.cached_property
+    def tokenizer(self) -> tokenizers.Tokenizer:
+        return tokenizers.Tokenizer.from_file(self.path)
+
+    def _ranks(self, model: dict) -> dict[bytes, int]:
+        byte = _bytes_of_letters()
+        return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in self.added}
+
+    @staticmethod
+    def _plain(described: dict) -> bool:
+        model, before = described["model"], described["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return False
+        if described["normalizer"] or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return False
+        made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+        return all(a < b for a, b in pairwise([255, *made]))
+
+    def encode(self, text: str) -> bytes:
+        odd = any(x in text for x in self.added) or (len(text) >= LONG_SPACE and self.space.search(text))
+        if self.fast is None or odd:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -258,12 +187,12 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     kind = docs.schema[id_col].dataType.simpleString()
 
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = Encoder.of(vocabulary), np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
             for batch in (whole.slice(k, 1000) for k in range(0, len(whole), 1000)):
                 where, found = [], []
-                for i, ids in enumerate(encoder.encode(batch["text"].to_pylist())):
-                    cuts = pieces_of(ids + end, capacity)
+                for i, text in enumerate(batch["text"].to_pylist()):
+                    cuts = pieces_of(encoder.encode(text) + end, capacity)
                     where += [i] * len(cuts)
                     found += cuts
                 columns = list(zip(*found))

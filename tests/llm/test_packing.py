@@ -12,7 +12,7 @@ from stallwise.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-ENCODER = packing.Encoder(PATH, cached=50, block=64)
+ENCODER = packing.Encoder(PATH)
 
 
 def ids_of(text):
@@ -22,13 +22,23 @@ def ids_of(text):
 @settings(max_examples=600, deadline=None, derandomize=True, database=None)
 @given(st.one_of(st.text(max_size=40), st.text(alphabet="ab é.,!?'sdt 1½\n\t\r\x1c\xa0×ÿ<|>endoftx", max_size=40)))
 def test_ids_are_the_tokenizers(text):
-    got = next(iter(ENCODER.encode([text])))
+    got = ENCODER.encode(text)
     assert np.frombuffer(got, "<u4").tolist() == ids_of(text)[:-1]
 
 
 @pytest.mark.parametrize("text", ["a <|endoftext|> b", "it's 'tis don't, stop. ... x  y\n\n z", "", " ", "word." * 50, "été 中文 \U0001f600!"])
 def test_ids_of_chosen_texts(text):
-    assert np.frombuffer(next(iter(ENCODER.encode([text]))), "<u4").tolist() == ids_of(text)[:-1]
+    assert np.frombuffer(ENCODER.encode(text), "<u4").tolist() == ids_of(text)[:-1]
+
+
+def test_ids_of_whole_documents_and_all_sorts_of_letters(spark):
+    texts = [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    points = [c for c in range(0, 0x110000, 61) if not 0xD800 <= c < 0xE000] + list(range(0x500)) + list(range(0x2000, 0x2100))
+    texts += [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}. {chr(c)}  {chr(c)}{chr(c)}\n" for c in points]
+    texts += [" " * 200_000, "x" + "\n" * (packing.LONG_SPACE - 1) + "y", "\t" * packing.LONG_SPACE + "z", "ab" * 100_000]
+    want = [x.ids for x in TOKENIZER.encode_batch_fast(texts, add_special_tokens=False)]
+    assert ENCODER.fast is not None
+    assert all(np.frombuffer(ENCODER.encode(t), "<u4").tolist() == w for t, w in zip(texts, want))
 
 
 def check(rows, out, capacity):
