@@ -14,40 +14,39 @@ from .common import fresh
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]+"
-SEPARATOR = "[|»›•·]"
+SEPARATED = "[\\x20\\x09][|»›•·][\\x20\\x09]"
 ENDED = r"[.!?:;…\"'”’»)][\x20\x09-\x0D]*\z"
 
-# Phrases of page furniture, matched in lower case in short lines only.
+# Phrases of page furniture, matched as whole words in lower case.
 BOILERPLATE = (
     "accept cookies",
     "all rights reserved",
     "back to top",
-    "click here",
     "cookie policy",
     "enable javascript",
     "forgot password",
     "javascript is disabled",
     "leave a comment",
-    "log in",
     "privacy policy",
-    "read more",
-    "share this",
-    "sign in",
-    "sign up",
     "skip to content",
     "subscribe to our",
     "terms of service",
     "terms of use",
     "use of cookies",
+    "alle rechte vorbehalten",
+    "tous droits réservés",
+    "todos los derechos reservados",
 )
+# Phrases that prose has too, so they count only in lines that hold little else.
+BUTTONS = ("click here", "log in", "read more", "share this", "sign in", "sign up", "weiterlesen", "lire la suite", "leer más")
 
 #: A document needs so many words, and at most this share (percent) of them in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Lines of fewer words must end a sentence; boilerplate phrases count in lines of fewer words.
-SHORT_WORDS, BOILERPLATE_WORDS = 10, 30
-#: A line fails with at least so many separators, or more symbols than a third of its words,
-#: or capitals and no small letter.
-SEPARATORS = 3
+#: Lines of fewer words must end a sentence; boilerplate phrases and those of buttons count in lines of fewer words.
+SHORT_WORDS, BOILERPLATE_WORDS, BUTTON_WORDS = 10, 30, 5
+#: A line fails with at least so many separators between blanks (none if it has an opening guillemet), with more symbols
+#: than a third of its words, or with at least so many capitals and no small letter.
+SEPARATORS, CAPITALS = 3, 5
 #: A document must keep this share (percent) of its characters.
 MIN_KEPT_PERCENT = 50
 
@@ -60,20 +59,30 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def _has_words(n: int) -> str:
+    """A pattern of lines with ``n`` words or more."""
+    return r"\A[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (n - 1)
+
+
+def _whole(phrases: tuple[str, ...]) -> str:
+    """A pattern of the phrases between what isn't a letter or digit."""
+    return r"(?:\A|[^\p{L}\p{N}])(?:%s)(?:[^\p{L}\p{N}]|\z)" % "|".join(phrases)
+
+
 def line_fails(line: Column) -> Column:
     """Whether a line breaks a rule; a line without words breaks none.
 
-    A line's words are taken as its blanks plus one.  Tests that stop at the first
-    match come first, counts only where a symbol occurs at all.
+    Tests that stop at the first match come first, counts only where a symbol occurs at all.
     """
-    n_blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     n_symbols = F.length(line) - F.length(F.regexp_replace(line, SYMBOLS, ""))
-    unfinished = ~line.rlike(ENDED) & ~line.rlike(r"\A(?:[^ ]* ){%d}" % (SHORT_WORDS - 1))
-    navigation = line.rlike(r"(?:%s[^|»›•·]*){%d}" % (SEPARATOR, SEPARATORS))
-    symbols = line.rlike(SYMBOLS) & (n_symbols * 3 > n_blanks + 1)
-    shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}")
-    boilerplate = ~line.rlike(r"\A(?:[^ ]* ){%d}" % (BOILERPLATE_WORDS - 1)) & F.lower(line).rlike("|".join(BOILERPLATE))
-    return line.rlike(NOT_SPACE) & (unfinished | shouting | navigation | symbols | boilerplate)
+    unfinished = ~line.rlike(ENDED) & ~line.rlike(_has_words(SHORT_WORDS))
+    navigation = line.rlike(r"(?:%s.*){%d}" % (SEPARATED, SEPARATORS)) & ~line.contains("«")
+    symbols = line.rlike(SYMBOLS) & (n_symbols * 3 > F.regexp_count(line, F.lit(NOT_SPACE + "+")))
+    shouting = ~line.rlike(r"\p{Ll}") & line.rlike(r"(?:\p{Lu}[^\p{Lu}]*){%d}" % CAPITALS)
+    low = F.lower(line)
+    boilerplate = low.rlike(_whole(BOILERPLATE)) & ~line.rlike(_has_words(BOILERPLATE_WORDS))
+    button = ~line.rlike(_has_words(BUTTON_WORDS)) & low.rlike(_whole(BUTTONS))
+    return line.rlike(NOT_SPACE) & (unfinished | shouting | navigation | symbols | boilerplate | button)
 
 
 def repeated_words(words: Column, windows: Column) -> Column:
@@ -163,11 +172,12 @@ WITH w AS (
   SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM w
 ), judged AS (
   SELECT doc_id, pos, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded,
-         (NOT regexp_matches(line, '[.!?:;…"''”’»)][\x20\x09-\x0D]*\z') AND NOT regexp_matches(line, '\A(?:[^ ]* ){9}'))
-           OR regexp_matches(line, '(?:[|»›•·][^|»›•·]*){3}')
-           OR (NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '\p{Lu}'))
-           OR (length(line) - length(regexp_replace(line, '[#*$%&|<>]+', '', 'g'))) * 3 > length(line) - length(replace(line, ' ', '')) + 1
-           OR (NOT regexp_matches(line, '\A(?:[^ ]* ){29}') AND regexp_matches(lower(line), '@@BOILERPLATE@@')) AS broken
+         (NOT regexp_matches(line, '[.!?:;…"''”’»)][\x20\x09-\x0D]*\z') AND NOT regexp_matches(line, '@@SHORT@@'))
+           OR (regexp_matches(line, '(?:[\x20\x09][|»›•·][\x20\x09].*){3}') AND NOT contains(line, '«'))
+           OR (NOT regexp_matches(line, '\p{Ll}') AND regexp_matches(line, '(?:\p{Lu}[^\p{Lu}]*){5}'))
+           OR (length(line) - length(regexp_replace(line, '[#*$%&|<>]+', '', 'g'))) * 3 > len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
+           OR (NOT regexp_matches(line, '@@LONG@@') AND regexp_matches(lower(line), '@@BOILERPLATE@@'))
+           OR (NOT regexp_matches(line, '@@FEW@@') AND regexp_matches(lower(line), '@@BUTTONS@@')) AS broken
   FROM parts
 ), lines AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (worded AND broken)), '') AS clean,
@@ -185,4 +195,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR lost) AS kept
 FROM m
-""".replace("@@BOILERPLATE@@", "|".join(BOILERPLATE))
+"""
+for _name, _pattern in {
+    "SHORT": _has_words(SHORT_WORDS), "LONG": _has_words(BOILERPLATE_WORDS), "FEW": _has_words(BUTTON_WORDS), "BOILERPLATE": _whole(BOILERPLATE), "BUTTONS": _whole(BUTTONS)
+}.items():
+    ORACLE_SQL = ORACLE_SQL.replace(f"@@{_name}@@", _pattern)

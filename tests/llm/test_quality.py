@@ -63,6 +63,21 @@ def test_lines_go_and_documents_that_lose_too_much(spark):
         assert not x[1]["kept"], bad
 
 
+def test_clean_prose_is_left_alone(spark):
+    prose = [
+        "They made a new design in wood for the small houses of the village.", "The catalog in the hall had been spread more widely than they thought.",
+        "You should read more books, she said, and sign in with your own name if you can.", "A.",
+        "Der Ort lag still da, »wie im Traum«, sagte sie, und »ganz ohne Wind«, wie »immer« im Herbst.", "Die Kinder wollten im Garten bleiben, bis es dunkel wurde.",
+        "Il disait « oui » puis « non » puis « peut-être » sans jamais se décider vraiment.", "La maison était grande et le jardin donnait sur la rivière.",
+        "La col·lecció, l'il·lusió i la col·laboració eren paraules que els agradaven molt.", "El jardín era grande y la casa miraba hacia el río.",
+        "  one two\tthree four five six seven eight nine ten eleven", "USA (1999).",
+    ]
+    bad = [" " * 10 + "Home", "Home\t|\tNews | Sport | Weather today and in all of the coming days of the week.", "Sign in.", "Read more!", "Tous droits réservés.", "NOW OPEN!"]
+    out = judged(spark, ["\n".join([*prose, PROSE])] + [f"{PROSE}\n{x}" for x in bad])
+    assert out[0]["clean_text"] == "\n".join([*prose, PROSE])
+    assert [out[i + 1]["clean_text"] for i in range(len(bad))] == [PROSE] * len(bad)
+
+
 def test_random_texts(spark):
     texts = []
 
