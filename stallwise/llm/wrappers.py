@@ -1,31 +1,35 @@
 """Main text of web pages by wrappers inferred from the pages of each host.
 
-A page is parsed into a tree of blocks and text runs.  Trees of one host are
-aligned one after the other into a wrapper, a union-free regular expression over blocks:
-what all pages have in a place is required, what only some have becomes an optional
-item, neighbouring items of one shape fold into a repeated group, and a text that
-differs between pages becomes a slot; one that never does stays a constant.
-
-Partial wrappers are inferred where the pages are read, and merged in two rounds by
-host, so a host of any size meets in one task only as a few small wrappers.  The
-wrapper says which of its text items are main text; each page is then matched with
-its host's wrapper and gives up the texts in those places.
+A page is parsed into a tree of blocks and text runs; neighbouring blocks of one shape fold into a
+repeated group.  Trees of one host are aligned into a wrapper, a union-free regular
+expression over blocks: what all pages have in a place is required, what only some have becomes an
+optional item, and a text that differs between pages becomes a slot; one that never does stays a constant.
+
+Pages of one shape align place by place, which no order of pages, copy or partition changes:
+that is done where pages are read.  The shapes of a host, of which there are few, are then aligned in a fixed
+order, in two rounds, so a host of any size meets in one task only as a few small wrappers.  The wrapper says
+which of its text items are main text; each page is then matched with its host's
+wrapper and gives up the texts in those places.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import json
 import re
-import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 # HTML elements by their role in the tree.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -47,7 +51,16 @@ MARKS = frozenset(
     "signup skip social subscribe tags toolbar topbar widget widgets".split()
 )
 MARK_STARTS = ("advert", "comment", "sponsor")
+# Words that say nothing beside a mark in a name such as "ad-slot", and marks that paragraphs of an article may bear too.
+NEUTRAL = frozenset(
+    "area bar block blocks body bottom box button buttons container content entry group header holder inner item items left link links list main "
+    "outer page panel post posts right row section site slot story text title top unit wrap wrapper".split()
+)
+AMBIGUOUS = frozenset("alert copyright disclaimer menu notice notices related replies reply respond search share sharing social tags widget widgets".split())
+PLAIN = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 HEADER = frozenset(("header", "head"))
+#: Deeper blocks become neighbours of those at this depth.
+DEPTH = 100
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -55,32 +68,44 @@ _PART = re.compile(r"[a-z0-9]+")
 
 
 class Block:
-    """A block: its label (tag and marks), children (blocks, or (text, characters in links))."""
+    """A block: its label (tag, hint and words of class, id and role), children (blocks, or (text, characters in links))."""
+
+    __slots__ = ("children", "label", "tag")
+
+    def __init__(self, tag: str, label: str):
+        self.tag, self.label, self.children = tag, label, []
 
-    __slots__ = ("aside", "children", "label", "tag")
 
-    def __init__(self, tag: str, label: str, aside: bool):
-        self.tag, self.label, self.aside, self.children = tag, label, aside, []
+def _marked(word: str) -> bool:
+    return word in MARKS or word.startswith(MARK_STARTS)
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """The block's label and whether its tag or marks say that it isn't main text."""
-    parts, aside = set(), tag in ASIDE
+def _label(tag: str, attributes: str) -> str:
+    """The tag, with "!" if its names say that it isn't main text, and their words.
+
+    A name does if it is made of marks and neutral words; marks beside other words say nothing.
+    On a block of plain text, ambiguous marks say nothing either: "?".
+    """
+    parts, hint = set(), ""
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         value = "".join(values).lower()
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            aside = True
+            hint = "!"
         elif name in ("class", "id", "role"):
-            words = _PART.findall(re.sub(r"\d+", " ", value))
-            parts.update(words)
-    marks = {p for p in parts if p in MARKS or p.startswith(MARK_STARTS)}
-    return " ".join([tag, *sorted(parts)]), aside or bool(marks) and tag not in ("html", "body", *MAIN)
+            for token in value.split():
+                words = _PART.findall(re.sub(r"\d+", " ", token))
+                parts.update(words)
+                marks = [w for w in words if _marked(w)]
+                if marks and all(_marked(w) or w in NEUTRAL for w in words):
+                    doubtful = tag in PLAIN and all(w in AMBIGUOUS for w in marks)
+                    hint = "!" if hint == "!" or not doubtful else "?"
+    return " ".join([tag + hint, *sorted(parts)])
 
 
 def parse(page: str) -> Block:
     """A page's tree; markup that isn't closed, nested wrongly or cut off is read as browsers mostly do."""
-    root = Block("#page", "#page", False)
+    root = Block("#page", "#page")
     stack, run, links, in_link, position, n = [root], [], 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -88,7 +113,11 @@ def parse(page: str) -> Block:
         if run:
             text = " ".join("".join(run).split())
             if text:
-                stack[-1].children.append((text, links))
+                holder = stack[-1]
+                if len(stack) > DEPTH + 1:  # a run of its own among the blocks of that depth
+                    holder = Block(holder.tag, holder.label)
+                    stack[DEPTH].children.append(holder)
+                holder.children.append((text, links))
             run.clear()
         links = 0
 
@@ -133,14 +162,19 @@ def parse(page: str) -> Block:
             if stack[-1].tag == "p":
                 stack.pop()
             closes = CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if closes else ():
                 if stack[k].tag in HOLDS.get(tag, "").split():
                     break
                 if stack[k].tag in closes:
                     del stack[k:]
                     break
-            block = Block(tag, *_label(tag, found[3] or ""))
-            stack[-1].children.append(block)
+            block = Block(tag, _label(tag, found[3] or ""))
+            if len(stack) > DEPTH:  # what isn't main text there keeps what is nested in it from being so
+                if _is_aside(stack[-1].label, False):
+                    block.label = stack[-1].label
+                stack[DEPTH].children.append(block)
+            else:
+                stack[-1].children.append(block)
             stack.append(block)
     flush()
     return root
@@ -157,14 +191,15 @@ def _past(page: str, position: int, tag: str) -> int:
     return end.end() if end else position
 
 
-# A wrapper's item is a list: [key, least, most, pages, constant or None, characters, linked, children, seen].
+# A wrapper's item is a list: [key, least, most, seen, constant or None, characters, read, children].
 # least and most are 0 or 1 and 1 or 2 (repeated); texts have the key "#text" and no children.
-# seen has the least signatures of the pages with the item, and pages is their number, EVIDENCE at most:
-# copies of a page have one signature, so they count once wherever they are read and merged.
-KEY, LEAST, MOST, PAGES, CONSTANT, CHARS, LINKED, CHILDREN, SEEN = range(9)
+# seen has the least signatures of the pages with the item, EVIDENCE at most: copies of a page have one signature, so
+# they count once wherever they are read and merged.  characters are the most that a page has there, and
+# read is 1 if on some page most of them aren't in links.
+KEY, LEAST, MOST, SEEN, CONSTANT, CHARS, READ, CHILDREN = range(8)
 TEXT = "#text"
-#: A text that is the same on so many different pages is a constant of its host.
-EVIDENCE = 3
+#: A text that is the same on so many different pages is a constant of its host; in an article it takes more.
+EVIDENCE_AROUND, EVIDENCE = 3, 8
 
 
 def _signature(tree: Block) -> int:
@@ -184,12 +219,16 @@ def _signature(tree: Block) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=6).digest())
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def _item(node, page: int) -> list:
     """The item of a block or text of the page with this signature."""
     if isinstance(node, tuple):
         text, links = node
-        return [TEXT, 1, 1, 1, text if len(text) <= 80 else f"#{zlib.crc32(text.encode('utf-8', 'surrogatepass'))}:{len(text)}", len(text), links, [], [page]]
-    return [node.label, 1, 1, 1, None, 0, 0, fold([_item(c, page) for c in node.children]), [page]]
+        return [TEXT, 1, 1, [page], text if len(text) <= 16 else _digest(text), len(text), int(links * 2 <= len(text)), []]
+    return [node.label, 1, 1, [page], None, 0, 0, fold([_item(c, page) for c in node.children])]
 
 
 def _page(tree: Block) -> list:
@@ -200,33 +239,44 @@ def _merge(a: list, b: list, within: bool = False) -> list:
     """One item for two of the same key.
 
     Texts of different pages stay constant if they are equal; those of neighbours
-    ``within`` the same pages, if each is, as the run of both.
+    ``within`` the same pages, if each is and the pages are the same, as the run of both.
     """
     x, y = a[CONSTANT], b[CONSTANT]
-    if within and x is not None and y is not None:
-        constant = f"#{zlib.crc32(f'{x}|{y}'.encode('utf-8', 'surrogatepass'))}"
+    if within and x is not None and y is not None and a[SEEN] == b[SEEN]:
+        constant = _digest(f"{x}|{y}")
     else:
         constant = x if x == y and not within else None
     seen = a[SEEN] if a[SEEN] == b[SEEN] else sorted({*a[SEEN], *b[SEEN]})[:EVIDENCE]
-    out = [a[KEY], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), len(seen), constant, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], [], seen]
+    out = [a[KEY], min(a[LEAST], b[LEAST]), max(a[MOST], b[MOST]), seen, constant, max(a[CHARS], b[CHARS]), a[READ] | b[READ], []]
     out[CHILDREN] = fold(align(a[CHILDREN], b[CHILDREN], within))
     return out
 
 
-#: A block with more unfolded children folds them by key alone, which bounds an alignment's cost.
-LONG = 400
+def _overlay(a: list, b: list) -> None:
+    """Merge the wrapper ``b`` into ``a``, both of one shape, place by place: the same in any order, however often."""
+    if a[CONSTANT] != b[CONSTANT]:
+        a[CONSTANT] = None
+    if a[SEEN] != b[SEEN]:
+        a[SEEN] = sorted({*a[SEEN], *b[SEEN]})[:EVIDENCE]
+    a[CHARS], a[READ] = max(a[CHARS], b[CHARS]), a[READ] | b[READ]
+    for x, y in zip(a[CHILDREN], b[CHILDREN]):
+        _overlay(x, y)
 
 
 def _shape(item: list) -> str:
-    """What an item looks like, without its texts: its key and its children's shapes."""
-    children = ",".join(x[KEY] if not x[CHILDREN] else _shape(x) for x in item[CHILDREN])
-    return f"{item[KEY]}({children})" if children else item[KEY]
+    """What an item looks like, without its texts: its key, whether it repeats, and its children's shapes."""
+    children = ",".join([_shape(x) for x in item[CHILDREN]])
+    return f"{item[KEY]}{'+' * (item[MOST] > 1)}({children})"
+
+
+def _look(item: list) -> str:
+    """The shape of one of a run's items, which may itself be a run already."""
+    return f"{item[KEY]}({','.join([_shape(x) for x in item[CHILDREN]])})"
 
 
 def fold(items: list[list]) -> list[list]:
     """Turn neighbouring runs of one shape, one to three items long, into one repeated group of items."""
-    items = _fold(items, _shape)
-    return items if len(items) <= LONG else _fold(items, lambda x: x[KEY])
+    return _fold(items, _look)
 
 
 def _fold(items: list[list], look) -> list[list]:
@@ -249,79 +299,121 @@ def _fold(items: list[list], look) -> list[list]:
 
 
 def align(a: list[list], b: list[list], within: bool = False) -> list[list]:
-    """The items of two sequences, aligned by a longest common subsequence of keys; the rest become optional."""
-    n, m = len(a), len(b)
+    """The items of two sequences, aligned by their keys in order; the rest become optional.
+
+    The n-th item of a key in one may go with the n-th in the other; the longest sequence
+    of such pairs that is in order in both is taken, which costs hardly more than the items themselves.
+    """
     if [x[KEY] for x in a] == [x[KEY] for x in b]:
         return [_merge(x, y, within) for x, y in zip(a, b)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below, key = best[i], best[i + 1], a[i][KEY]
-        for j in range(m - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if key == b[j][KEY] else max(below[j], row[j + 1])
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x[KEY], []).append(j)
+    met: dict[str, int] = {}
+    tails: list[int] = []  # the least last place in b of an ordered sequence of each length, and that pair's number
+    pairs: list[tuple[int, int, int]] = []  # (i, j, the pair before)
+    last: list[int] = []
+    for i, x in enumerate(a):
+        k = met.get(x[KEY], 0)
+        met[x[KEY]] = k + 1
+        if k < len(places.get(x[KEY], ())):
+            j = places[x[KEY]][k]
+            at = bisect_left(tails, j)
+            pairs.append((i, j, last[at - 1] if at else -1))
+            tails[at : at + 1], last[at : at + 1] = [j], [len(pairs) - 1]
+    taken, at = [], last[-1] if last else -1
+    while at >= 0:
+        i, j, at = pairs[at]
+        taken.append((i, j))
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][KEY] == b[j][KEY]:
-            out.append(_merge(a[i], b[j], within))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][KEY], 0, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][KEY], 0, *b[j][2:]])
-            j += 1
+    for x, y in [*reversed(taken), (len(a), len(b))]:
+        out += [[item[KEY], 0, *item[2:]] for item in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(_merge(a[x], b[y], within))
+        i, j = x + 1, y + 1
     return out
 
 
 def infer(trees: Iterator[Block]) -> list | None:
-    """The wrapper of some pages; pages that are the same throughout are merged once in a row."""
-    wrapper, last = None, None
+    """The wrapper of some pages: one of each shape, then all of those in a fixed order."""
+    shapes: dict[str, list] = {}
     for tree in trees:
         item = _page(tree)
-        if wrapper is None:
-            wrapper = item
-        elif item != last:
-            wrapper = _merge(wrapper, item)
-        last = item
-    return wrapper
+        shape = _shape(item)
+        if shape in shapes:
+            _overlay(shapes[shape], item)
+        else:
+            shapes[shape] = item
+    return merged([shapes[k] for k in sorted(shapes)])
 
 
-def mark(item: list, aside: bool = False, in_main: bool = False, least_pages: int = EVIDENCE, around: str | None = None) -> dict:
+def merged(wrappers: list[list]) -> list | None:
+    """One wrapper of some, aligned one after the other."""
+    return functools.reduce(_merge, wrappers) if wrappers else None
+
+
+def mark(wrapper: list, least_around: int = EVIDENCE_AROUND, least_inside: int = EVIDENCE) -> dict:
     """Which of a wrapper's texts are main text: ``{"k": key, "c": children}``, and for texts ``{"k", "m", "n", "o"}``; ``r`` if repeated.
 
-    ``m`` says so for pages with an article or main block: all texts inside, but for
-    blocks marked otherwise.  ``n`` says so for pages whose articles are all in blocks that only their marks
-    set aside: an article or main block lifts those ``around`` it.  ``o`` says so for pages without one: any text that isn't
-    in a block marked otherwise, constant over ``least_pages`` different pages or more (up to EVIDENCE are told apart), or mostly links.
+    Slots are main text, and constants aren't: texts that are the same over ``least_around`` different pages, or ``least_inside`` in an
+    article.  Where constants make up most of the characters, in an article or around it, the pages are all but copies
+    of each other, and being constant says nothing there.  Tags and marks of blocks tell what else isn't.
+
+    ``m`` holds for pages with an article or main block: what is in it.  ``n`` holds for pages whose articles are all
+    in blocks that only their marks set aside: an article or main block lifts those around it.  ``o`` holds for pages
+    without one: what is never mostly links.
     """
-    key = item[KEY]
-    if key == TEXT:
-        constant = item[CONSTANT] is not None and item[PAGES] >= least_pages
-        linked = item[LINKED] * 2 > item[CHARS]
-        return {"k": key, "r": item[MOST] > 1, "m": in_main and not aside, "n": in_main and not around, "o": not (aside or constant or linked)}
-    tag, *parts = key.split(" ")
-    here = _is_aside(tag, parts, in_main)
-    around = _lifted(around, here, tag, parts)
-    aside = aside or here
-    in_main = in_main or tag in MAIN
-    return {"k": key, "r": item[MOST] > 1, "c": [mark(x, aside, in_main, least_pages, around) for x in item[CHILDREN]]}
-
-
-def _is_aside(tag: str, parts: list[str], in_main: bool) -> bool:
+    total = {True: [0, 0], False: [0, 0]}
+
+    def weigh(item: list, aside: bool, in_main: bool) -> None:
+        if item[KEY] == TEXT:
+            if not aside:
+                total[in_main][_constant(item, in_main)] += item[CHARS]
+            return
+        aside = aside or _is_aside(item[KEY], in_main)
+        for x in item[CHILDREN]:
+            weigh(x, aside, in_main or _tag(item[KEY]) in MAIN)
+
+    def _constant(item: list, in_main: bool) -> bool:
+        return item[CONSTANT] is not None and len(item[SEEN]) >= (least_inside if in_main else least_around)
+
+    def marked(item: list, aside: bool, in_main: bool, doubtful: bool, around: str | None) -> dict:
+        key = item[KEY]
+        if key == TEXT:
+            slots, constants = total[in_main]
+            content = not (_constant(item, in_main) and slots > constants) and not (doubtful and not item[READ])
+            return {"k": key, "r": item[MOST] > 1, "m": in_main and content and not aside, "n": in_main and content and not around, "o": bool(content and not aside and item[READ])}
+        here, tag = _is_aside(key, in_main), _tag(key)
+        around, in_main = _lifted(around, here, key), in_main or tag in MAIN
+        return {"k": key, "r": item[MOST] > 1, "c": [marked(x, aside or here, in_main, doubtful or "?" in key.split(" ")[0], around) for x in item[CHILDREN]]}
+
+    weigh(wrapper, False, False)
+    return marked(wrapper, False, False, False, None)
+
+
+def _tag(label: str) -> str:
+    return label.split(" ", 1)[0].rstrip("!?")
+
+
+def _is_aside(label: str, in_main: bool) -> bool:
+    """Whether a block's tag or names say that it isn't main text."""
+    tag = _tag(label)
     if tag in ASIDE:
         return True
     if tag in ("html", "body", "#page", *MAIN):
         return False
-    if not in_main and (tag == "header" or not HEADER.isdisjoint(parts)):
+    if not in_main and (tag == "header" or not HEADER.isdisjoint(label.split(" ")[1:])):
         return True
-    return any(p in MARKS or p.startswith(MARK_STARTS) for p in parts)
+    return "!" in label.split(" ", 1)[0]
 
 
-def _lifted(around: str | None, here: bool, tag: str, parts: list[str]) -> str | None:
+def _lifted(around: str | None, here: bool, label: str) -> str | None:
     """How the blocks around and this one set aside what is inside: None if not, "marked" if an article or main block lifts it, "kept" if none does.
 
     Navigation, footers, forms and comments keep what they hold.
     """
-    if around == "kept" or (here and (tag in ASIDE or any(p.startswith("comment") for p in parts))):
+    tag = _tag(label)
+    if around == "kept" or (here and (tag in ASIDE or any(p.startswith("comment") for p in label.split(" ")[1:]))):
         return "kept"
     return "marked" if here else None if tag in MAIN else around
 
@@ -332,7 +424,7 @@ def has_main(block: Block, inside: bool = False, tags: frozenset = MAIN) -> bool
         if isinstance(child, tuple):
             if inside:
                 return True
-        elif not _is_aside(child.tag, child.label.split(" ")[1:], inside) and has_main(child, inside or child.tag in tags, tags):
+        elif not _is_aside(child.label, inside) and has_main(child, inside or child.tag in tags, tags):
             return True
     return False
 
@@ -344,8 +436,7 @@ def has_marked(block: Block, tags: frozenset, in_main: bool = False, inside: boo
             if inside and not around:
                 return True
             continue
-        parts = child.label.split(" ")[1:]
-        at = _lifted(around, _is_aside(child.tag, parts, in_main), child.tag, parts)
+        at = _lifted(around, _is_aside(child.label, in_main), child.label)
         if at != "kept" and has_marked(child, tags, in_main or child.tag in MAIN, inside or child.tag in tags, at):
             return True
     return False
@@ -393,11 +484,10 @@ def extract(tree: Block, plan: dict) -> str:
         for child in block.children:
             key = TEXT if isinstance(child, tuple) else child.label
             found = places[key]
-            if len(found) > 1:
-                found = sorted(found, key=lambda k: k < at or (k == at and not items[k].get("r")))
-                if key != TEXT:
-                    found = [k for k in found if _accepts(items[k]["c"], child)]
-            at = found[0]
+            # The places from here on, then the earlier ones; the first that the child fits.
+            first = bisect_left(found, at + (at >= 0 and not items[at].get("r")))
+            order = chain(islice(found, first, None), islice(found, first))
+            at = next(k for k in order if key == TEXT or len(found) == 1 or _accepts(items[k]["c"], child))
             if key != TEXT:
                 walk(child, items[at]["c"])
             elif items[at][flag]:
@@ -412,53 +502,64 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)", 1))
 
 
+#: Plans of so many hosts and characters at most are sent to every task; others are joined to the pages.
+SMALL_HOSTS, SMALL_PLANS = 100_000, 32_000_000
+
+
 def _dump(wrapper: list | dict) -> str:
     return json.dumps(wrapper, separators=(",", ":"))
 
 
-def plans(pages: DataFrame, salt: int = 64, held: int = 5000) -> DataFrame:
+def plans(pages: DataFrame, salt: int = 64, held: int = 20_000) -> DataFrame:
     """``host, plan``: each host's wrapper, marked, from ``host, html``.
 
-    A task holds at most ``held`` hosts' partial wrappers at a time.  Those of one host are
-    merged in ``salt`` parts first, then as one.
+    A task holds at most ``held`` partial wrappers at a time, one a host and shape; the rest of
+    its pages begin new ones.  Those of one shape are overlaid, in ``salt`` parts first; a host's
+    shapes are then merged in ``salt`` parts by their hashes, and those as one.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, found, last = TaskContext.get().partitionId() % salt, {}, {}
+        part, found = TaskContext.get().partitionId() % salt, {}
 
         def rows() -> pa.RecordBatch:
-            columns = [pa.array(list(found), pa.string()), pa.array([part] * len(found), pa.int32()), pa.array([_dump(x) for x in found.values()], pa.string())]
-            return pa.RecordBatch.from_arrays(columns, names=["host", "part", "plan"])
+            columns = [pa.array([k[0] for k in found], pa.string()), pa.array([_digest(k[1]) for k in found], pa.string())]
+            columns += [pa.array([part] * len(found), pa.int32()), pa.array([_dump(x) for x in found.values()], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["host", "shape", "part", "plan"])
 
         for batch in batches:
             for host, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
                 item = _page(parse(page or ""))
-                if host not in found:
-                    found[host] = item
-                elif item != last[host]:
-                    found[host] = _merge(found[host], item)
-                last[host] = item
+                key = (host, _shape(item))
+                if key in found:
+                    _overlay(found[key], item)
+                else:
+                    found[key] = item
             if len(found) > held:
                 yield rows()
                 found.clear()
-                last.clear()
         yield rows()
 
+    def overlaid(table: pa.Table) -> pa.Table:
+        whole, *others = map(json.loads, table["plan"].to_pylist())
+        for x in others:
+            _overlay(whole, x)
+        return table.slice(0, 1).set_column(3, "plan", pa.array([_dump(whole)], pa.string()))
+
     def merger(finish: bool):
-        def merged(table: pa.Table) -> pa.Table:
-            # In a fixed order, so that the same partial wrappers always give the same one.
-            whole, *others = (json.loads(x) for x in sorted(table["plan"].to_pylist()))
-            for x in others:
-                whole = _merge(whole, x)
-            out = _dump(mark(whole) if finish else whole)
-            return pa.table({"host": table["host"].slice(0, 1), "part": table["part"].slice(0, 1), "plan": pa.array([out], pa.string())})
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("shape")  # the same wrapper whatever the order of rows
+            whole = merged([json.loads(x) for x in table["plan"].to_pylist()])
+            return table.slice(0, 1).set_column(3, "plan", pa.array([_dump(mark(whole) if finish else whole)], pa.string()))
 
-        return merged
+        return run
 
-    schema = "host string, part int, plan string"
+    schema = "host string, shape string, part int, plan string"
     some = pages.select("host", "html").mapInArrow(partial, schema)
-    some = some.groupBy("host", "part").applyInArrow(merger(False), schema)
-    return some.groupBy("host").applyInArrow(merger(True), schema).drop("part")
+    for keys in (("host", "shape", "part"), ("host", "shape")):
+        some = some.groupBy(*keys).applyInArrow(overlaid, schema)
+    by_hash = F.pmod(F.crc32("shape"), F.lit(salt)).cast("int").alias("part")
+    some = some.select("host", "shape", by_hash, "plan").groupBy("host", "part").applyInArrow(merger(False), schema)
+    return some.groupBy("host").applyInArrow(merger(True), schema).select("host", "plan")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -473,12 +574,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
+    found = cut(plans(rows))
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("plan")), F.lit(0))).first()
+    small = n <= SMALL_HOSTS and size <= SMALL_PLANS
+    shipped = rows.sparkSession.sparkContext.broadcast({x["host"]: x["plan"] for x in found.collect()}) if small else None
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, dict] = {}
         for batch in batches:
             texts = []
-            for page, plan in zip(batch["html"].to_pylist(), batch["plan"].to_pylist()):
+            of_host = shipped.value if shipped else None
+            given = [of_host[h] for h in batch["host"].to_pylist()] if shipped else batch["plan"].to_pylist()
+            for page, plan in zip(batch["html"].to_pylist(), given):
                 if plan not in loaded:
                     if len(loaded) >= 500:
                         loaded.clear()
@@ -487,5 +594,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             columns = [batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    joined = rows.join(plans(rows), "host").select("page_id", "url", "html", "plan")
-    return joined.mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")
+    if not small:
+        # A host's pages go to several tasks, each with the host's plan.
+        parts = 64
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(parts)).cast("int"))
+        rows = salted.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["host", "salt"])
+    return rows.drop("salt").mapInArrow(extracted, f"page_id {kind}, url string, text string, n_chars long")

@@ -98,11 +98,73 @@ def test_wrappers_fold_and_generalise():
     (body,) = a[w.CHILDREN]
     assert [(x[w.KEY], x[w.LEAST], x[w.MOST]) for x in body[w.CHILDREN]] == [("h1", 1, 1), ("div", 0, 1), ("p", 1, 2)]
     (h1,), (p,) = body[w.CHILDREN][0][w.CHILDREN], body[w.CHILDREN][2][w.CHILDREN]
-    assert h1[w.CONSTANT] == "A" and p[w.CONSTANT] is None and a[w.PAGES] == 2
+    assert h1[w.CONSTANT] == "A" and p[w.CONSTANT] is None and len(a[w.SEEN]) == 2
     pairs = w.infer(map(w.parse, ["<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>"]))
     assert [x[w.KEY] for x in pairs[w.CHILDREN][0][w.CHILDREN]] == ["dt", "dd"]
 
 
+def extracted(pages):
+    """The texts of one host's pages by their wrapper, without Spark."""
+    plan = w.mark(w.infer(map(w.parse, pages)))
+    return [w.extract(w.parse(p), plan) for p in pages]
+
+
+def test_constants_and_slots_decide_in_articles_too():
+    r = random.Random(1)
+    story = [" ".join(r.choices("alpha beta gamma delta epsilon".split(), k=20)) for _ in range(10)]
+    pages = [f"<article><h1>Day {i}</h1><div>Support us with a gift.</div><p>{s}</p><p>{s[::-1]}</p><div>All our stories</div></article>" for i, s in enumerate(story)]
+    assert extracted(pages) == [f"Day {i}\n{s}\n{s[::-1]}" for i, s in enumerate(story)]
+    # The same page alone, or with too few others, has no evidence against those lines.
+    assert extracted(pages[:1])[0] == f"Day 0\nSupport us with a gift.\n{story[0]}\n{story[0][::-1]}\nAll our stories"
+    # Ten pages that are all but copies: what is constant is the story.
+    near = [f"<body><div><h2>One story</h2></div><div>{story[0]}</div><section>{story[1]}</section><i>{i}</i></body>" for i in range(10)]
+    assert extracted(near) == [f"One story\n{story[0]}\n{story[1]}\n{i}" for i in range(10)]
+
+
+def test_marks_are_hints_where_they_are_doubtful():
+    body = "<p id='search-results-in-physics'>One {0}</p><p class='tags'>Two {0}</p><p class='alert-free text'>Three {0}</p>"
+    links = "<p class='tags'><a href=/{0}>tag {0}</a></p>"
+    side = "<div class='ad-slot'>Buy {0}</div><div id='related-posts'>See {0}</div><p class='advert'>Buy {0}</p><ul class='social-share-buttons'><li>Share {0}</ul>"
+    pages = [f"<article><h1>T{i}</h1><div>{body.format(i)}</div><section>{links.format(i)}</section>{side.format(i)}</article>" for i in range(4)]
+    assert extracted(pages) == [f"T{i}\nOne {i}\nTwo {i}\nThree {i}" for i in range(4)]
+
+
+def test_no_order_copy_or_partition_matters(spark):
+    r = random.Random(8)
+    word = lambda: r.choice("alpha beta gamma delta epsilon zeta".split())
+    pages = []
+    for i in range(60):
+        parts = [f"<{t}>{' '.join(word() for _ in range(6))}</{t}>" for t in r.choices(("p", "h2", "div", "blockquote", "section"), k=r.randrange(1, 7))]
+        constant = "<div>Imprint</div>" * (i % 2) + "<section><p>Stay</p><p>tuned</p></section>" * (i % 3 == 0)
+        pages.append((i, "http://h/", f"<body>{constant}<div>{''.join(parts)}</div>{constant}</body>"))
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    want = {x["page_id"]: x["text"] for x in w.main_text(rows.coalesce(1)).collect()}
+    assert any(want.values())
+    shuffled = spark.createDataFrame(r.sample(pages, 60) + pages[::3] + pages[:9] * 4, rows.schema)
+    for parts in (1, 7):
+        assert all(want[x["page_id"]] == x["text"] for x in w.main_text(shuffled.repartition(parts)).collect()), parts
+
+
+def test_plans_joined_where_they_are_too_many_to_send(spark, monkeypatch):
+    pages = [(f"http://h{i % 3}/", f"<body><article><p>Text {i}</p></article><div>Site</div></body>") for i in range(12)]
+    want = texts(spark, pages)
+    monkeypatch.setattr(w, "SMALL_HOSTS", 1)
+    assert texts(spark, pages) == want == [f"Text {i}" for i in range(12)]
+
+
+def test_deep_and_wide_pages():
+    n = 10_000
+    assert extracted(["<div>" * n + "deep" + "</div>" * n]) == ["deep"]
+    mixed = "".join(f"<div>{i}" for i in range(500)) + "".join(f"{i}</div>" for i in range(500))
+    assert extracted([mixed])[0].split("\n") == [*map(str, range(499)), "4990", *map(str, range(1, 500))]
+    hidden = "<div>" * 150 + "<nav><div><p>menu</p></div></nav><p>text</p>" + "</div>" * 150
+    assert extracted([hidden]) == ["text"]
+    tags = ("p", "div", "blockquote", "h2", "pre")
+    r = random.Random(2)
+    wide = ["".join(f"<{t}>{t} {k} {i}</{t}>" for k, t in enumerate(r.choices(tags, k=4000))) for i in range(3)]
+    assert extracted([f"<body>{x}</body>" for x in wide]) == ["\n".join(re.findall(r">([^<]+)<", x)) for x in wide]
+
+
 def test_hosts(spark):
     urls = ["http://A.example/x", "https://u:p@b:8/", "//c?x", "d/e", None, " http://e#x"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
