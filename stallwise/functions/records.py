@@ -6,43 +6,62 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .prices import to_number
+from .text import ACCESSORIES, verified_note
 
-# The fields of a parsed listing and the conditions of the catalogue.
-FIELDS = ("brand", "model", "condition", "seller_notes", "price_amount", "price_currency", "delivery_available", "is_electronics")
+# The fields of a parser's response beside specs, and the conditions of the catalogue.
+FIELDS = (
+    "condition", "brand", "model", "seller_notes", "phone", "delivery_available", "seller_type", "is_electronics", "stated_price_amount", "stated_price_currency",
+)
 CONDITIONS = ("New", "Used - Like New", "Used - Good", "Used - Fair", "Used", "For parts")
 
 
-def repaired_json(raw: Column) -> Column:
-    """JSON text without a code fence around it, with the closing braces that are missing at its end."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+def repaired_json(raw: Column) -> tuple[Column, Column]:
+    """JSON text without a code fence around it, and the same with the closing braces that are missing at its end."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?U)^```(?:json)?\s*", ""), r"(?U)\s*```$", ""))
     missing = F.length(F.replace(bare, F.lit("{"), F.lit("{{"))) - F.length(F.replace(bare, F.lit("}"), F.lit("}}")))
-    return F.concat(bare, F.repeat(F.lit("}"), F.greatest(missing, F.lit(0))))
+    return bare, F.concat(bare, F.repeat(F.lit("}"), F.greatest(missing, F.lit(0))))
 
 
 def fields_of(raw: Column) -> Column:
-    """map of a response's top-level fields; those of the schema that are nested in specs come up if absent at the top."""
-    top = F.coalesce(F.from_json(repaired_json(raw), "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    specs = F.coalesce(F.from_json(F.try_element_at(top, F.lit("specs")), "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    """A response's top-level fields and its specs as maps; null if it isn't a JSON object even with its braces closed.
+
+    Fields that are nested in specs come up if absent at the top; blank specs go.
+    """
+    kind, none = "map<string,string>", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    bare, closed = repaired_json(raw)
+    top = F.coalesce(F.from_json(bare, kind), F.from_json(closed, kind))
+    specs = F.coalesce(F.from_json(F.try_element_at(top, F.lit("specs")), kind), none)
     up = F.map_filter(specs, lambda k, _: k.isin(*FIELDS) & ~F.map_contains_key(top, k))
-    down = F.map_filter(specs, lambda k, v: ~k.isin(*FIELDS) & (F.coalesce(F.trim(v), F.lit("")) != ""))
-    return F.struct(F.map_concat(F.map_filter(top, lambda k, _: k != "specs"), up).alias("fields"), down.alias("specs"))
+    down = F.map_filter(specs, lambda k, v: ~F.map_contains_key(up, k) & (F.coalesce(F.trim(v), F.lit("")) != ""))
+    return F.when(top.isNotNull(), F.struct(F.map_concat(F.map_filter(top, lambda k, _: k != "specs"), up).alias("fields"), down.alias("specs")))
 
 
 def typed(found: Column) -> Column:
-    """The struct of typed fields with their defaults: currency EUR or MKD, amounts above 0, no delivery, electronics."""
+    """The struct of typed fields with their defaults: empty texts are null, no delivery, electronics.
+
+    A stated price needs an amount above 0 and a currency, EUR or MKD; without either both are null.
+    """
 
     def field(name: str) -> Column:
-        return F.nullif(F.trim(F.try_element_at(found["fields"], F.lit(name))), F.lit(""))
+        return F.nullif(F.try_element_at(found["fields"], F.lit(name)), F.lit(""))
 
-    amount = to_number(field("price_amount"))
-    currency = F.upper(field("price_currency"))
+    amount, currency = to_number(field("stated_price_amount")), F.upper(F.trim(field("stated_price_currency")))
+    stated = F.coalesce((amount > 0) & currency.isin("EUR", "MKD"), F.lit(False))
     return F.struct(
-        *[field(x).alias(x) for x in FIELDS[:4]], F.when(amount > 0, amount).alias("price_amount"), F.when(currency.isin("EUR", "MKD"), currency).alias("price_currency"),
+        *[field(x).alias(x) for x in ("condition", "brand", "model", "seller_notes", "phone", "seller_type")],
         F.coalesce(field("delivery_available").try_cast("boolean"), F.lit(False)).alias("delivery_available"),
-        F.coalesce(field("is_electronics").try_cast("boolean"), F.lit(True)).alias("is_electronics"), found["specs"].alias("specs"),
+        F.coalesce(field("is_electronics").try_cast("boolean"), F.lit(True)).alias("is_electronics"),
+        F.when(stated, amount).alias("stated_price_amount"), F.when(stated, currency).alias("stated_price_currency"), found["specs"].alias("specs"),
     )
 
 
+def parsed(raw: Column, title: Column, description: Column, claims: dict[str, tuple[str, ...]] = ACCESSORIES) -> Column:
+    """The typed fields of a response; notes that claim an accessory which neither title nor description names go."""
+    out = typed(fields_of(raw))
+    said = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
+    return out.withField("seller_notes", verified_note(out["seller_notes"], said, claims))
+
+
 def merged_condition(current: Column, new: Column) -> Column:
     """A condition of the catalogue is never overwritten."""
     return F.when(current.isin(*CONDITIONS), current).otherwise(F.coalesce(new, current))
@@ -76,6 +95,38 @@ def without_spec_lines(description: Column, specs: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def shown_notes(notes: Column, description: Column) -> Column:
+    """Notes, unless the description already says them."""
+    same = F.lower(F.coalesce(description, F.lit(""))).contains(F.lower(F.trim(notes)))
+    return F.when(~same & (F.trim(notes) != ""), notes)
+
+
+def embedding_input(title: Column, description: Column) -> Column:
+    """What a listing is embedded as: "title. description", a missing description being empty."""
+    return F.concat(title, F.lit(". "), F.coalesce(description, F.lit("")))
+
+
+def joined_nodes(nodes: Column) -> Column:
+    """Text nodes without blanks around them, the empty ones left out, as lines."""
+    return F.array_join(F.filter(F.transform(nodes, lambda x: F.trim(x)), lambda x: x != ""), "\n")
+
+
+def first_of(m: Column, *labels: str) -> Column:
+    """A map's value under the first of some labels that has one."""
+    return F.coalesce(*[F.nullif(F.trim(F.try_element_at(m, F.lit(x))), F.lit("")) for x in labels])
+
+
+def json_or(raw: Column, kind: str, fallback: Column) -> Column:
+    """A JSON text as a value of the type; the fallback if it is null or no such JSON."""
+    return F.coalesce(F.from_json(raw, kind), fallback)
+
+
+def valid_chat(messages: Column, most: int = 20, longest: int = 500) -> Column:
+    """The status of a chat request, an array of structs ``role, content``: 400 without messages, with too many, or one too long; else 200."""
+    wrong = F.exists(messages, lambda m: F.length(m["content"]) > longest)
+    return F.when((F.size(messages) < 1) | (F.size(messages) > most) | F.coalesce(wrong, F.lit(False)), 400).otherwise(200)
+
+
 def prompt(*facts: tuple[str, Column]) -> Column:
     """Lines "label: value" for the facts there are."""
     return F.concat_ws("\n", *[F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in facts])

@@ -99,6 +99,20 @@ def sellers_match(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.startswith(a, b) | F.startswith(b, a))
 
 
+# What titles of services hold, as raw substrings.
+SERVICE_WORDS = ("otkup", "откуп", "servis", "сервис", "remont", "ремонт", "popravka", "поправка", "servisiranje", "сервисирање")
+
+
+def is_service(title: Column) -> Column:
+    low = F.lower(F.coalesce(title, F.lit("")))
+    return F.coalesce(low.rlike("|".join(SERVICE_WORDS)), F.lit(False))
+
+
+def migrated_description(c: Column) -> Column:
+    """Descriptions as the migration cleans them: without pictographs too."""
+    return strip_emoji(clean_description(c))
+
+
 def listing_type(c: Column) -> Column:
     low = F.lower(c)
     return (

@@ -12,6 +12,18 @@ LEAST_PRICE_EUR = 24.39
 CONDITIONS = ("New", "Used - Like New", "Used - Good", "Used - Fair", "Used", "For parts")
 
 
+def rounded(total: Column, count: Column, digits: int) -> Column:
+    """The mean ``total / count`` of a sum that isn't negative, rounded half up at ``digits`` places exactly, in whole millionths."""
+    unit = 10 ** (6 - digits)
+    doubled, by = F.floor(total.cast("decimal(38,6)") * 1_000_000).cast("decimal(38,0)") * 2, count.cast("decimal(20,0)") * unit
+    return F.call_function("div", doubled + by, by * 2) / F.lit(float(10**digits))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """How many percent, rounded half up at one place exactly."""
+    return F.call_function("div", part * 2000 + whole, whole * 2) / F.lit(10.0)
+
+
 def stats(ads: DataFrame, duplicates: DataFrame) -> DataFrame:
     """The dashboard's counts in one pass: all but the deals are of listings that may be electronics."""
     e = unless_false("is_electronics")
@@ -57,7 +69,7 @@ def plausible() -> Column:
 
 
 def trimmed(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key: ``n, q1, q3`` of all values, and average, median, least and greatest of those within 1.5 quartile ranges.
+    """Per key: ``n, q1, q3`` of all values; of those within 1.5 quartile ranges, ``m`` of them, their ``total``, the ``middle`` two's sum, least and greatest.
 
     Quartiles are values by place, q1 at max(0, n // 4 - 1), q3 at min(n - 1, 3n // 4) from 0.  With
     fewer than three values inside, all count.  Values are first counted by (key, value), so
@@ -85,8 +97,9 @@ def trimmed(rows: DataFrame, key: str, value: str) -> DataFrame:
     live = F.col("rows_") > 0
     return used.groupBy(key).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("q3").alias("q3"), F.first("m").alias("m"),
-        (F.sum(F.col(value).cast("decimal(28,6)") * F.col("rows_")) / F.sum("rows_")).cast("double").alias("avg"),
-        F.min(F.when(live, F.col(value))).alias("least"), F.max(F.when(live, F.col(value))).alias("greatest"), ((at(low) + at(high)) / 2).alias("median"),
+        F.sum(F.col(value).cast("decimal(20,6)") * F.col("rows_")).cast("decimal(38,6)").alias("total"),
+        F.min(F.when(live, F.col(value))).alias("least"), F.max(F.when(live, F.col(value))).alias("greatest"),
+        (at(low).cast("decimal(20,6)") + at(high).cast("decimal(20,6)")).alias("middle"),
     )
 
 
@@ -95,14 +108,15 @@ def brand_prices(ads: DataFrame, source: str | None = None, least: int = 3) -> D
     rows = rows.filter(F.col("source") == source) if source else rows
     found = trimmed(rows.select(brand_key().alias("brand_key"), "price_eur"), "brand_key", "price_eur").filter(F.col("n") >= least)
     named = found.join(brand_labels(rows), "brand_key")
-    shown = {"avg_price": "avg", "median_price": "median", "min_price": "least", "max_price": "greatest", "q1": "q1", "q3": "q3"}
-    return named.select("brand", F.col("n").alias("count"), *[F.round(c, 2).alias(k) for k, c in shown.items()]).orderBy(F.desc("count"), "brand")
+    shown = {"min_price": "least", "max_price": "greatest", "q1": "q1", "q3": "q3"}
+    means = [rounded(F.col("total"), F.col("m"), 2).alias("avg_price"), rounded(F.col("middle"), F.lit(2), 2).alias("median_price")]
+    return named.select("brand", F.col("n").alias("count"), *means, *[F.round(c, 2).alias(k) for k, c in shown.items()]).orderBy(F.desc("count"), "brand")
 
 
 def deal_share(ads: DataFrame, least: int = 10) -> DataFrame:
     rows = ads.filter((F.col("ad_type") == "product") & F.col("price_vs_new_ratio").isNotNull() & (F.coalesce(F.trim("brand"), F.lit("")) != ""))
     shares = rows.groupBy(brand_key().alias("brand_key")).agg(F.count("*").alias("total"), F.count_if("good_price_deal").alias("deals")).filter(F.col("total") >= least)
-    out = shares.join(brand_labels(rows), "brand_key").withColumn("pct", F.round(F.col("deals") * 100 / F.col("total"), 1))
+    out = shares.join(brand_labels(rows), "brand_key").withColumn("pct", percent(F.col("deals"), F.col("total")))
     return out.select("brand", "total", "deals", "pct").orderBy(F.desc("pct"), "brand")
 
 
@@ -118,22 +132,19 @@ def depreciation(ads: DataFrame, least: int = 3) -> DataFrame:
     rows = ads.filter((F.col("ad_type") == "product") & (F.col("price_vs_new_ratio") >= 0.10) & F.col("condition").isin(*CONDITIONS))
     found = trimmed(rows.select("condition", (F.col("price_vs_new_ratio") * 100).alias("pct")), "condition", "pct").filter(F.col("n") >= least)
     place = F.array_position(F.array(*map(F.lit, CONDITIONS)), F.col("condition"))
-    return found.select("condition", F.col("n").alias("count"), F.round("avg", 1).alias("avg_pct"), F.round("median", 1).alias("median_pct")).orderBy(place)
+    return found.select("condition", F.col("n").alias("count"), rounded(F.col("total"), F.col("m"), 1).alias("avg_pct"), rounded(F.col("middle"), F.lit(2), 1).alias("median_pct")).orderBy(place)
 
 
 def compare_sources(ads: DataFrame, one: str, other: str) -> DataFrame:
-    """Brands' counts on two sources side by side, brands of either."""
-
-    def of(source: str, name: str) -> DataFrame:
-        rows = ads.filter((F.col("source") == source) & (F.coalesce(F.trim("brand"), F.lit("")) != ""))
-        return rows.groupBy(brand_key().alias("brand_key")).agg(F.count("*").alias(name))
-
-    return of(one, "count_one").join(of(other, "count_other"), "brand_key", "full")
+    """Brands' counts on two sources side by side, brands of either; null where a source has none.  One pass, one shuffle."""
+    rows = ads.filter(F.col("source").isin(one, other) & (F.coalesce(F.trim("brand"), F.lit("")) != ""))
+    counts = [F.nullif(F.count_if(F.col("source") == s), F.lit(0)).alias(name) for s, name in ((one, "count_one"), (other, "count_other"))]
+    return rows.groupBy(brand_key().alias("brand_key")).agg(*counts)
 
 
 def type_shares(ads: DataFrame) -> DataFrame:
-    counts = ads.groupBy("ad_type").agg(F.count("*").alias("count"))
-    return counts.withColumn("pct", F.round(F.col("count") * 100 / F.sum("count").over(Window.partitionBy()), 1))
+    counts = ads.groupBy("ad_type").agg(F.count("*").alias("count"))  # a few types, so one window over them
+    return counts.withColumn("pct", percent(F.col("count"), F.sum("count").over(Window.partitionBy())))
 
 
 def z_scores(rows: DataFrame, group: str, value: str, least: int = 5, threshold: float = 2.5) -> DataFrame:

@@ -58,14 +58,15 @@ def keyset(rows: DataFrame, key: str, after, size: int) -> DataFrame:
     return rows.filter(F.col(key) > F.lit(after)).orderBy(key).limit(size)
 
 
-def keyset_newest(rows: DataFrame, posted, scraped, size: int, day: str = "posted_date", time: str = "scraped_at", key: str = "ad_url") -> DataFrame:
-    """The page after (day, time), newest first; the rows without a day follow the others."""
-    d, t = F.col(day), F.col(time)
-    if posted is None:
-        later = d.isNull() & (t < F.lit(scraped))
-    else:
-        later = (d < F.lit(posted)) | ((d == F.lit(posted)) & (t < F.lit(scraped))) | d.isNull()
-    return rows.filter(later).orderBy(d.desc_nulls_last(), t.desc(), F.col(key)).limit(size)
+def keyset_newest(rows: DataFrame, posted, scraped, last, size: int, day: str = "posted_date", time: str = "scraped_at", key: str = "ad_url") -> DataFrame:
+    """The page after (day, time, key), newest first, keys rising among equal ones; the rows without a day follow the others.
+
+    The key makes the order total, so no row tied with the page's last one is lost.
+    """
+    d, t, k = F.col(day), F.col(time), F.col(key)
+    after = (t < F.lit(scraped)) | ((t == F.lit(scraped)) & (k > F.lit(last)))
+    later = d.isNull() & after if posted is None else (d < F.lit(posted)) | ((d == F.lit(posted)) & after) | d.isNull()
+    return rows.filter(later).orderBy(d.desc_nulls_last(), t.desc(), k).limit(size)
 
 
 def in_order(ads: DataFrame, keys: DataFrame, key: str = "ad_url") -> DataFrame:
@@ -105,5 +106,42 @@ def round_robin(ads: DataFrame, limit: int, by: str = "source") -> DataFrame:
     return ads.withColumn("turn", place).filter(F.col("turn") <= limit).orderBy("turn", by).limit(limit)
 
 
+# The price ranges that the list offers, in EUR.
+PRICE_PRESETS = ((None, 50), (50, 200), (200, 500), (500, 1000), (1000, None))
+
+
+def price_preset(price: str = "price_eur", presets: tuple = PRICE_PRESETS) -> Column:
+    """The number, from 1, of the first price range that has the price, bounds included; null without a price."""
+    found = F.lit(None).cast("int")
+    for n, (low, high) in reversed(list(enumerate(presets, 1))):
+        inside = F.lit(True) if low is None else F.col(price) >= low
+        found = F.when(inside if high is None else inside & (F.col(price) <= high), n).otherwise(found)
+    return F.when(F.col(price).isNotNull(), found)
+
+
+def of_brands(rows: DataFrame, brands: list[str], column: str = "brand") -> DataFrame:
+    """The rows of some brands; of none, all."""
+    return rows.filter(F.col(column).isin(*brands)) if brands else rows
+
+
+def top(rows: DataFrame, by: str, limit: int, name: str = "brand") -> DataFrame:
+    """The first rows of a chart, by a column falling, names rising among equal ones."""
+    return rows.orderBy(F.desc_nulls_last(by), name).limit(limit)
+
+
+def originals(rows: DataFrame, *, anomalies_only: bool = False, category: str | None = None, least: float | None = None, most: float | None = None) -> DataFrame:
+    """Listings that duplicate no other one, by category and price, or only those with an odd price."""
+    out = rows.filter(~F.col("is_duplicate"))
+    out = out.filter("is_anomaly") if anomalies_only else out
+    out = out.filter(F.col("category") == category) if category else out
+    out = out.filter(F.col("price_eur") >= least) if least is not None else out
+    return out.filter(F.col("price_eur") <= most) if most is not None else out
+
+
+def recent(log: DataFrame, limit: int, time: str = "created_at", key: str = "event_id") -> DataFrame:
+    """The newest entries of an activity log."""
+    return log.orderBy(F.desc(time), F.desc(key)).limit(limit)
+
+
 def overpriced(ratio: str = "price_vs_new_ratio", deal: str = "good_price_deal") -> Column:
     return F.coalesce(~F.col(deal) & (F.col(ratio) > 1), F.lit(False))

@@ -34,7 +34,8 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: str, fallback: str | N
     if fallback:
         new = new.withColumn(key, F.coalesce(key, fallback))
     new = new.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
-    new = first_wins(new, [key], order) if order else new.dropDuplicates([key])
+    # Without an order the least row as a whole is first, so that reruns agree.
+    new = _one(new, [key], [F.col(order).asc_nulls_last()] if order else [F.to_json(F.struct(*sorted(new.columns)))])
     return old.unionByName(unknown(new, old, key).select(*old.columns))
 
 
@@ -53,9 +54,9 @@ def fill_missing(rows: DataFrame, found: DataFrame, key: str, column: str) -> Da
 
 
 def with_detail(listing: DataFrame, detail: DataFrame, key: str) -> DataFrame:
-    """Listing rows whose columns are overridden by those of a detail page that aren't null."""
+    """Listing rows whose columns are overridden by those of a detail page that aren't null; of repeated details the least row's."""
     own = [c for c in detail.columns if c != key]
-    told = detail.dropDuplicates([key]).select(F.col(key).alias("key_"), *[F.col(c).alias(f"{c}_detail") for c in own])
+    told = _one(detail, [key], [F.to_json(F.struct(*sorted(own)))]).select(F.col(key).alias("key_"), *[F.col(c).alias(f"{c}_detail") for c in own])
     out = listing.join(told, F.col(key) == F.col("key_"), "left")
     return out.select(key, *[F.coalesce(f"{c}_detail", c).alias(c) if c in own else c for c in listing.columns if c != key])
 
@@ -67,6 +68,39 @@ def price_changes(rows: DataFrame, key: str, price: str, *order: str) -> DataFra
     return known.filter(F.col("before").isNull() | (F.col("before") != F.col(price)))
 
 
+def price_events(stored: DataFrame, scraped: DataFrame, key: str, price: str, time: str) -> tuple[DataFrame, DataFrame]:
+    """(new rows, entries ``key, price, recorded_at`` for the price history) of a scrape against the stored rows.
+
+    The last row of a key counts.  A new key's first price is an entry, and so is a known key's price that differs from
+    the stored one; a missing price is none.
+    """
+    latest = last_wins(scraped, [key], time, price)
+    known = stored.select(F.col(key).alias("key_"), F.col(price).alias("old_"))
+    told = latest.join(known, F.col(key) == F.col("key_"), "left")
+    changed = F.col("key_").isNull() | F.coalesce(F.col(price) != F.col("old_"), F.col("old_").isNull())
+    history = told.filter(F.col(price).isNotNull() & changed).select(F.col(key).alias("key"), F.col(price).alias("price"), F.col(time).alias("recorded_at"))
+    return told.filter(F.col("key_").isNull()).select(*latest.columns), history
+
+
+def with_history(rows: DataFrame, history: DataFrame, key: str) -> DataFrame:
+    """Each row's number of price entries, and the least and greatest price of them; rows without one stay."""
+    entries = history.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("n_prices"), F.min("price").alias("least_price"), F.max("price").alias("greatest_price"))
+    out = rows.join(entries, F.col(key) == F.col("key_"), "left").drop("key_")
+    return out.withColumn("n_prices", F.coalesce("n_prices", F.lit(0)))
+
+
+def marked_known(new: DataFrame, known: DataFrame, key: str, name: str = "known") -> DataFrame:
+    """Whether each row's key is among the known ones."""
+    told = known.select(F.col(key).alias("key_")).distinct()
+    return new.join(told, F.col(key) == F.col("key_"), "left").withColumn(name, F.col("key_").isNotNull()).drop("key_")
+
+
+def notices(rows: DataFrame, group: str, new: str, odd: str) -> DataFrame:
+    """The groups that have something to tell of: ``group, n_new, n_odd``, one of them above 0."""
+    counts = rows.groupBy(group).agg(F.count_if(new).alias("n_new"), F.count_if(odd).alias("n_odd"))
+    return counts.filter("n_new > 0 or n_odd > 0")
+
+
 def evolve(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.unionByName(other, allowMissingColumns=True)
 

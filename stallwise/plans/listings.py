@@ -81,8 +81,15 @@ def _trimmed_sql(rows: str, key: str, value: str) -> str:
   q AS (SELECT {key}, any_value(n) AS n, max({value}) FILTER (rn = greatest(1, n // 4)) AS q1, max({value}) FILTER (rn = least(n, 3 * n // 4 + 1)) AS q3 FROM o GROUP BY {key}),
   i AS (SELECT r.{key}, {value}, n, q1, q3, {value} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS ok FROM r JOIN q USING ({key})),
   s AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY {key})   >= 3 AS enough FROM i),
-  st AS (SELECT {key}, any_value(n) AS n, any_value(q1) AS q1, any_value(q3) AS q3, CAST(CAST(sum(CAST({value} AS DECIMAL(28, 6))) AS DOUBLE) / count(*) AS DOUBLE) AS avg, min({value}) AS least,
-    max({value}) AS greatest, median({value}) AS median FROM s WHERE ok OR NOT enough GROUP BY {key})"""
+  u AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {value}) AS rn, count(*) OVER (PARTITION BY {key}) AS m FROM s WHERE ok OR NOT enough),
+  st AS (SELECT {key}, any_value(n) AS n, any_value(q1) AS q1, any_value(q3) AS q3, any_value(m) AS m, sum(CAST({value} AS DECIMAL(20, 6))) AS total, min({value}) AS least, max({value}) AS greatest,
+    CAST(max({value}) FILTER (rn = (m + 1) // 2) AS DECIMAL(20, 6)) + CAST(max({value}) FILTER (rn = m // 2 + 1) AS DECIMAL(20, 6)) AS middle FROM u GROUP BY {key})"""
+
+
+def _rounded(total: str, count: str, digits: int) -> str:
+    """A mean rounded half up in whole millionths, as ``analytics.rounded`` does."""
+    unit = 10 ** (6 - digits)
+    return f"(CAST({total} * 1000000 AS HUGEINT) * 2 + CAST({count} AS HUGEINT) * {unit}) // (CAST({count} AS HUGEINT) * {2 * unit}) / {10**digits}.0::DOUBLE"
 
 
 NAMED = "coalesce(trim(brand), '') <> ''"
@@ -94,7 +101,7 @@ LABELS = """l AS (SELECT brand_key, brand FROM (SELECT lower(trim(brand)) AS bra
 def _brands(where: str) -> str:
     rows = "SELECT lower(trim(brand)) AS brand_key, price_eur FROM base"
     return f"""WITH {ADS_SQL}, base AS (SELECT * FROM ads WHERE ad_type = 'product' AND price_eur > 0 AND {PLAUSIBLE} AND {NAMED} AND {where}), {LABELS}, {_trimmed_sql(rows, 'brand_key', 'price_eur')}
-  SELECT brand, n AS count, round(avg, 2) AS avg_price, round(median, 2) AS median_price, round(least, 2) AS min_price, round(greatest, 2) AS max_price, round(q1, 2) AS q1, round(q3, 2) AS q3
+  SELECT brand, n AS count, {_rounded('total', 'm', 2)} AS avg_price, {_rounded('middle', '2', 2)} AS median_price, round(least, 2) AS min_price, round(greatest, 2) AS max_price, round(q1, 2) AS q1, round(q3, 2) AS q3
   FROM st JOIN l USING (brand_key) WHERE n >= 3"""
 
 
@@ -114,7 +121,7 @@ def brand_label_mode(spark, d):
 
 
 @register("good_deal_share", f"""WITH {ADS_SQL}, base AS (SELECT * FROM ads WHERE ad_type = 'product' AND price_vs_new_ratio IS NOT NULL AND {NAMED}), {LABELS}
-  SELECT brand, total, deals, round(deals * 100 / total, 1) AS pct FROM (SELECT lower(trim(brand)) AS brand_key, count(*) AS total, count(*) FILTER (good_price_deal) AS deals FROM base GROUP BY 1 HAVING count(*) >= 10) JOIN l USING (brand_key)""")
+  SELECT brand, total, deals, (deals * 2000 + total) // (total * 2) / 10.0::DOUBLE AS pct FROM (SELECT lower(trim(brand)) AS brand_key, count(*) AS total, count(*) FILTER (good_price_deal) AS deals FROM base GROUP BY 1 HAVING count(*) >= 10) JOIN l USING (brand_key)""")
 def good_deal_share(spark, d):
     return analytics.deal_share(ads(spark, d))
 
@@ -126,7 +133,7 @@ def monthly_trend_pivot(spark, d):
 
 
 @register("depreciation_by_condition", f"""WITH {ADS_SQL}, {_trimmed_sql("SELECT condition, price_vs_new_ratio * 100 AS pct FROM ads WHERE ad_type = 'product' AND price_vs_new_ratio >= 0.10 AND condition <> 'mint'", 'condition', 'pct')}
-  SELECT condition, n AS count, round(avg, 1) AS avg_pct, round(median, 1) AS median_pct FROM st WHERE n >= 3""")
+  SELECT condition, n AS count, {_rounded('total', 'm', 1)} AS avg_pct, {_rounded('middle', '2', 1)} AS median_pct FROM st WHERE n >= 3""")
 def depreciation_by_condition(spark, d):
     return analytics.depreciation(ads(spark, d))
 
@@ -137,7 +144,7 @@ def source_brand_compare(spark, d):
     return analytics.compare_sources(ads(spark, d), "site_a", "site_b")
 
 
-@register("type_shares", f"WITH {ADS_SQL} SELECT ad_type, count(*) AS count, round(count(*) * 100 / sum(count(*)) OVER (), 1) AS pct FROM ads GROUP BY ad_type")
+@register("type_shares", f"WITH {ADS_SQL} SELECT ad_type, count, (count * 2000 + total) // (total * 2) / 10.0::DOUBLE AS pct FROM (SELECT ad_type, count(*) AS count, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM ads GROUP BY ad_type)")
 def type_shares(spark, d):
     return analytics.type_shares(ads(spark, d))
 
@@ -153,10 +160,17 @@ def keyset_page(spark, d):
     return filters.keyset(table(spark, d, "orders"), "o_orderkey", 1000, 1000).select("o_orderkey", "o_totalprice")
 
 
-@register("keyset_composite_page", f"WITH {ADS_SQL} SELECT ad_url, posted_date, scraped_at FROM ads WHERE posted_date < DATE '1992-03-01' OR posted_date IS NULL ORDER BY posted_date DESC NULLS LAST, scraped_at DESC, ad_url LIMIT 1000")
+@register("keyset_composite_page", f"WITH {ADS_SQL} SELECT ad_url, posted_date, scraped_at FROM ads WHERE posted_date < DATE '1996-03-01' OR posted_date IS NULL OR (posted_date = DATE '1996-03-01' AND scraped_at = TIMESTAMP '1996-03-01' AND ad_url > '3') ORDER BY posted_date DESC NULLS LAST, scraped_at DESC, ad_url LIMIT 1000")
 def keyset_composite_page(spark, d):
-    day = F.lit("1992-03-01").cast("date")
-    return filters.keyset_newest(ads(spark, d), day, F.lit("1992-03-01").cast("timestamp_ntz"), 1000).select("ad_url", "posted_date", "scraped_at")
+    """The page after a cursor in the middle of the rows that share its day and time."""
+    day = F.lit("1996-03-01").cast("date")
+    return filters.keyset_newest(ads(spark, d), day, F.lit("1996-03-01").cast("timestamp_ntz"), "3", 1000).select("ad_url", "posted_date", "scraped_at")
+
+
+@register("keyset_null_tail", f"WITH {ADS_SQL} SELECT ad_url, scraped_at FROM ads WHERE posted_date IS NULL AND (scraped_at < TIMESTAMP '1996-03-01' OR (scraped_at = TIMESTAMP '1996-03-01' AND ad_url > '3')) ORDER BY scraped_at DESC, ad_url LIMIT 500")
+def keyset_null_tail(spark, d):
+    """The page after a cursor among the rows without a day."""
+    return filters.keyset_newest(ads(spark, d), None, F.lit("1996-03-01").cast("timestamp_ntz"), "3", 500).select("ad_url", "scraped_at")
 
 
 @register("offset_page", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100 OFFSET 250")

@@ -79,14 +79,27 @@ def test_corrected_prices(spark):
 def test_quartile_trimming(spark):
     rows = [("a", float(x)) for x in (1, 2, 3, 100)] + [("b", float(x)) for x in (*range(1, 8), 1000)] + [("c", 1.0), ("c", 2.0)]
     out = {x["k"]: x for x in analytics.trimmed(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
-    assert (out["a"]["q1"], out["a"]["q3"], out["a"]["greatest"], out["a"]["median"]) == (1, 100, 100, 2.5)
-    assert (out["b"]["n"], out["b"]["q1"], out["b"]["q3"], out["b"]["avg"], out["b"]["median"]) == (8, 2, 7, 4, 4)
+    assert (out["a"]["q1"], out["a"]["q3"], out["a"]["greatest"], out["a"]["middle"]) == (1, 100, 100, 5)
+    assert (out["b"]["n"], out["b"]["q1"], out["b"]["q3"], out["b"]["total"], out["b"]["m"], out["b"]["middle"]) == (8, 2, 7, 28, 7, 8)
     assert out["c"]["n"] == 2
 
 
+def test_exact_rounding(spark):
+    mean = lambda total, n, digits: one(spark, analytics.rounded(F.lit(total).cast("decimal(38,6)"), F.lit(n), digits))
+    assert [mean("3914.13", 2, 2), mean("2.03", 2, 2), mean("0.25", 1, 1), mean("1", 3, 2)] == [1957.07, 1.02, 0.3, 0.33]
+    assert one(spark, analytics.percent(F.lit(1).cast("long"), F.lit(2000).cast("long"))) == 0.1
+
+
 def test_responses(spark):
-    found = one(spark, records.typed(records.fields_of(F.lit('```json\n{"specs": {"brand": "Apple", "ram": "8"}, "price_amount": "300 EVRA"'))))
-    assert (found["brand"], found["specs"], found["price_amount"], found["is_electronics"], found["delivery_available"]) == ("Apple", {"ram": "8"}, 300, True, False)
+    parse = lambda x: one(spark, records.typed(records.fields_of(F.lit(x).cast("string"))))
+    found = parse('```json\n{"specs": {"brand": "Apple", "ram": "8", "gpu": " ", "stated_price_amount": "300 EVRA", "stated_price_currency": " eur "}')
+    assert (found["brand"], found["specs"], found["stated_price_amount"], found["stated_price_currency"], found["is_electronics"], found["delivery_available"]) == ("Apple", {"ram": "8"}, 300, "EUR", True, False)
+    whole = parse('{"brand": "", "phone": "070", "seller_type": "private", "note": "{", "stated_price_amount": 5, "stated_price_currency": "USD", "is_electronics": false, "delivery_available": true, "specs": {"brand": "x"}}')
+    assert (whole["brand"], whole["phone"], whole["seller_type"], whole["stated_price_amount"], whole["stated_price_currency"]) == (None, "070", "private", None, None)
+    assert (whole["is_electronics"], whole["delivery_available"]) == (False, True)
+    assert all(v is None for k, v in parse("no json").asDict().items() if k not in ("is_electronics", "delivery_available"))
+    noted = one(spark, records.parsed(F.lit('{"seller_notes": "with charger"}'), F.lit("phone"), F.lit(None).cast("string")))
+    assert noted["seller_notes"] is None
     number = lambda x: one(spark, prices.to_number(F.lit(x)))
     assert number("1.500,00") is None and number("300 EVRA") == 300
     note = lambda n, t: one(spark, text.verified_note(F.lit(n), F.lit(t), text.ACCESSORIES))
@@ -165,6 +178,56 @@ def test_nearest_of_each_query(spark):
         assert {q: [(-x["similarity"], x["vec_id"]) for x in got if x["query"] == q] for q in (0, 20)} == want and len(got) == 10
 
 
+def test_small_functions(spark):
+    get = lambda c: one(spark, c)
+    lit = lambda x: F.lit(x).cast("string")
+    assert [get(text.is_service(lit(x))) for x in ("Servis za laptopi", "Откуп телефони", "laptop", None)] == [True, True, False, False]
+    assert get(text.migrated_description(lit("a \U0001f600\r\n\n\n\nb  c"))) == "a \n\nb c"
+    assert get(records.shown_notes(lit("Со кутија"), lit("Продавам со кутија."))) is None and get(records.shown_notes(lit("box"), lit(None))) == "box"
+    assert get(records.embedding_input(lit("a"), lit(None))) == "a. "
+    assert get(records.joined_nodes(F.array(lit(" a "), lit(""), lit("b")))) == "a\nb"
+    assert get(records.first_of(F.create_map(lit("x"), lit(" "), lit("y"), lit("v")), "x", "z", "y")) == "v"
+    assert get(records.json_or(lit("oops"), "array<string>", F.array().cast("array<string>"))) == [] and get(records.json_or(lit('["a"]'), "array<string>", F.array().cast("array<string>"))) == ["a"]
+    assert [get(prices.zoned(lit(x))) for x in ("2026-01-02T03:04:05", "2026-01-02T03:04:05Z", "2026-01-02T03:04:05+01:00")] == ["2026-01-02T03:04:05+00:00", "2026-01-02T03:04:05Z", "2026-01-02T03:04:05+01:00"]
+    assert [get(prices.iso_date(lit(x))) for x in ("2026-01-02T10", "02.01.2026", "2026-13-40", None)] == [datetime.date(2026, 1, 2), None, None, None]
+    assert [values(spark, [(p,)], "price_eur double", filters.price_preset())[0][0] for p in (None, 0.0, 50.0, 50.5, 500.0, 5000.0)] == [None, 1, 1, 2, 3, 5]
+    chat = lambda *m: get(records.valid_chat(F.array(*[F.struct(lit("user").alias("role"), lit(x).alias("content")) for x in m])))
+    assert [chat("hi"), chat("x" * 501), chat(*["a"] * 21)] == [200, 400, 400]
+
+
+def test_price_events_and_notices(spark):
+    schema = "url string, price double, at int"
+    stored = spark.createDataFrame([("a", 5.0, 1), ("b", 7.0, 1), ("c", None, 1)], schema)
+    scraped = spark.createDataFrame([("a", 5.0, 2), ("b", 8.0, 2), ("b", 9.0, 3), ("c", 1.0, 2), ("d", 2.0, 2), ("e", None, 2), ("a", None, 1)], schema)
+    new, history = merge.price_events(stored, scraped, "url", "price", "at")
+    assert sorted(x["url"] for x in new.collect()) == ["d", "e"]
+    assert sorted(map(tuple, history.collect())) == [("b", 9.0, 3), ("c", 1.0, 2), ("d", 2.0, 2)]
+    told = {x["url"]: (x["n_prices"], x["least_price"]) for x in merge.with_history(stored, history, "url").collect()}
+    assert told == {"a": (0, None), "b": (1, 9.0), "c": (1, 1.0)}
+    assert sorted((x["url"], x["known"]) for x in merge.marked_known(scraped, stored, "url").filter("at = 2").collect()) == [("a", True), ("b", True), ("c", True), ("d", False), ("e", False)]
+    rows = spark.createDataFrame([("g", True, False), ("g", False, True), ("h", False, False)], "g string, new boolean, odd boolean")
+    assert [tuple(x) for x in merge.notices(rows, "g", "new", "odd").collect()] == [("g", 1, 1)]
+    details = spark.createDataFrame([("a", 1.0, 9), ("a", 2.0, 8), ("b", None, 3)], schema)
+    for parts in (1, 4):
+        got = merge.with_detail(stored, details.repartition(parts), "url").collect()
+        assert sorted(map(tuple, got)) == [("a", 2.0, 8), ("b", 7.0, 3), ("c", None, 1)]
+
+
+def test_duplicates_of_both_kinds(spark):
+    rows = [
+        ("a", "Se prodava apple iphone 16 128 gb black", 100.0, "x", "Ana"), ("b", "apple iphone 16 128gb black", 86.0, "y", "Bo"), ("c", "apple iphone 16 128gb black", 60.0, "y", "Bo"),
+        ("d", "apple iphone 16 128gb black", 90.0, "y", "Bo P."), ("e", "servis apple iphone 16 128gb black", 95.0, "x", "Ana"), ("f", None, 95.0, "x", "Ana"), ("g", "apple iphone 15 128gb black", 99.0, "x", "Ana"),
+    ]
+    ads = spark.createDataFrame(rows, "ad_url string, title string, price_eur double, source string, seller_name string")
+    cross = {(x[0], x[1]): (x["match_type"], x["same_seller"], x["is_service"]) for x in similarity.find_duplicates(ads).collect()}
+    assert cross[("a", "b")] == ("cross_site", False, False) and ("a", "d") in cross and ("a", "c") not in cross and ("b", "d") not in cross and ("a", "g") not in cross
+    assert all(v[2] == ("e" in k) for k, v in cross.items())
+    same = [(x[0], x[1], x["same_seller"]) for x in similarity.find_duplicates(ads, "same_site").collect()]
+    assert ("b", "d", True) in same and all({x[0], x[1]} != {"b", "c"} for x in same)
+    wide = spark.createDataFrame([("a", "apple iphone 16 black", 100.0, "x"), ("b", "apple iphone 16 black", 61.0, "y")], "ad_url string, title string, price_eur double, source string")
+    assert similarity.duplicates(wide, 0.85, side="source", tolerance=0.4).count() == 1
+
+
 def test_cards():
     page = """<ul><li><a href="/p/1"><img src=x>Samsung Galaxy S23 64GB 24.999 ден</a></li><li><a href="/p/1">again 500</a></li><li><a href="/about">About</a></li>
     <li><a href="https://other.example/x">Foreign 999</a></li><li><a href="/p/2">Phone 32.999 28.500</a></li></ul>"""
