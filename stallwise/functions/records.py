@@ -15,11 +15,20 @@ FIELDS = (
 CONDITIONS = ("New", "Used - Like New", "Used - Good", "Used - Fair", "Used", "For parts")
 
 
-def repaired_json(raw: Column) -> tuple[Column, Column]:
-    """JSON text without a code fence around it, and the same with the closing braces that are missing at its end."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?U)^```(?:json)?\s*", ""), r"(?U)\s*```$", ""))
+def _with(c: Column, use) -> Column:
+    """``use`` of a column that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def bare_json(raw: Column) -> Column:
+    """JSON text without a code fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?U)^```(?:json)?\s*", ""), r"(?U)\s*```$", ""))
+
+
+def closed_json(bare: Column) -> Column:
+    """JSON text with the closing braces that are missing at its end."""
     missing = F.length(F.replace(bare, F.lit("{"), F.lit("{{"))) - F.length(F.replace(bare, F.lit("}"), F.lit("}}")))
-    return bare, F.concat(bare, F.repeat(F.lit("}"), F.greatest(missing, F.lit(0))))
+    return F.concat(bare, F.repeat(F.lit("}"), F.greatest(missing, F.lit(0))))
 
 
 def fields_of(raw: Column) -> Column:
@@ -28,12 +37,17 @@ def fields_of(raw: Column) -> Column:
     Fields that are nested in specs come up if absent at the top; blank specs go.
     """
     kind, none = "map<string,string>", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    bare, closed = repaired_json(raw)
-    top = F.coalesce(F.from_json(bare, kind), F.from_json(closed, kind))
-    specs = F.coalesce(F.from_json(F.try_element_at(top, F.lit("specs")), kind), none)
-    up = F.map_filter(specs, lambda k, _: k.isin(*FIELDS) & ~F.map_contains_key(top, k))
-    down = F.map_filter(specs, lambda k, v: ~F.map_contains_key(up, k) & (F.coalesce(F.trim(v), F.lit("")) != ""))
-    return F.when(top.isNotNull(), F.struct(F.map_concat(F.map_filter(top, lambda k, _: k != "specs"), up).alias("fields"), down.alias("specs")))
+
+    def parted(top: Column, specs: Column) -> Column:
+        up = F.map_filter(specs, lambda k, _: k.isin(*FIELDS) & ~F.map_contains_key(top, k))
+        down = F.map_filter(specs, lambda k, v: ~(k.isin(*FIELDS) & ~F.map_contains_key(top, k)) & (F.coalesce(F.trim(v), F.lit("")) != ""))
+        return F.struct(F.map_concat(F.map_filter(top, lambda k, _: k != "specs"), up).alias("fields"), down.alias("specs"))
+
+    def read(top: Column) -> Column:
+        specs = F.coalesce(F.from_json(F.try_element_at(top, F.lit("specs")), kind), none)
+        return F.when(top.isNotNull(), _with(specs, lambda x: parted(top, x)))
+
+    return _with(bare_json(raw), lambda x: _with(F.coalesce(F.from_json(x, kind), F.from_json(closed_json(x), kind)), read))
 
 
 def typed(found: Column) -> Column:
@@ -42,24 +56,26 @@ def typed(found: Column) -> Column:
     A stated price needs an amount above 0 and a currency, EUR or MKD; without either both are null.
     """
 
-    def field(name: str) -> Column:
-        return F.nullif(F.try_element_at(found["fields"], F.lit(name)), F.lit(""))
+    def read(f: Column) -> Column:
+        def field(name: str) -> Column:
+            return F.nullif(F.try_element_at(f["fields"], F.lit(name)), F.lit(""))
+
+        amount, currency = to_number(field("stated_price_amount")), F.upper(F.trim(field("stated_price_currency")))
+        stated = F.coalesce((amount > 0) & currency.isin("EUR", "MKD"), F.lit(False))
+        return F.struct(
+            *[field(x).alias(x) for x in ("condition", "brand", "model", "seller_notes", "phone", "seller_type")],
+            F.coalesce(field("delivery_available").try_cast("boolean"), F.lit(False)).alias("delivery_available"),
+            F.coalesce(field("is_electronics").try_cast("boolean"), F.lit(True)).alias("is_electronics"),
+            F.when(stated, amount).alias("stated_price_amount"), F.when(stated, currency).alias("stated_price_currency"), f["specs"].alias("specs"),
+        )
 
-    amount, currency = to_number(field("stated_price_amount")), F.upper(F.trim(field("stated_price_currency")))
-    stated = F.coalesce((amount > 0) & currency.isin("EUR", "MKD"), F.lit(False))
-    return F.struct(
-        *[field(x).alias(x) for x in ("condition", "brand", "model", "seller_notes", "phone", "seller_type")],
-        F.coalesce(field("delivery_available").try_cast("boolean"), F.lit(False)).alias("delivery_available"),
-        F.coalesce(field("is_electronics").try_cast("boolean"), F.lit(True)).alias("is_electronics"),
-        F.when(stated, amount).alias("stated_price_amount"), F.when(stated, currency).alias("stated_price_currency"), found["specs"].alias("specs"),
-    )
+    return _with(found, read)
 
 
 def parsed(raw: Column, title: Column, description: Column, claims: dict[str, tuple[str, ...]] = ACCESSORIES) -> Column:
     """The typed fields of a response; notes that claim an accessory which neither title nor description names go."""
-    out = typed(fields_of(raw))
     said = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit("")))
-    return out.withField("seller_notes", verified_note(out["seller_notes"], said, claims))
+    return _with(typed(fields_of(raw)), lambda x: x.withField("seller_notes", verified_note(x["seller_notes"], said, claims)))
 
 
 def merged_condition(current: Column, new: Column) -> Column:

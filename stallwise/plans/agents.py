@@ -28,8 +28,8 @@ def parsed_responses(spark, d):
     specs = F.concat(F.lit('"specs": {"type": '), quoted(F.col("p_type")), F.lit(', "gpu": " "'))
     nested, flat = F.concat(F.lit("{"), specs, F.lit(", "), common, F.lit("}")), F.concat(F.lit("{"), specs, F.lit("}, "), common, F.lit("}"))
     raw = F.when(key % 4 == 0, F.concat(F.lit("```json\n"), flat, F.lit("\n```"))).when(key % 4 == 1, flat).otherwise(nested)
-    found = records.parsed(raw, F.lit("phone"), F.when(key % 4 == 1, "со кутија"))
-    rows = table(spark, d, "part").select("p_partkey", found.alias("f"))
+    found = records.parsed(F.col("raw"), F.lit("phone"), F.when(key % 4 == 1, "со кутија"))
+    rows = table(spark, d, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", found.alias("f"))
     names = ("brand", "model", "seller_notes", "phone", "delivery_available", "is_electronics", "stated_price_amount", "stated_price_currency")
     return rows.select("p_partkey", *[f"f.{x}" for x in names], F.try_element_at("f.specs", F.lit("type")).alias("spec_type"), F.size("f.specs").alias("n_specs"))
 
@@ -42,18 +42,17 @@ def _pairs(kind: str) -> str:
     """TF-IDF cosine of titles over character 3- and 4-grams of padded words, every pair of a band of prices scored."""
     of, least = ("''", 0.85) if kind == "cross_site" else ("source", 0.95)
     side = "x.source <> y.source" if kind == "cross_site" else "x.source = y.source AND x.seller = y.seller"
-    return f"""WITH {PARTS}, b AS (SELECT ad_url, {of} AS g, price, source, seller, service, regexp_replace(CASE WHEN service THEN t || ' servis' ELSE t END, '[ ]+', ' ', 'g') AS t FROM a),
-  w AS (SELECT ad_url, g, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM b), c AS (SELECT ad_url, g, substr(w, i, n) AS gram, count(*) AS tf FROM
+    return f"""WITH {PARTS}, b AS (SELECT ad_url, {of} AS g, price, source, seller, service, regexp_replace(CASE WHEN service THEN t || ' servis' ELSE t END, '[ ]+', ' ', 'g') AS t,
+    list_distinct(regexp_extract_all(t, '(?:^|[^a-z0-9_])([a-z]{{0,2}}[0-9]+[a-z]{{0,2}})', 1)) AS k FROM a), w AS (SELECT ad_url, g, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM b), c AS (SELECT ad_url, g, substr(w, i, n) AS gram, count(*) AS tf FROM
     (SELECT ad_url, g, w, n, unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) AS i FROM w, (VALUES (3), (4)) v(n) WHERE n = 3 OR length(w) >= 4) GROUP BY ALL),
   n AS (SELECT g, count(*) AS n FROM b GROUP BY g), df AS (SELECT g, gram, count(*) AS df FROM c GROUP BY ALL),
   r AS (SELECT ad_url, gram, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM c JOIN df USING (g, gram) JOIN n USING (g)),
   l AS (SELECT ad_url, sqrt(sum(w * w)) AS l FROM r GROUP BY ad_url), u AS (SELECT ad_url, gram, w / l AS w FROM r JOIN l USING (ad_url)),
   p AS (SELECT x.ad_url AS one, y.ad_url AS two, x.seller = y.seller AS same_seller, x.service OR y.service AS is_service FROM b x JOIN b y ON x.ad_url < y.ad_url AND {side}
-    AND least(x.price, y.price) >= 0.85 * greatest(x.price, y.price) AND length(x.t) * 1.0 / length(y.t) BETWEEN 0.55 AND 1 / 0.55),
-  k AS (SELECT ad_url, list_distinct(regexp_extract_all(t, '(?:^|[^a-z0-9_])([a-z]{{0,2}}[0-9]+[a-z]{{0,2}})', 1)) AS k FROM b),
+    AND least(x.price, y.price) >= 0.85 * greatest(x.price, y.price) AND length(x.t) * 1.0 / length(y.t) BETWEEN 0.55 AND 1 / 0.55
+    AND (len(x.k) = 0 OR len(y.k) = 0 OR list_has_any(x.k, y.k))),
   s AS (SELECT one, two, same_seller, is_service, sum(i.w * j.w) AS s FROM p JOIN u i ON i.ad_url = one JOIN u j ON j.ad_url = two AND i.gram = j.gram GROUP BY ALL HAVING sum(i.w * j.w) >= {least})
-  SELECT one AS ad_url_1, two AS ad_url_2, round(s, 4) AS similarity_score, '{kind}' AS match_type, same_seller, is_service FROM s JOIN k a ON a.ad_url = one JOIN k b ON b.ad_url = two
-    WHERE len(a.k) = 0 OR len(b.k) = 0 OR list_has_any(a.k, b.k)"""
+  SELECT one AS ad_url_1, two AS ad_url_2, round(s, 4) AS similarity_score, '{kind}' AS match_type, same_seller, is_service FROM s"""
 
 
 def _titled(spark, d):
