@@ -47,11 +47,12 @@ def _pairs(kind: str) -> str:
     (SELECT ad_url, g, w, n, unnest(range(1, greatest(length(w) - n + 1, 1) + 1)) AS i FROM w, (VALUES (3), (4)) v(n) WHERE n = 3 OR length(w) >= 4) GROUP BY ALL),
   n AS (SELECT g, count(*) AS n FROM b GROUP BY g), df AS (SELECT g, gram, count(*) AS df FROM c GROUP BY ALL),
   r AS (SELECT ad_url, gram, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM c JOIN df USING (g, gram) JOIN n USING (g)),
-  l AS (SELECT ad_url, sqrt(sum(w * w)) AS l FROM r GROUP BY ad_url), u AS (SELECT ad_url, gram, w / l AS w FROM r JOIN l USING (ad_url)),
-  p AS (SELECT x.ad_url AS one, y.ad_url AS two, x.seller = y.seller AS same_seller, x.service OR y.service AS is_service FROM b x JOIN b y ON x.ad_url < y.ad_url AND {side}
+  l AS (SELECT ad_url, sqrt(sum(w * w)) AS l FROM r GROUP BY ad_url), u AS MATERIALIZED (SELECT ad_url, gram, w / l AS w FROM r JOIN l USING (ad_url)),
+  p AS MATERIALIZED (SELECT x.ad_url AS one, y.ad_url AS two, x.seller = y.seller AS same_seller, x.service OR y.service AS is_service FROM b x JOIN b y ON x.ad_url < y.ad_url AND {side}
     AND least(x.price, y.price) >= 0.85 * greatest(x.price, y.price) AND length(x.t) * 1.0 / length(y.t) BETWEEN 0.55 AND 1 / 0.55
     AND (len(x.k) = 0 OR len(y.k) = 0 OR list_has_any(x.k, y.k))),
-  s AS (SELECT one, two, same_seller, is_service, sum(i.w * j.w) AS s FROM p JOIN u i ON i.ad_url = one JOIN u j ON j.ad_url = two AND i.gram = j.gram GROUP BY ALL HAVING sum(i.w * j.w) >= {least})
+  h AS MATERIALIZED (SELECT p.*, gram, w FROM p JOIN u ON ad_url = one),
+  s AS (SELECT one, two, same_seller, is_service, sum(h.w * j.w) AS s FROM h JOIN u j ON j.ad_url = two AND h.gram = j.gram GROUP BY ALL HAVING sum(h.w * j.w) >= {least})
   SELECT one AS ad_url_1, two AS ad_url_2, round(s, 4) AS similarity_score, '{kind}' AS match_type, same_seller, is_service FROM s"""
 
 
