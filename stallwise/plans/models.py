@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -44,7 +45,11 @@ def stream_ingest_dedup(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     rows = stream.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("ad_url"), "user_id", "event_type", F.col("ts").cast("timestamp").alias("scraped_at"))
-    name, folder = f"ingested_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/stallwise-{uuid.uuid4().hex}"
+    name, folder = f"ingested_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='stallwise-')}"
     out = f"{folder}/stallwise/{name}"
 
     def sink(batch, number):
