@@ -40,6 +40,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Arrow batches to Python end after the row that reaches so many bytes.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame itself, after bounding the bytes of its session's Arrow batches, whose rows are whole texts of any length.
+
+    Spark's own bound of 64 MB is met several times over in a task: in the JVM, in the worker, as Python's
+    strings and on the way back.  A session's smaller bound stays.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 class Scratch:
     """A run's folder of intermediate tables below the shared one; what is left of it goes when the driver's JVM ends."""
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 UNKNOWN = "und"
 
 
@@ -168,7 +170,7 @@ class Scorer:
     it.  All places of all words new to the scorer go down the tree together, a letter at a time.
     """
 
-    def __init__(self, model: Model, kept: int = 200_000, block: int = 1 << 20):
+    def __init__(self, model: Model, kept: int = 50_000, block: int = 1 << 18):
         self.model, self.kept, self.block = model, kept, block
         self.letters = np.array(sorted({ord(c) for g in model.grams for c in g} | {ord(" ")}), dtype=np.uint32)
         code = {chr(c): k for k, c in enumerate(self.letters.tolist(), 1)}
@@ -277,7 +279,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 new = [pa.array([g[0] for g in guesses], pa.string()), pa.array([g[1] for g in guesses], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(scored, f"{schema}, lang_pred string, score double")
+    return small_batches(docs).mapInArrow(scored, f"{schema}, lang_pred string, score double")
 
 
 def held_out(id_: Column, fold: int = 2, folds: int = 4) -> Column:

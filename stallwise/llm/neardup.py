@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut
+from .common import Scratch, cut, small_batches
 from .graph import components
 from .shingles import shingle_sets
 
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
             columns = [batch["doc_id"], pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "n_shingles", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {kind}, class binary, n_shingles long, sketch array<long>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(hashed, f"doc_id {kind}, class binary, n_shingles long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -81,7 +81,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                     found = pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array([_class_of(hashes)], pa.binary()), found], names=["class", "hashes"])
 
-    return docs.select("text").mapInArrow(hashed, "class binary, hashes array<long>")
+    return small_batches(docs.select("text")).mapInArrow(hashed, "class binary, hashes array<long>")
 
 
 def rarest(classes: DataFrame, k: int, percent: int) -> DataFrame:

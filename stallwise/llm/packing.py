@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: The byte-level vocabularies' own pattern of what is encoded apart; fixed.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -202,5 +202,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = rows.mapInArrow(tokenized, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    pieces = small_batches(rows).mapInArrow(tokenized, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
     return pack_items(pieces, capacity, **how)
