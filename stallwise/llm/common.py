@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 M64 = (1 << 64) - 1
@@ -57,6 +59,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: Spark keeps idle workers, which otherwise stay as large as they ever were."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other libraries have none
+    if trim:
+        trim(0)
+
+
 class Scratch:
     """A run's folder of intermediate tables below the shared one; what is left of it goes when the driver's JVM ends."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 UNKNOWN = "und"
 
@@ -171,7 +171,8 @@ class Scorer:
     """
 
     def __init__(self, model: Model, kept: int = 50_000, block: int = 1 << 18):
-        self.model, self.kept, self.block = model, kept, block
+        # The model holds its scorer, so the scorer doesn't hold the model: a worker that drops one is rid of both.
+        self.languages, self.words, self.longest, self.kept, self.block = model.languages, model.words, model.longest, kept, block
         self.letters = np.array(sorted({ord(c) for g in model.grams for c in g} | {ord(" ")}), dtype=np.uint32)
         code = {chr(c): k for k, c in enumerate(self.letters.tolist(), 1)}
         nodes, vectors, steps = {"": 0}, [model.unseen.astype(np.float64)], {}
@@ -186,7 +187,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.table = np.zeros((1024, len(self.model.languages)))
+        self.table = np.zeros((1024, len(self.languages)))
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """The scores, a row each, of words that the model doesn't know."""
@@ -197,7 +198,7 @@ class Scorer:
         ends = np.repeat(np.cumsum(lengths), lengths)
         node = np.zeros(len(data), dtype=np.int64)
         alive = np.arange(len(data))
-        for n in range(self.model.longest if len(self.steps) else 0):
+        for n in range(self.longest if len(self.steps) else 0):
             alive = alive[alive + n < ends[alive]]
             step = node[alive] * (len(self.letters) + 1) + codes[alive + n]
             found = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
@@ -214,7 +215,7 @@ class Scorer:
             grown = np.zeros((max(len(self.at) + len(words), 2 * len(self.table)), self.table.shape[1]))
             grown[: len(self.at)] = self.table[: len(self.at)]
             self.table = grown
-        known = self.model.words
+        known = self.words
         new = [w for w in words if w not in known]
         old = [w for w in words if w in known]
         k = len(self.at)
@@ -242,11 +243,11 @@ class Scorer:
             mean = total / len(words)
             best = int(np.argmax(mean))
             odds = np.exp(np.minimum(len(words), 25) * (mean - mean[best]))
-            yield self.model.languages[best], float(1 / odds.sum())
+            yield self.languages[best], float(1 / odds.sum())
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
         """Each text's language and its probability, from the mean score a word over at most 25 words' worth of evidence."""
-        if not self.model.languages:
+        if not self.languages:
             yield from ((UNKNOWN, 0.0) for _ in texts)
             return
         start = 0
@@ -278,6 +279,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 guesses = list(scorer.predict(batch[text_col].to_pylist()))
                 new = [pa.array([g[0] for g in guesses], pa.string()), pa.array([g[1] for g in guesses], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score"])
+        give_back()
 
     return small_batches(docs).mapInArrow(scored, f"{schema}, lang_pred string, score double")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, small_batches
+from .common import Scratch, cut, give_back, small_batches
 from .graph import components
 from .shingles import shingle_sets
 
@@ -67,6 +67,7 @@ def sketches(docs: DataFrame, k: int, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
             columns = [batch["doc_id"], pa.array(classes, pa.binary()), pa.array(counts, pa.int64()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "n_shingles", "sketch"])
+        give_back()
 
     return small_batches(docs.select("doc_id", "text")).mapInArrow(hashed, f"doc_id {kind}, class binary, n_shingles long, sketch array<long>")
 
@@ -80,6 +81,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 if len(hashes):
                     found = pa.ListArray.from_arrays(pa.array([0, len(hashes)], pa.int32()), pa.array(hashes.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array([_class_of(hashes)], pa.binary()), found], names=["class", "hashes"])
+        give_back()
 
     return small_batches(docs.select("text")).mapInArrow(hashed, "class binary, hashes array<long>")
 
