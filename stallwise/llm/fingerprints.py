@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, numbers, written
+from .common import mix, numbers, small_batches, written
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", dtype=np.uint8)
 WINDOW, LONGEST, LEAST_BLOCK = 7, 64, 3
@@ -167,7 +167,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The texts are range-partitioned by id and walked in order, one batch in memory at a
     time.  A partition's last row needs the next one's first: those two rows a
-    partition are kept with the results and finished by one small task.
+    partition are kept with the results and joined by the partitions' numbers.
 
     Defined cases: a null text is an empty one, whose fingerprint has empty signatures; null
     ids come last; rows with equal ids are ordered by a hash of the text, and wholly equal rows are
@@ -212,15 +212,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield batch_of(pa.array([last.doc_id], kind_), [blank], [(run, 1, last.text)])
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = sorted((x for b in batches for x in b.to_pylist()), key=lambda x: (x["run"], x["edge"]))
-        firsts, lasts = (tuple(_Row(x["doc_id"], x["text"]) for x in edges if x["edge"] == e) for e in (0, 1))
-        if lasts:
-            found = [_compared([row, firsts[(k + 1) % len(firsts)]])[0] for k, row in enumerate(lasts)]
-            yield batch_of(pa.array([x[0] for x in found], id_type), found, None)
-
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
-    done = written(rows.mapInArrow(walked, f"{result}, run int, edge int, text string"), "fingerprints")
+        for batch in batches:
+            triples = zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["following"].to_pylist())
+            found = [_compared([_Row(i, t), _Row(None, f)])[0] for i, t, f in triples]
+            yield batch_of(batch["doc_id"], found, None)
+
+    done = written(small_batches(rows).mapInArrow(walked, f"{result}, run int, edge int, text string"), "fingerprints")
     inner = done.filter(F.col("edge").isNull()).select(*names)
-    # Two rows a partition, however many documents there are.
-    edges = done.filter(F.col("edge").isNotNull()).select("doc_id", "run", "edge", "text").coalesce(1)
+    firsts = done.filter("edge = 0").select(F.col("run").alias("start"), F.col("text").alias("following"))
+    # Partitions' numbers alone meet in one place; their texts are joined by number, the first partition's after the last's.
+    runs = firsts.select("start")
+    turns = runs.select(F.col("start").alias("run"), F.lead("start").over(Window.orderBy("start")).alias("next"), F.min("start").over(Window.partitionBy()).alias("least"))
+    turns = turns.select("run", F.coalesce("next", "least").alias("start"))
+    edges = done.filter("edge = 1").select("doc_id", "run", "text").join(turns, "run").join(firsts, "start").select("doc_id", "text", "following")
     return inner.unionByName(edges.mapInArrow(finished, result))

@@ -95,3 +95,14 @@ def test_nulls_and_repeated_rows(spark):
     assert sorted((x["doc_id"] or -1) for x in out) == sorted((x[0] or -1) for x in rows)
     prints = {x["fingerprint"] for x in out if x["n_chars"] == 300}
     assert len(prints) == 1 and all(0 <= x["near_edited"] <= 1 and 0 <= x["near_next"] <= 1 for x in out)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double", "decimal(9,2)", "timestamp"])
+def test_ids_of_any_type(spark, kind):
+    rows = [(i, "abc é " * (i + 1) * 9) for i in range(1, 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")
+    out = fp.fingerprints(docs.repartition(3))
+    assert out.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    got = {str(x["doc_id"]): tuple(x)[1:] for x in out.collect()}
+    names = {x["text"]: str(x["doc_id"]) for x in docs.collect()}
+    assert got == {names[dict(rows)[i]]: x for i, x in brute(rows).items()}
