@@ -6,6 +6,10 @@ place.  The reader opens a package in its shared folder, finds the end of centra
 directory from the file's tail, follows ZIP64 records where sizes or places need them,
 checks that the members it wants are stored, and reads just the ranges of the
 index and of each record.  Nothing is extracted.
+
+Packages of others are read too: any stored members ``archive/*``, found through their stored
+``indexes/*`` of CDXJ lines (a key, a time and JSON with ``offset``, ``length`` and, where there
+are several archives, ``filename``), gzipped or not.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import BATCH_BYTES, cut, shared_dir, small_batches
 
 # Signatures and sizes of the ZIP format's records.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -35,6 +39,7 @@ STORED = 0
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2000-01-01T00:00:00Z"
+STAMP = "20000101000000"  # the same time as CDXJ has it
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -161,14 +166,20 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def response_id(page_id: int, digest: str) -> str:
+    """The record id of a page's response, which revisits elsewhere can name: page and payload alone decide it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}')}>"
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
     """A WARC 1.1 record: a response with its payload, or a revisit of the page ``first`` with the HTTP head alone.
 
-    The HTTP head names the payload's length in both.
+    The HTTP head names the payload's length in both.  Rows that repeat a response's page and payload repeat its id.
     """
+    name = response_id(page_id, digest) if first is None and page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if first is not None else head + payload
-    fields = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}"]
+    fields = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}"]
     if page_id is not None:
         fields.append(f"WARC-Page-ID: {page_id}")
     if url is not None:
@@ -178,7 +189,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
             fields.append(f"WARC-Page-URL: {base64.b64encode(url.encode()).decode()}")
     fields.append(f"WARC-Payload-Digest: sha1:{digest}")
     if first is not None:
-        fields += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Page-ID: {first}"]
+        fields += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {response_id(first, digest)}", f"WARC-Refers-To-Page-ID: {first}"]
     fields += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join([*fields, "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -199,30 +210,87 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
-def _page(fields: dict[str, str], block: bytes) -> tuple:
-    """(page_id, URL, payload or None, bytes of the full payload, digest, type, page revisited)."""
-    head, _, payload = block.partition(b"\r\n\r\n")
+def _page(fields: dict[str, str], block: bytes) -> tuple | None:
+    """(page_id, URL, payload or None, bytes of the full payload, digest, type, page revisited); None for other kinds of records.
+
+    What others leave out: a response's digest and length are its payload's, a revisit's are null; digests
+    in other than SHA-1 stay as they are, unchecked.
+    """
+    kind = fields.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    head, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
     http = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
-    kind = fields["warc-type"]
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    size = int(http["content-length"])
-    if kind == "response" and (len(payload) != size or digest_of(payload) != digest):
-        raise ValueError(f"the payload of page {fields.get('warc-page-id')} doesn't match its digest")
+    said, length = fields.get("warc-payload-digest"), http.get("content-length", "")
+    digest = said.removeprefix("sha1:") if said else digest_of(payload) if kind == "response" else None
+    size = int(length) if length.isdigit() else len(payload) if kind == "response" else None
+    # A length in the HTTP head that isn't the payload's is an error in records of our own alone; servers send such.
+    own = "warc-page-id" in fields
+    if kind == "response" and said and said.startswith("sha1:") and digest_of(payload) != digest or kind == "response" and own and size != len(payload):
+        raise ValueError(f"the payload of page {fields.get('warc-page-id') or fields.get('warc-target-uri')} doesn't match its digest")
+    size = len(payload) if kind == "response" else size
     number = lambda name: int(fields[name]) if name in fields else None
     url = base64.b64decode(fields["warc-page-url"]).decode() if "warc-page-url" in fields else fields.get("warc-target-uri")
     return number("warc-page-id"), url, payload if kind == "response" else None, size, digest, kind, number("warc-refers-to-page-id")
 
 
+def index_line(url: str | None, digest: str, offset: int, length: int) -> str:
+    """A CDXJ line: key, time and JSON; a key has no blanks."""
+    key = quote(url or "-", safe="/:?=&%.,()-_~") or "-"
+    return f"{key} {STAMP} " + json.dumps({"url": url, "digest": f"sha1:{digest}", "filename": DATA.rpartition("/")[2], "offset": offset, "length": length}, separators=(",", ":"))
+
+
+def entries(package: ZipReader) -> list[tuple[int, int]]:
+    """(place in the file, bytes) of each record in a package, by place, from its stored indexes.
+
+    Lines without JSON, as headers, say nothing; places are numbers or strings of digits.  A line without a
+    file name is of the only archive.  A package with archives and no index is an error, and so is a line of an archive that isn't there.
+    """
+    archives = sorted(x for x in package.members if x.startswith("archive/") and not x.endswith("/"))
+    indexes = sorted(x for x in package.members if x.startswith("indexes/") and x.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")))
+    if archives and not indexes:
+        raise ValueError("the package has no index")
+    found = set()
+    for name in indexes:
+        raw = package.read(*package.stored(name))
+        lines = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8").splitlines()
+        for line in lines:
+            start = line.find("{")
+            entry = json.loads(line[start:]) if start >= 0 and not line.startswith("!") else {}
+            if "offset" not in entry or "length" not in entry:
+                continue
+            named = [x for x in archives if "filename" not in entry or x == entry["filename"] or x == f"archive/{entry['filename']}"]
+            if len(named) != 1:
+                raise ValueError(f"an index line is of no archive: {entry.get('filename')}")
+            place, size = package.stored(named[0])
+            offset, length = int(entry["offset"]), int(entry["length"])
+            if offset < 0 or length < 0 or offset + length > size:
+                raise ValueError("the index points past the archive")
+            found.add((place + offset, length))
+    return sorted(found)
+
+
+#: Payloads that at least one page in so many has, at most so many of them, are told to all tasks; the others are joined.
+HOT_SHARE = 1000
+
+
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, payload, digest, first``: ``first`` is the least id of an equal payload of at least ``min_bytes``, if another has it.
 
     Only digests that occur twice meet the pages again; a digest of any number of pages
-    is one partial minimum a task.
+    is one partial minimum a task.  The most frequent ones, up to ``HOT_SHARE`` by their share of all
+    pages, are broadcast, so that no task of the join for the others gets more than a small share of the pages.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     same = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
-    out = rows.join(same.filter("n > 1").select("digest", "least"), "digest", "left")
+    same = cut(same)
+    pages_counted = same.agg(F.sum("n")).first()[0] or 0
+    same = same.filter("n > 1")
+    hot, cold = (same.filter(x).select("digest", "least") for x in (F.col("n") * HOT_SHARE >= pages_counted, F.col("n") * HOT_SHARE < pages_counted))
+    told = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "digest", "left")
+    rest = told.filter("hot is null").drop("least", "hot").join(cold, "digest", "left")
+    out = told.filter("hot").drop("hot").unionByName(rest)
     return out.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least")).alias("first"))
 
 
@@ -243,8 +311,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, package_bytes: int
             with store.open_output_stream(path) as out:
                 package = ZipWriter(out, zip64_from)
                 package.add(DATA, records)
-                lines = sorted(json.dumps(x, separators=(",", ":")) for x in index)
-                package.add(INDEX, ["\n".join(lines).encode()])
+                package.add(INDEX, ["\n".join(sorted(index)).encode()])
                 package.add("datapackage.json", [b'{"profile":"data-package","wacz_version":"1.1.1"}'])
                 package.close()
                 total = package.place
@@ -253,8 +320,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, package_bytes: int
         for batch in batches:
             for k in range(len(batch)):
                 page_id, url, payload, digest, first = (batch[c][k].as_py() for c in ("page_id", "url", "payload", "digest", "first"))
-                raw = gzip.compress(record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), first), level, mtime=0)
-                index.append({"offset": size, "length": len(raw)})
+                named = base64.b32encode(bytes.fromhex(digest)).decode()
+                raw = gzip.compress(record(page_id, url, payload, named, first), level, mtime=0)
+                index.append(index_line(url, named, size, len(raw)))
                 records.append(raw)
                 size += len(raw)
                 if size >= package_bytes:
@@ -263,14 +331,20 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, package_bytes: int
         if records:
             yield close()
 
-    return cut(revisits(pages, min_bytes).mapInArrow(written, "path string, bytes long, records long"))
+    return cut(small_batches(revisits(pages, min_bytes)).mapInArrow(written, "path string, bytes long, records long"))
+
+
+def gunzipped(raw: bytes) -> bytes:
+    """A record's bytes, which may be stored without gzip."""
+    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
 
 
 def read(packages: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """All records of the packages listed in ``packages`` (column ``path``), read by range through their indexes.
 
     Returns ``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to``; the
-    payload, null for revisits, only ``with_payload``.  Responses are checked against their digests.
+    payload, null for revisits, only ``with_payload``.  Responses are checked against their SHA-1 digests.
+    Records of other kinds (requests, metadata ...) are left out; what other writers don't say is null.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,18 +353,16 @@ def read(packages: DataFrame, folder: str, with_payload: bool = False) -> DataFr
             for path in batch["path"].to_pylist():
                 with store.open_input_file(path) as file:
                     package = ZipReader(file, file.size())
-                    start, size = package.stored(DATA)
-                    lines = package.read(*package.stored(INDEX)).decode().splitlines()
-                    rows = []
-                    for entry in sorted(map(json.loads, lines), key=lambda x: x["offset"]):
-                        if entry["offset"] + entry["length"] > size:
-                            raise ValueError(f"{path}: the index points past the archive")
-                        raw = gzip.decompress(package.read(start + entry["offset"], entry["length"]))
-                        page = _page(*parse_record(raw))
+                    rows, held = [], 0
+                    for place, length in entries(package):
+                        page = _page(*parse_record(gunzipped(package.read(place, length))))
+                        if page is None:
+                            continue
                         rows.append(page if with_payload else (*page[:2], None, *page[3:]))
-                        if len(rows) == 500:
+                        held += len(page[2] or b"") * with_payload
+                        if len(rows) == 500 or held > BATCH_BYTES:
                             yield batch_of(rows)
-                            rows = []
+                            rows, held = [], 0
                     if rows:
                         yield batch_of(rows)
 

@@ -1,3 +1,4 @@
+import gzip
 import io
 import random
 import zipfile
@@ -99,3 +100,81 @@ def test_payloads_come_back(spark):
         f.write(bytes(data))
     with pytest.raises(Exception):  # noqa: B017
         ar.read(packages, folder).collect()
+
+
+def foreign_record(kind, fields, block):
+    lines = [f"WARC/1.1\r\nWARC-Type: {kind}", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_packages_of_others(spark):
+    http = "Content-Type: application/http; msgtype=response"
+    records = [
+        foreign_record("warcinfo", ["Content-Type: application/warc-fields"], b"software: x"),
+        foreign_record("response", ["WARC-Target-URI: http://a/", http], b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\nhello"),
+        foreign_record("response", ["WARC-Target-URI: http://b/", http, "WARC-Payload-Digest: sha256:ab"], b"HTTP/1.1 200 OK\r\n\r\n"),
+        foreign_record("revisit", ["WARC-Target-URI: http://c/", "WARC-Refers-To: <urn:x>", http], b"HTTP/1.1 200 OK\r\n\r\n"),
+    ]
+    want = [("http://a/", 5, ar.digest_of(b"hello"), "response"), ("http://b/", 0, "sha256:ab", "response"), ("http://c/", None, None, "revisit")]
+    for packed in (True, False):
+        raws = [gzip.compress(x) if packed else x for x in records]
+        lines, archives = ['!meta 0 {"offset": 1}', ""], {"archive/one.warc": b"", "archive/two.warc": b""}
+        for k, raw in enumerate(raws):
+            name = "archive/one.warc" if k < 2 else "archive/two.warc"
+            lines.append(f'com,x)/ 2020 {{"offset": "{len(archives[name])}", "length": {len(raw)}, "filename": "{name[8:]}"}}')
+            archives[name] += raw
+        index = "\n".join(lines).encode()
+        folder = f"{shared_dir(spark)}/foreign-{packed}"
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root)
+        with store.open_output_stream(f"{root}/x.wacz") as out:
+            whole = io.BytesIO()
+            with zipfile.ZipFile(whole, "w") as z:
+                for name, data in archives.items():
+                    z.writestr(name, data)
+                z.writestr("indexes/index.cdx.gz" if packed else "indexes/index.cdxj", gzip.compress(index) if packed else index)
+                z.writestr("pages/pages.jsonl", b"{}", zipfile.ZIP_DEFLATED)
+            out.write(whole.getvalue())
+        got = ar.read(spark.createDataFrame([(f"{root}/x.wacz",)], "path string"), folder).collect()
+        assert sorted((x["url"], x["payload_bytes"], x["payload_digest"], x["record_type"]) for x in got) == want
+
+
+def test_bad_indexes():
+    def package(**members):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members.items():
+                z.writestr(name.replace("__", "/") + (".cdxj" if name.startswith("indexes") else ""), data)
+        return ar.ZipReader(out, len(out.getvalue()))
+
+    assert ar.entries(package()) == []
+    for members, error in (
+        ({"archive__a": b"x"}, "no index"),
+        ({"archive__a": b"x", "indexes__i": b'k 1 {"offset": 0, "length": 2}'}, "past"),
+        ({"archive__a": b"x", "indexes__i": b'k 1 {"offset": 0, "length": 1, "filename": "b"}'}, "no archive"),
+        ({"archive__a": b"x", "archive__b": b"x", "indexes__i": b'k 1 {"offset": 0, "length": 1}'}, "no archive"),
+    ):
+        with pytest.raises(ValueError, match=error):
+            ar.entries(package(**members))
+
+
+def test_revisits_name_the_record(spark):
+    pages = spark.createDataFrame([(5, "b", "same"), (2, "a", "same"), (7, "c", "same")], "page_id long, url string, html string")
+    folder = f"{shared_dir(spark)}/test-refers"
+    path = ar.write(pages.repartition(3), folder).collect()
+    store, _ = pafs.FileSystem.from_uri(folder)
+    records = []
+    for row in path:
+        data = store.open_input_file(row["path"]).read()
+        package = ar.ZipReader(io.BytesIO(data), len(data))
+        records += [ar.parse_record(gzip.decompress(package.read(*x)))[0] for x in ar.entries(package)]
+    response = [x for x in records if x["warc-type"] == "response"]
+    assert len(response) == 1 and response[0]["warc-page-id"] == "2"
+    assert {x["warc-refers-to"] for x in records if x["warc-type"] == "revisit"} == {response[0]["warc-record-id"]} and len(records) == 3
+
+
+def test_many_different_pages_and_a_hot_payload(spark):
+    """Payloads on both sides of the share from which they are broadcast."""
+    rows = [(i, f"u{i}", f"text {i // 2}" if i % 3 else "hot") for i in range(6000)]
+    out = ar.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).drop("payload").collect()
+    assert sorted(map(tuple, out)) == sorted(brute(rows))
