@@ -6,7 +6,8 @@ entropy to repeating each document once, within a cap.  The convex dual has one
 multiplier per source, and a document's rate is its exponential tilt
 ``min(cap, exp(multiplier * size / mean size of the source))``.  Newton steps solve
 the dual; each sums over a table of (source, size, count) cells, never over the
-documents, and no source's cells meet in one task.  Rates are rounded into whole
+documents.  Only the rounding has a source's cells, one for each different size, in one task.
+Rates are rounded into whole
 copies so that each source's total stays within about a small document of its target.
 """
 
@@ -63,7 +64,8 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float, steps: int = 60, toler
     tokens that the rates give, its curvature their second moment over the documents below the
     cap.  Both come from one aggregation a step.  A bracket keeps each step where the
     gradient changes sign; a step outside it is halved.  Sources whose target is at
-    the cap need no step (multiplier null: every rate is the cap).
+    the cap need no step (multiplier null: every rate is the cap).  Sources that haven't met their
+    target within ``steps`` are an error.
     """
     means = cells.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
     at = goals.join(means, F.equal_null(goals["source"], means["source"])).select(goals["*"], means["mean"])
@@ -100,6 +102,8 @@ def solve(cells: DataFrame, goals: DataFrame, cap: float, steps: int = 60, toler
         at = cut(at)
         if at.filter(~F.col("done")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"the multipliers haven't converged in {steps} steps")
     at_cap = F.col("target") >= F.col("source_size") * cap * (1 - 1e-12)
     return at.select("source", "source_size", "target", "mean", F.when(~at_cap, F.col("multiplier")).alias("multiplier"))
 
@@ -162,10 +166,9 @@ def _rounded(rated: DataFrame, cap: int) -> DataFrame:
 
     A source's cells go from the largest size to the smallest, in order of size; each
     cell takes the whole number of copies nearest to its own share plus what the
-    cells before it are short of.  That is a running sum rounded in units that shrink, so it is
-    taken in two parallel steps: each cell rounds down, and the shortfalls, summed over the
-    sizes above, are paid out by the first cells that can.  Cells number at most a
-    source's distinct sizes, whatever its documents.
+    cells before it are short of.  Each depends on the one before, so one task walks a source's
+    cells.  They number its distinct sizes, at most its longest document's, whatever its documents:
+    about 100 bytes each, a million of them if it has documents of every size up to a million words.
     """
     import pandas as pd
 

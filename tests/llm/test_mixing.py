@@ -96,3 +96,13 @@ def test_whole_documents(spark):
     out = mixing.mix(docs, whole=True).collect()
     assert sorted(map(repr, (tuple(x["document"]) for x in out))) == sorted(map(repr, rows))
     assert all(x["size"] == len(x["document"]["text"].split()) for x in out)
+
+
+def test_too_few_steps_are_an_error(spark):
+    rows = [(i, "w " * (i % 40 + 1), "abc"[i % 3]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cells = docs.groupBy("source", mixing.words(docs["text"]).alias("size")).count().withColumnRenamed("count", "n")
+    totals = cells.groupBy("source").agg({"size": "sum"}).withColumnRenamed("sum(size)", "source_size")
+    goals = mixing.targets(totals, (5, 2, 1), 1.5, 2)
+    with pytest.raises(RuntimeError, match="converged"):
+        mixing.solve(cells, goals, 2, steps=1)
