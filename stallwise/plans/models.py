@@ -34,6 +34,16 @@ def tfidf_cosine_dups(spark, d):
     return similarity.duplicates(rows, 0.85, side="source")
 
 
+def _folder(spark) -> str:
+    """A folder of its own that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='stallwise-')}"
+    return f"{folder}/stallwise/ingested_{uuid.uuid4().hex}"
+
+
 @register("page_cards")
 def page_cards(spark, d):
     return sources.read_cards(table(spark, d, "pages"), "example.com")
@@ -45,12 +55,7 @@ def stream_ingest_dedup(spark, d):
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     rows = stream.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("ad_url"), "user_id", "event_type", F.col("ts").cast("timestamp").alias("scraped_at"))
-    name, folder = f"ingested_{uuid.uuid4().hex}", spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='stallwise-')}"
-    out = f"{folder}/stallwise/{name}"
+    out = _folder(spark)
 
     def sink(batch, number):
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -58,3 +63,19 @@ def stream_ingest_dedup(spark, d):
     fresh = ingest.new_listings(rows, lookback="36500 days")
     ingest.start(fresh, sink, f"{out}-checkpoint").awaitTermination()
     return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@register("stream_new_rows", """SELECT user_id, event_type AS title, min(ts) AS scraped_at, CASE WHEN user_id % 2 = 0 THEN 'Skopje' END AS location FROM events
+  WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY user_id, event_type""")
+def stream_new_rows(spark, d):
+    """The whole chain over the events: cleaned, those of stored customers dropped, the first of each user and type written by micro-batch."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    rows = stream.select(
+        F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("ad_url"), "user_id", F.concat(F.lit(" \U0001f600 "), "event_type").alias("title"),
+        F.lit(None).cast("string").alias("description"), F.when(F.col("user_id") % 2 == 0, " Skopje ").otherwise(" ").alias("location"), F.col("ts").alias("scraped_at"),
+    )
+    poor = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    stored = table(spark, d, "events").join(poor, "user_id", "left_semi").select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("ad_url"))
+    out = _folder(spark)
+    ingest.start(ingest.normalised(rows), ingest.new_rows_sink(out, "ad_url", "scraped_at", stored), f"{out}-checkpoint").awaitTermination()
+    return spark.read.parquet(out).select("user_id", "title", "scraped_at", "location")

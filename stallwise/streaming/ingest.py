@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import clean_description, clean_title
+from ..operators.merge import first_wins, unknown
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -31,6 +32,27 @@ def start(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: s
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def new_rows_sink(folder: str, key: str, time: str, stored: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each micro-batch's rows that nothing before it has, below ``folder`` as ``batch=N``.
+
+    Known are the keys of ``stored`` and of earlier batches' rows; of a batch's rows with one key the earliest counts, and rows without a key go.
+    A batch that is run again after a restart overwrites its own folder and doesn't look at it or at later ones, so
+    it comes out the same.  Only keys of older rows are read, nothing older is written again.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        fresh = first_wins(batch.filter(F.col(key).isNotNull()), [key], time)
+        if stored is not None:
+            fresh = unknown(fresh, stored, key)
+        if number:
+            # By folder, not by a filter on all of them: a batch cut off half way may have left something unreadable.
+            earlier = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{folder}/batch={n}" for n in range(number)])
+            fresh = unknown(fresh, earlier, key)
+        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return sink
+
+
 def known_run_stop(rows: DataFrame, group: str, order: str, known: str, run: int = 50) -> DataFrame:
     """``group, last``: emitted once, when a group has had ``run`` known rows in a row.
 
