@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -67,6 +68,12 @@ def give_back() -> None:
         trim(0)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver look for shuffles that nothing refers to any more, so that their files go now and not whenever its memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """A run's folder of intermediate tables below the shared one; what is left of it goes when the driver's JVM ends."""
 

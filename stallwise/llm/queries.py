@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, fingerprints, langid, licenses, mixing, neardup, packing, quality, sharding, wrappers
+from . import archives, fingerprints, langid, licenses, mixing, neardup, packing, quality, resampling, sharding, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,7 +74,13 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_sharding, op2_zip_archives, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op7_html_extraction, op8_near_dedup, op9_mixing, op10_quality_rules)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's likeness to the benchmark's distribution of n-grams, and its rank in a draw of 5%."""
+    out = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = (op1_sharding, op2_zip_archives, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op7_html_extraction, op8_near_dedup, op9_mixing, op10_quality_rules, op11_importance_resampling)
 
 
 def queries() -> dict[str, Query]:
@@ -82,4 +88,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_zip_archives": archives.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL}
+    return {"op2_zip_archives": archives.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL}
