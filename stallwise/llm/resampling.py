@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, cut, free_shuffles, give_back, mix, small_batches
 from .terms import terms, text_blocks
 
-BLOCK_BYTES, SHARD_BYTES = 32 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 12 << 20, 16 << 20
 
 
-def _packed(x: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x))
+def _packed(x: np.ndarray | memoryview) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x) if isinstance(x, np.ndarray) else x)
 
 
 def _unpacked(x: bytes, kind: type | None = None) -> np.ndarray | bytes:
@@ -40,33 +40,46 @@ def _unpacked(x: bytes, kind: type | None = None) -> np.ndarray | bytes:
 class _Grams:
     """A block's distinct runs of 1 to 3 terms, in an order that follows from the block's terms alone."""
 
-    def __init__(self, at: np.ndarray, size: int, bounds: np.ndarray):
-        """``at``: the block's terms as places among its ``size`` sorted distinct ones."""
-        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    def __init__(self, at: np.ndarray, size: int, bounds: np.ndarray, counted: bool = False):
+        """``at``: the block's terms as places among its ``size`` sorted distinct ones.  Grams are ``counted``, or else known by place for ``sums``."""
+        text = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
         self.size = size
         self.two, self.three = np.flatnonzero(text[1:] == text[:-1]), np.flatnonzero(text[2:] == text[:-2])
-        self.ones = np.bincount(at, minlength=size)
-        self.pairs, pair, self.twos = np.unique(at[self.two] * size + at[self.two + 1], return_inverse=True, return_counts=True)
-        pair_at = np.zeros(len(at), dtype=np.int64)
+        del text
+        self.pairs, pair = np.unique(at[self.two] * size + at[self.two + 1], return_inverse=True)
+        pair_at = np.zeros(len(at), dtype=np.int32)
         pair_at[self.two] = pair
-        self.triples, triple, self.threes = np.unique(pair_at[self.three] * size + at[self.three + 2], return_inverse=True, return_counts=True)
-        self.at, self.pair, self.triple = at, pair, triple
-
-    def shards(self, marks: np.ndarray, n: int) -> np.ndarray:
-        """The shard of every gram, by its first two terms."""
-        marks = marks.astype(np.uint64)
+        triples = pair_at[self.three] * np.int64(size) + at[self.three + 2]
+        if counted:
+            self.triples, threes = np.unique(triples, return_counts=True)
+            self.counts = np.concatenate([np.bincount(at, minlength=size), np.bincount(pair, minlength=len(self.pairs)), threes])
+        else:
+            self.triples, triple = np.unique(triples, return_inverse=True)
+            self.at, self.pair, self.triple = at, pair.astype(np.int32), triple.astype(np.int32)
+
+    def dealt(self, marks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The grams by shard, alphabetically within one, and their shards; a gram's shard goes by its first two terms."""
+        marks, size, count = marks.astype(np.uint64), self.size, len(self.pairs)
+        first, pair = self.pairs // size, self.triples // size
         with np.errstate(over="ignore"):
-            pairs = mix(marks[self.pairs // self.size] * np.uint64(0x9E3779B97F4A7C15) + marks[self.pairs % self.size])
-            every = np.concatenate([mix(marks), pairs, pairs[self.triples // self.size]])
-        return (every % np.uint64(n)).astype(np.int64)
+            pairs = mix(marks[first] * np.uint64(0x9E3779B97F4A7C15) + marks[self.pairs % size])
+            of = np.concatenate([mix(marks), pairs, pairs[pair]]) % np.uint64(n)
+        of = of.astype(np.int16 if n < 1 << 15 else np.int64)
+        # A gram comes before those that it begins.
+        before = np.searchsorted(self.pairs, np.arange(size) * size)
+        under = np.searchsorted(self.triples, np.arange(count + 1) * size)
+        place = [np.arange(size) + before + under[before], first + 1 + np.arange(count) + under[:-1], first[pair] + pair + 2 + np.arange(len(pair))]
+        order = np.empty(len(of), dtype=np.int64)
+        order[np.concatenate(place)] = np.arange(len(of))
+        order = order[np.argsort(of[order], kind="stable")]
+        return order, of[order]
 
     def lines(self, words: pa.BinaryArray) -> pa.BinaryArray:
         """Every gram as its terms joined by blanks, and a line break."""
         ends = pc.binary_join_element_wise(words, pa.scalar(b"\n"), b"")
         head = pc.binary_join_element_wise(words.take(pa.array(self.pairs // self.size)), words.take(pa.array(self.pairs % self.size)), b" ")
-        twos = pc.binary_join_element_wise(head, pa.scalar(b"\n"), b"")
         threes = pc.binary_join_element_wise(head.take(pa.array(self.triples // self.size)), ends.take(pa.array(self.triples % self.size)), b" ")
-        return pa.concat_arrays([ends, twos, threes])
+        return pa.concat_arrays([ends, pc.binary_join_element_wise(head, pa.scalar(b"\n"), b""), threes])
 
     def sums(self, gains: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The sum of a number for each gram over the grams of each text."""
@@ -95,25 +108,26 @@ def _marks(words: pa.BinaryArray) -> np.ndarray:
 
 
 def _messages(shards: int, target: bool, block_bytes: int):
-    """Blocks to ``block, shard, target, n, grams, counts``: what a block tells each shard of the dictionary."""
+    """Blocks to ``block, shard, target, grams, counts, more``: what a block tells each shard of the dictionary."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raws in text_blocks(batches, block_bytes):
             at, words, bounds, block = _read(raws)
             if not len(at):
                 continue
-            grams = _Grams(at, len(words), bounds)
-            of = grams.shards(_marks(words), shards)
-            order = np.argsort(of, kind="stable")
-            counts = np.concatenate([grams.ones, grams.twos, grams.threes])[order].astype(np.int32)
-            lines = grams.lines(words)
-            cuts = np.flatnonzero(np.diff(of[order], prepend=-1))
+            grams = _Grams(at, len(words), bounds, counted=True)
+            order, of = grams.dealt(_marks(words), shards)
+            lines, counts = grams.lines(words), grams.counts
+            del at, grams
+            cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                some = b"".join(lines.take(pa.array(order[a:b])).to_pylist())
+                some, n = lines.take(pa.array(order[a:b])), counts[order[a:b]]
+                ends = np.frombuffer(some.buffers()[1], dtype=np.int32)
                 yield pa.record_batch({
-                    "block": [block], "shard": pa.array([of[order[a]]], pa.int64()), "target": [target], "n": pa.array([b - a], pa.int64()),
-                    "grams": [_packed(some)], "counts": [_packed(counts[a:b])],
+                    "block": [block], "shard": pa.array([of[a]], pa.int64()), "target": [target],
+                    "grams": [_packed(memoryview(some.buffers()[2])[: ends[-1]])], "counts": [_packed(np.minimum(n, 255).astype(np.uint8))], "more": [_packed(n[n >= 255])],
                 })
+            del lines, counts, order, of
         give_back()
 
     return told
@@ -130,8 +144,13 @@ def _dictionary(buckets: int):
             offsets = np.concatenate([[0], np.flatnonzero(raw == 10) + 1]).astype(np.int64)
             parts.append(pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
         found = pa.concat_arrays(parts).dictionary_encode()
-        of = np.array([zlib.crc32(x[:-1]) for x in found.dictionary.to_pylist()], dtype=np.int64) % buckets
-        at, counts = found.indices.to_numpy(), [_unpacked(x.as_py(), np.int32) for x in messages["counts"]]
+        raw, ends = found.dictionary.buffers()[2].to_pybytes(), np.frombuffer(found.dictionary.buffers()[1], dtype=np.int64).tolist()
+        of = np.fromiter((zlib.crc32(raw[a : b - 1]) for a, b in zip(ends, ends[1:])), dtype=np.int64, count=len(ends) - 1) % buckets
+        at, counts = found.indices.to_numpy(), []
+        for x, y in zip(messages["counts"], messages["more"]):
+            n = _unpacked(x.as_py(), np.uint8).astype(np.int64)
+            n[n == 255] = _unpacked(y.as_py(), np.int64)
+            counts.append(n)
         ends = np.cumsum([len(x) for x in parts])
         shard, target = messages["shard"][0].as_py(), messages["target"].to_pylist()
         rows = []
@@ -187,12 +206,12 @@ def _weighed(shards: int, gains: np.ndarray):
                 n, weight = np.diff(bounds), np.zeros(len(bounds) - 1, dtype=np.int64)
                 if len(at):
                     grams = _Grams(at.astype(np.int64), len(marks), bounds)
-                    of = grams.shards(marks, shards)
+                    order, of = grams.dealt(marks, shards)
                     wanted = np.unique(of).tolist()
                     if any(k not in answers for k in wanted):
                         raise RuntimeError("the documents didn't come in the same blocks twice: write them to a table first")
                     gain = np.empty(len(of), dtype=np.int64)
-                    gain[np.argsort(of, kind="stable")] = gains[np.concatenate([_unpacked(answers[k], small) for k in wanted])]
+                    gain[order] = gains[np.concatenate([_unpacked(answers[k], small) for k in wanted])]
                     weight = grams.sums(gain, bounds)
                 out.append(pa.table({"id": row["ids"][i].values, "n_words": n, "n_features": n + np.maximum(n - 1, 0) + np.maximum(n - 2, 0), "weight": weight}))
         return pa.concat_tables(out)
@@ -228,7 +247,7 @@ def resample(
     wanted = target.select(F.lit(None).cast("int").alias("id"), F.col(target_col).alias("text"))
     size = sum(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for x in (rows, wanted))
     shards = -(-size // shard_bytes) or 1
-    schema = "block string, shard long, target boolean, n long, grams binary, counts binary"
+    schema = "block string, shard long, target boolean, grams binary, counts binary, more binary"
     told = rows.mapInArrow(_messages(shards, False, block_bytes), schema).unionByName(wanted.mapInArrow(_messages(shards, True, block_bytes), schema))
     answered = told.groupBy("shard").applyInArrow(_dictionary(buckets), "block string, shard long, answer binary, totals array<long>, target boolean")
     dictionary = scratch.write(answered, "dictionary")
