@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, fingerprints, langid, licenses, mixing, neardup, packing, quality, resampling, sharding, wrappers
+from . import archives, fingerprints, langid, lexical, licenses, mixing, neardup, neighbours, packing, quality, resampling, sharding, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,18 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = (op1_sharding, op2_zip_archives, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op7_html_extraction, op8_near_dedup, op9_mixing, op10_quality_rules, op11_importance_resampling)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all documents for each benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all vectors to every hundredth one."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.filter("vec_id % 100 = 0"), k=10)
+
+
+QUERIES = (op1_sharding, op2_zip_archives, op3_license_scan, op4_fingerprints, op5_packing, op6_language_id, op7_html_extraction, op8_near_dedup, op9_mixing, op10_quality_rules, op11_importance_resampling, op12_lexical_search, op13_neighbours)
 
 
 def queries() -> dict[str, Query]:
@@ -88,4 +99,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_zip_archives": archives.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL}
+    return {"op2_zip_archives": archives.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op12_lexical_search": lexical.ORACLE_SQL}
