@@ -103,13 +103,3 @@ def notices(rows: DataFrame, group: str, new: str, odd: str) -> DataFrame:
 
 def evolve(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.unionByName(other, allowMissingColumns=True)
-
-
-def until_known_run(rows: DataFrame, group: str, order: str, known: str, run: int = 50) -> DataFrame:
-    """Each group's rows up to the one that completes the first ``run`` known rows in a row."""
-    w = Window.partitionBy(group).orderBy(order)
-    rows = rows.withColumn("island_", F.sum(F.when(F.col(known), 0).otherwise(1)).over(w))
-    inside = Window.partitionBy(group, "island_").orderBy(order)
-    rows = rows.withColumn("streak_", F.sum(F.col(known).cast("int")).over(inside))
-    stop = F.min(F.when(F.col("streak_") >= run, F.col(order))).over(Window.partitionBy(group))
-    return rows.withColumn("stop_", stop).filter(F.col("stop_").isNull() | (F.col(order) <= F.col("stop_"))).drop("island_", "streak_", "stop_")

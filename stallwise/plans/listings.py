@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import prices, records, text
-from ..operators import analytics, classify, filters, merge, pricing, similarity
+from ..operators import analytics, classify, filters, merge, pricing, ranges, similarity
 from .catalog import oracle_sql, register
 from .fixture import ADS_SQL, ads, table
 
@@ -248,7 +248,7 @@ def listing_with_detail(spark, d):
   SELECT event_type, event_id, known FROM e JOIN t USING (event_type) WHERE stop IS NULL OR event_id <= stop""")
 def consecutive_known_stop(spark, d):
     rows = table(spark, d, "events").select("event_type", "event_id", (F.col("value") < 60).alias("known"))
-    return merge.until_known_run(rows, "event_type", "event_id", "known", 5)
+    return ranges.until_known_run(rows, "event_type", "event_id", "known", 5)
 
 
 def _wins(order: str) -> str:

@@ -1,5 +1,7 @@
+import collections
 import datetime
 import math
+import random
 
 import duckdb
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stallwise.functions import prices, records, text
-from stallwise.operators import analytics, classify, filters, merge, pricing, similarity
+from stallwise.operators import analytics, classify, filters, merge, pricing, ranges, similarity
 from stallwise.plans import catalog
 from stallwise.sources import listings as sources
 from stallwise.streaming import ingest
@@ -109,7 +111,36 @@ def test_responses(spark):
 def test_known_runs(spark):
     flags = [True] * 49 + [False] + [True] * 60
     rows = spark.createDataFrame([("s", i + 1, f) for i, f in enumerate(flags)], "source string, seq int, known boolean")
-    assert merge.until_known_run(rows, "source", "seq", "known").agg(F.max("seq")).first()[0] == 100
+    assert ranges.until_known_run(rows, "source", "seq", "known").agg(F.max("seq")).first()[0] == 100
+
+
+def test_known_runs_over_borders(spark):
+    """A hot group over many partitions, groups of a row, runs that cross borders, ties, nulls: as a walk over the rows finds it."""
+    rng = random.Random(4)
+    rows = [("hot", i, rng.random() < 0.8) for i in range(400)] + [(f"g{i % 23}", i, rng.random() < 0.7) for i in range(300)] + [(None, i, True) for i in range(9)]
+    rows += [("ties", i // 3, rng.choice([True, True, None])) for i in range(60)] + [("all", i, True) for i in range(100)]
+    frame = spark.createDataFrame([(g, o, k, "x") for g, o, k in rows], "source string, seq int, known boolean, part string").repartition(5)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            for run in (1, 4, 12, 60):
+                got = collections.Counter((x["source"], x["seq"]) for x in ranges.until_known_run(frame.filter("source <> 'ties' or source is null"), "source", "seq", "known", run).collect())
+                want = collections.Counter()
+                for group in {g for g, _, _ in rows} - {"ties"}:
+                    streak = 0
+                    for _, o, k in sorted(x for x in rows if x[0] == group):
+                        want[group, o] += 1
+                        streak = streak + 1 if k else 0
+                        if streak == run:
+                            break
+                assert got == want
+            ties = ranges.until_known_run(frame.filter("source = 'ties'"), "source", "seq", "known", 1).collect()
+            stop = min(o for g, o, k in rows if g == "ties" and k)
+            assert max(x["seq"] for x in ties) == stop and len(ties) == 3 * (stop + 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert ranges.until_known_run(frame.limit(0), "source", "seq", "known").columns == frame.columns
 
 
 def test_known_run_stream(spark, tmp_path):
