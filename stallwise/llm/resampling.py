@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, cut, free_shuffles, give_back, mix, small_batches
 from .terms import terms, text_blocks
 
-BLOCK_BYTES, SHARD_BYTES = 12 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 6 << 20
 
 
 def _packed(x: np.ndarray | memoryview) -> bytes:
@@ -58,28 +58,19 @@ class _Grams:
             self.at, self.pair, self.triple = at, pair.astype(np.int32), triple.astype(np.int32)
 
     def dealt(self, marks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The grams by shard, alphabetically within one, and their shards; a gram's shard goes by its first two terms."""
-        marks, size, count = marks.astype(np.uint64), self.size, len(self.pairs)
-        first, pair = self.pairs // size, self.triples // size
+        """The grams by shard, and their shards; a gram's shard goes by its first two terms, so it holds a pair with all the triples that begin so."""
+        marks = marks.astype(np.uint64)
         with np.errstate(over="ignore"):
-            pairs = mix(marks[first] * np.uint64(0x9E3779B97F4A7C15) + marks[self.pairs % size])
-            of = np.concatenate([mix(marks), pairs, pairs[pair]]) % np.uint64(n)
+            pairs = mix(marks[self.pairs // self.size] * np.uint64(0x9E3779B97F4A7C15) + marks[self.pairs % self.size])
+            of = np.concatenate([mix(marks), pairs, pairs[self.triples // self.size]]) % np.uint64(n)
         of = of.astype(np.int16 if n < 1 << 15 else np.int64)
-        # A gram comes before those that it begins.
-        before = np.searchsorted(self.pairs, np.arange(size) * size)
-        under = np.searchsorted(self.triples, np.arange(count + 1) * size)
-        place = [np.arange(size) + before + under[before], first + 1 + np.arange(count) + under[:-1], first[pair] + pair + 2 + np.arange(len(pair))]
-        order = np.empty(len(of), dtype=np.int64)
-        order[np.concatenate(place)] = np.arange(len(of))
-        order = order[np.argsort(of[order], kind="stable")]
+        order = np.argsort(of, kind="stable")
         return order, of[order]
 
-    def lines(self, words: pa.BinaryArray) -> pa.BinaryArray:
-        """Every gram as its terms joined by blanks, and a line break."""
-        ends = pc.binary_join_element_wise(words, pa.scalar(b"\n"), b"")
-        head = pc.binary_join_element_wise(words.take(pa.array(self.pairs // self.size)), words.take(pa.array(self.pairs % self.size)), b" ")
-        threes = pc.binary_join_element_wise(head.take(pa.array(self.triples // self.size)), ends.take(pa.array(self.triples % self.size)), b" ")
-        return pa.concat_arrays([ends, pc.binary_join_element_wise(head, pa.scalar(b"\n"), b""), threes])
+    def lines(self, words: pa.BinaryArray) -> tuple[pa.BinaryArray, pa.BinaryArray]:
+        """The terms, and the pairs as terms joined by a blank, each ended by a line break."""
+        ended = pc.binary_join_element_wise(words, pa.scalar(b"\n"), b"")
+        return ended, pc.binary_join_element_wise(words.take(pa.array(self.pairs // self.size)), ended.take(pa.array(self.pairs % self.size)), b" ")
 
     def sums(self, gains: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """The sum of a number for each gram over the grams of each text."""
@@ -102,13 +93,42 @@ def _read(raws: list[bytes]) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray, st
     return rank[at], words.take(pa.array(order)), bounds, mark.hexdigest()
 
 
+def _bytes(n: np.ndarray) -> bytes:
+    """Counts, mostly small ones, packed as bytes; those from 255 on follow whole."""
+    return _packed(np.concatenate([np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype(np.int64).view(np.uint8)]))
+
+
+def _counts(packed: bytes, size: int) -> np.ndarray:
+    raw = _unpacked(packed, np.uint8)
+    n = raw[:size].astype(np.int64)
+    n[n == 255] = raw[size:].copy().view(np.int64)
+    return n
+
+
+def _text(lines: pa.BinaryArray) -> bytes:
+    ends = np.frombuffer(lines.buffers()[1], dtype=np.int32)
+    return _packed(memoryview(lines.buffers()[2])[: ends[len(lines)]])
+
+
+def _strings(packed: bytes) -> pa.BinaryArray:
+    """The lines of a text without their breaks."""
+    raw = np.frombuffer(_unpacked(packed), dtype=np.uint8)
+    broken = raw == 10
+    at = np.flatnonzero(broken)
+    offsets = np.concatenate([[0], at - np.arange(len(at))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[~broken])])
+
+
 def _marks(words: pa.BinaryArray) -> np.ndarray:
     """A number for each term, by which grams are dealt to shards."""
     return np.array([zlib.crc32(x) for x in words.to_pylist()], dtype=np.uint32)
 
 
 def _messages(shards: int, target: bool, block_bytes: int):
-    """Blocks to ``block, shard, target, grams, counts, more``: what a block tells each shard of the dictionary."""
+    """Blocks to ``block, shard, target, ones, pairs, thirds, following, counts``: what a block tells each shard of the dictionary.
+
+    A triple is sent as its third term: ``following`` has how many triples begin with each pair.
+    """
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, raws in text_blocks(batches, block_bytes):
@@ -116,18 +136,21 @@ def _messages(shards: int, target: bool, block_bytes: int):
             if not len(at):
                 continue
             grams = _Grams(at, len(words), bounds, counted=True)
+            size, pairs, triples, counts = grams.size, len(grams.pairs), grams.triples, grams.counts
             order, of = grams.dealt(_marks(words), shards)
-            lines, counts = grams.lines(words), grams.counts
-            del at, grams
+            ones, twos = grams.lines(words)
+            following = np.diff(np.searchsorted(triples, np.arange(pairs + 1) * size))
+            del at, grams, words
             cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
-                some, n = lines.take(pa.array(order[a:b])), counts[order[a:b]]
-                ends = np.frombuffer(some.buffers()[1], dtype=np.int32)
+                mine = order[a:b]
+                first, second = np.searchsorted(mine, [size, size + pairs])
+                two = mine[first:second] - size
                 yield pa.record_batch({
-                    "block": [block], "shard": pa.array([of[a]], pa.int64()), "target": [target],
-                    "grams": [_packed(memoryview(some.buffers()[2])[: ends[-1]])], "counts": [_packed(np.minimum(n, 255).astype(np.uint8))], "more": [_packed(n[n >= 255])],
+                    "block": [block], "shard": pa.array([of[a]], pa.int64()), "target": [target], "ones": [_text(ones.take(pa.array(mine[:first])))], "pairs": [_text(twos.take(pa.array(two)))],
+                    "thirds": [_text(ones.take(pa.array(triples[mine[second:] - size - pairs] % size)))], "following": [_bytes(following[two])], "counts": [_bytes(counts[mine])],
                 })
-            del lines, counts, order, of
+            del ones, twos, triples, counts, order, of
         give_back()
 
     return told
@@ -138,20 +161,21 @@ def _dictionary(buckets: int):
     small = np.uint16 if buckets <= 1 << 16 else np.uint32
 
     def counted(messages: pa.Table) -> pa.Table:
-        parts = []
-        for x in messages["grams"]:
-            raw = np.frombuffer(_unpacked(x.as_py()), dtype=np.uint8)
-            offsets = np.concatenate([[0], np.flatnonzero(raw == 10) + 1]).astype(np.int64)
-            parts.append(pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
-        found = pa.concat_arrays(parts).dictionary_encode()
-        raw, ends = found.dictionary.buffers()[2].to_pybytes(), np.frombuffer(found.dictionary.buffers()[1], dtype=np.int64).tolist()
-        of = np.fromiter((zlib.crc32(raw[a : b - 1]) for a, b in zip(ends, ends[1:])), dtype=np.int64, count=len(ends) - 1) % buckets
-        at, counts = found.indices.to_numpy(), []
-        for x, y in zip(messages["counts"], messages["more"]):
-            n = _unpacked(x.as_py(), np.uint8).astype(np.int64)
-            n[n == 255] = _unpacked(y.as_py(), np.int64)
-            counts.append(n)
-        ends = np.cumsum([len(x) for x in parts])
+        parts, counts, lengths = [], [], []
+        for x in messages.select(["ones", "pairs", "thirds", "following", "counts"]).to_pylist():
+            pairs = _strings(x["pairs"])
+            heads = pairs.take(pa.array(np.repeat(np.arange(len(pairs)), _counts(x["following"], len(pairs)))))
+            mine = [_strings(x["ones"]), pairs, pc.binary_join_element_wise(heads, _strings(x["thirds"]), b" ")]
+            lengths.append(sum(map(len, mine)))
+            counts.append(_counts(x["counts"], lengths[-1]))
+            parts += mine
+        encoded = pa.chunked_array(parts).dictionary_encode()
+        at, found = np.concatenate([x.indices.to_numpy() for x in encoded.chunks]), encoded.chunk(0).dictionary  # all chunks share one
+        del parts, mine, pairs, heads, encoded
+        raw, ends = found.buffers()[2].to_pybytes(), np.frombuffer(found.buffers()[1], dtype=np.int32)[: len(found) + 1].tolist()
+        of = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(ends, ends[1:])), dtype=np.int64, count=len(ends) - 1) % buckets
+        del raw, found
+        ends = np.cumsum(lengths)
         shard, target = messages["shard"][0].as_py(), messages["target"].to_pylist()
         rows = []
         totals = {kind: np.zeros(len(of), dtype=np.int64) for kind in set(target)}
@@ -164,6 +188,7 @@ def _dictionary(buckets: int):
             sums = np.zeros(buckets, dtype=np.int64)
             np.add.at(sums, of, each)
             rows.append((None, shard, None, sums.tolist(), goal))
+        give_back()
         kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.bool_())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["block", "shard", "answer", "totals", "target"])
 
@@ -247,7 +272,7 @@ def resample(
     wanted = target.select(F.lit(None).cast("int").alias("id"), F.col(target_col).alias("text"))
     size = sum(x.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for x in (rows, wanted))
     shards = -(-size // shard_bytes) or 1
-    schema = "block string, shard long, target boolean, grams binary, counts binary, more binary"
+    schema = "block string, shard long, target boolean, ones binary, pairs binary, thirds binary, following binary, counts binary"
     told = rows.mapInArrow(_messages(shards, False, block_bytes), schema).unionByName(wanted.mapInArrow(_messages(shards, True, block_bytes), schema))
     answered = told.groupBy("shard").applyInArrow(_dictionary(buckets), "block string, shard long, answer binary, totals array<long>, target boolean")
     dictionary = scratch.write(answered, "dictionary")
