@@ -146,6 +146,8 @@ def search(
         for batch in batches:
             for i in range(len(batch)):
                 ids, dim = batch["ids"][i].values, batch["dim"][i].as_py()
+                if batch["asked_dim"][i].as_py() != dim:
+                    continue
                 own = ids.to_numpy(zero_copy_only=False)
                 flat, values, places = (np.frombuffer(batch[c][i].as_py(), dtype=t) for c, t in (("vectors", np.float64), ("sorted", np.float64), ("places", np.int32)))
                 shard = Shard(own, flat.reshape(-1, dim), values.reshape(projections, -1), places.reshape(projections, -1), growth)
@@ -159,7 +161,7 @@ def search(
         give_back()
 
     packs = _kept(queries, key, vector).mapInArrow(packed, f"asked array<{kind}>, asked_dim int, asked_vectors binary")
-    pairs = shards.crossJoin(packs).filter("dim = asked_dim")
+    pairs = shards.crossJoin(packs)  # a join on ``dim`` would bring the shards, whose lengths are mostly one, to one task
     best = pairs.mapInArrow(found, f"query_id {kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
