@@ -1,45 +1,130 @@
-"""Groups of similar listings: TF-IDF of title words, reduced dimensions, k-means, labels."""
+"""Groups of similar listings: weighted title words, reduced dimensions, k-means by small batches, labels."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cluster_title, words
+from .ranges import written
+from .reduction import truncated_svd, weights
+
+
+def title_terms(tokens: Column) -> Column:
+    """The words of a title and its pairs of words that follow each other."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(tokens) - 1), lambda i: F.concat_ws(" ", F.element_at(tokens, i), F.element_at(tokens, i + 1)))
+    return F.when(F.size(tokens) > 1, F.concat(tokens, pairs)).otherwise(tokens)
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(axis=1)[None, :], 0)
+
+
+def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """First centres, each drawn by the squared distance from those before it, the best of a few draws."""
+    centres = [x[rng.integers(len(x))]]
+    near = _distances(x, np.array(centres))[:, 0]
+    for _ in range(1, k):
+        total = near.sum()
+        drawn = rng.choice(len(x), size=2 + int(np.log(k)), p=near / total) if total > 0 else rng.integers(len(x), size=1)
+        each = np.minimum(near[None, :], _distances(x[drawn], x))
+        best = each.sum(axis=1).argmin()
+        centres.append(x[drawn[best]])
+        near = each[best]
+    return np.array(centres)
+
+
+def fit_batches(x: np.ndarray, k: int, seed: int, batch: int = 2000, passes: int = 100, patience: int = 10) -> tuple[np.ndarray, float]:
+    """Centres by batches of rows: each moves towards its rows of a batch by the share that they are of all it has had.
+
+    Ends when the smoothed cost of a batch hasn't improved for ``patience`` batches; gives the centres and their cost on the rows.
+    """
+    rng = np.random.default_rng(seed)
+    centres, had = _spread(x[rng.permutation(len(x))[: 3 * batch]], k, rng), np.zeros(k)
+    best, smooth, idle = np.inf, None, 0
+    for _ in range(max(1, passes * len(x) // batch)):
+        some = x[rng.integers(len(x), size=min(batch, len(x)))]
+        distance = _distances(some, centres)
+        of = distance.argmin(axis=1)
+        n = np.bincount(of, minlength=k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, some)
+        had += n
+        live = n > 0
+        centres[live] += (sums[live] - n[live, None] * centres[live]) / had[live, None]
+        cost, share = distance[np.arange(len(some)), of].mean(), min(1.0, 2 * batch / (len(x) + 1))
+        smooth = cost if smooth is None else smooth + share * (cost - smooth)
+        best, idle = (smooth, 0) if smooth < best else (best, idle + 1)
+        if idle >= patience:
+            break
+        starved = had < 0.01 * had.max()
+        if starved.any() and idle == 0:  # centres that hardly any row goes to start again elsewhere
+            centres[starved] = some[rng.choice(len(some), size=int(starved.sum()), replace=len(some) < starved.sum())]
+            had[starved] = had[~starved].min() if (~starved).any() else 0
+    return centres, float(_distances(x, centres).min(axis=1).sum())
+
+
+def batch_kmeans(rows: DataFrame, key: str, vector: str, k: int, starts: int = 5, most: int = 50_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """``key, cluster_id, cost`` (squared distance) of every row, and the centres, fitted in ``starts`` ways on at most ``most`` rows.
+
+    The fit's rows are a sample by hash of the key, all rows up to ``most``; each start is a task's work on its own copy of them, the one of least cost wins, and
+    every row is assigned.  Batches are drawn from the sample, so the fit reads the table once however long it runs.
+    """
+    n = rows.count()
+    chance = min(1.0, most / max(1, n))
+    some = rows.filter(F.col(vector).isNotNull()).withColumn("place_", F.xxhash64(F.col(key), F.lit(seed)))
+    some = some.filter(F.pmod("place_", F.lit(1_000_003)) < chance * 1_000_003).orderBy("place_", key).limit(most).select(F.col(vector).alias("vector_"))
+    copies = some.crossJoin(rows.sparkSession.range(starts).withColumnRenamed("id", "start_"))
+
+    def fitted(group: pa.Table) -> pa.Table:
+        x = np.array(group["vector_"].to_pylist(), dtype=np.float64)
+        centres, cost = fit_batches(x, min(k, len(x)), seed + group["start_"][0].as_py())
+        return pa.table({"cost": [cost], "centres": [centres.tolist()]})
+
+    best = copies.groupBy("start_").applyInArrow(fitted, "cost double, centres array<array<double>>").orderBy("cost").first()
+    centres = np.array(best["centres"])
+
+    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                distance = _distances(np.array(batch[vector].to_pylist(), dtype=np.float64), centres)
+                yield pa.record_batch([batch[key], pa.array(distance.argmin(axis=1).astype(np.int32)), pa.array(distance.min(axis=1))], names=[key, "cluster_id", "cost"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(assigned, f"{key} {kind}, cluster_id int, cost double"), centres
 
 
-def title_groups(ads: DataFrame, key: str = "ad_url", title: str = "title", most: int = 150, dimensions: int = 100, vocabulary: int = 4000, seed: int = 42) -> DataFrame:
-    """``key, cluster_id, cluster_label`` of titles of three words or more; a label has up to four of the centre's words and pairs.
+def title_groups(ads: DataFrame, key: str = "ad_url", title: str = "title", most: int = 150, dimensions: int = 100, seed: int = 42) -> DataFrame:
+    """``key, cluster_id, cluster_label`` of titles of three words or more; a label has up to four of a group's weightiest words and pairs.
 
-    The vocabulary's size bounds the matrix that the reduction holds on the driver.
+    All words and pairs of two titles or more, up to nine tenths of them, count.  Titles without any of those are the group -1, which has no label.
+    Fewer than six titles are one group, and each is labelled by its own words.
     """
     rows = ads.select(key, words(cluster_title(F.col(title))).alias("tokens")).filter(F.size("tokens") >= 3)
-    rows = NGram(n=2, inputCol="tokens", outputCol="pairs").transform(rows).withColumn("terms", F.concat("tokens", "pairs"))
+    rows = written(rows.withColumn("terms", title_terms(F.col("tokens"))), "titles")
     n = rows.count()
-    if n < 3:
+    if n < 6:  # less than two groups of three
         return rows.select(key, F.lit(0).alias("cluster_id"), F.array_join("tokens", " · ").alias("cluster_label"))
-    counted = CountVectorizer(inputCol="terms", outputCol="tf", minDF=min(2, n), maxDF=0.9 if n > 10 else 1.0, vocabSize=vocabulary).fit(rows)
-    at = counted.transform(rows)
-    sub = F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
-    at = at.withColumn("tf", array_to_vector(sub))
-    at = Normalizer(inputCol="tfidf", outputCol="unit").transform(IDF(inputCol="tf", outputCol="tfidf").fit(at).transform(at)).select(key, "unit")
-    size = len(counted.vocabulary)
-    if size > dimensions:
-        at = PCA(k=dimensions, inputCol="unit", outputCol="low").fit(at).transform(at)
-        at = Normalizer(inputCol="low", outputCol="features").transform(at)
-    else:
-        at = at.withColumn("features", F.col("unit"))
-    model = KMeans(k=max(2, min(most, n // 3)), seed=seed, featuresCol="features", predictionCol="cluster_id").fit(at)
-    found = model.transform(at).select(key, "cluster_id", "unit")
-    terms = found.select("cluster_id", F.posexplode(vector_to_array("unit")).alias("term", "w")).filter("w > 0").groupBy("cluster_id", "term").agg(F.sum("w").alias("w"))
+    found = written(weights(rows, key, "terms"), "weights")
+    if found.isEmpty():
+        return rows.select(key, F.lit(-1).alias("cluster_id"), F.lit(None).cast("string").alias("cluster_label"))
+    reduced, _ = truncated_svd(found, key, dimensions, seed=seed)
+    length = F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x))
+    unit = written(reduced.withColumn("length_", length).filter("length_ > 0").select(key, F.transform("reduced", lambda x: x / F.col("length_")).alias("unit")), "unit")
+    groups, _ = batch_kmeans(unit, key, "unit", min(most, n // 3), seed=seed)
+    groups = written(groups, "groups")
+    terms = found.join(groups, key).groupBy("cluster_id", "term").agg(F.sum("w").alias("w"))
     top = terms.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("w"), "term"))).filter("place <= 4")
-    names = found.sparkSession.createDataFrame(list(enumerate(counted.vocabulary)), "term int, name string")
-    label = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), " · ")
-    labels = top.join(F.broadcast(names), "term").filter(F.length("name") > 2).groupBy("cluster_id").agg(label.alias("cluster_label"))
-    return found.select(key, "cluster_id").join(F.broadcast(labels), "cluster_id", "left").select(key, "cluster_id", "cluster_label")
+    names = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), lambda x: F.length(x) > 2)
+    labels = top.groupBy("cluster_id").agg(F.array_join(names, " · ").alias("cluster_label"))
+    out = rows.select(key).join(groups.select(key, "cluster_id"), key, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+    return out.join(labels, "cluster_id", "left").select(key, "cluster_id", "cluster_label")
 
 
 def vector_groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", most: int = 20, least: int = 10, seed: int = 42) -> DataFrame:

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import grouping, similarity
+from ..functions.text import CLUSTER_NOISE, cluster_title, words
+from ..operators import grouping, reduction, similarity
 from ..sources import listings as sources
 from ..streaming import ingest
 from .catalog import register
@@ -19,10 +20,51 @@ def kmeans_embeddings(spark, d):
     return grouping.vector_groups(table(spark, d, "embeddings"))
 
 
+def _titles(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("ad_url"), F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("title"))
+
+
+def _cleaned_sql() -> str:
+    """The parts' titles, cleaned for grouping as ``text.cluster_title`` does, split into words."""
+    title = "lower(concat_ws(' ', p_brand, p_name, p_type))"
+    for phrase in CLUSTER_NOISE:
+        title = f"replace({title}, '{phrase}', ' ')"
+    squeezed = f"trim(regexp_replace(regexp_replace(regexp_replace({title}, '(\\d+)\\s*(gb|tb|mb)', '\\1\\2', 'g'), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"cleaned AS (SELECT p_partkey AS ad_url, {squeezed} AS title FROM part), titles AS (SELECT ad_url, string_split(title, ' ') AS t FROM cleaned WHERE len(string_split(title, ' ')) >= 3)"
+
+
+WEIGHTS_SQL = f"""WITH {_cleaned_sql()}, terms AS (SELECT ad_url, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM titles),
+  counts AS (SELECT ad_url, term, count(*) AS tf FROM terms GROUP BY ALL), whole AS (SELECT count(*) AS n FROM titles),
+  dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.9 * (SELECT n FROM whole)),
+  raw AS (SELECT ad_url, term, (1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1) AS w FROM counts JOIN dfs USING (term), whole)"""
+
+
+@register("title_weights", WEIGHTS_SQL + " SELECT ad_url, term, CAST(round(1000000 * w / sqrt(sum(w * w) OVER (PARTITION BY ad_url))) AS BIGINT) AS w FROM raw")
+def title_weights(spark, d):
+    """The weights, in millionths, of every title's words and pairs of words."""
+    rows = _titles(spark, d).select("ad_url", words(cluster_title(F.col("title"))).alias("tokens")).filter(F.size("tokens") >= 3)
+    found = reduction.weights(rows.withColumn("terms", grouping.title_terms(F.col("tokens"))), "ad_url", "terms")
+    return found.withColumn("w", F.round(1_000_000 * F.col("w")).cast("long"))
+
+
 @register("title_clusters")
 def title_clusters(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ad_url"), F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("title"))
-    return grouping.title_groups(rows)
+    return grouping.title_groups(_titles(spark, d))
+
+
+@register("title_cluster_sizes", WEIGHTS_SQL + " SELECT (SELECT count(*) FROM titles) AS n_titles, (SELECT count(*) FROM titles) - (SELECT count(DISTINCT ad_url) FROM raw) AS n_without, least(150, (SELECT count(*) FROM titles) // 3) AS n_groups")
+def title_cluster_sizes(spark, d):
+    """The sizes of all groups of titles added up: titles in groups and without any term, and how many groups there are."""
+    sizes = grouping.title_groups(_titles(spark, d)).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    alone = F.coalesce(F.sum(F.when(F.col("cluster_id") < 0, F.col("n"))), F.lit(0))
+    return sizes.agg(F.sum("n").alias("n_titles"), alone.alias("n_without"), F.count_if(F.col("cluster_id") >= 0).alias("n_groups"))
+
+
+@register("cluster_sizes", """WITH sizes AS (SELECT p_size AS cluster_id, count(*) AS n FROM part GROUP BY 1), every AS (SELECT i, coalesce(n, 0) AS n FROM range(60) r(i) LEFT JOIN sizes ON i = cluster_id)
+  SELECT min(n) AS least, max(n) AS greatest, avg(n) AS mean, median(n) AS median FROM every""")
+def cluster_sizes(spark, d):
+    """Least, greatest, mean and median size of 60 groups, some of them empty."""
+    return grouping.group_sizes(table(spark, d, "part").select(F.col("p_size").alias("cluster_id")), 60)
 
 
 @register("tfidf_cosine_dups")
