@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 # HTML elements by their role in the tree.
 BLOCKS = frozenset(
@@ -39,24 +39,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("button canvas datalist head iframe math noscript object script select style svg template textarea title".split())
 RAW = frozenset("iframe noscript script style textarea title".split())
 #: An element's start ends open ones of these kinds, up to an element that holds them.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-HOLDS = {"li": "ul ol menu dir", "dt": "dl", "dd": "dl", "tr": "table thead tbody tfoot", "td": "tr table", "th": "tr table"}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+HOLDS = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "thead", "tbody", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
 
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
-# Words in class, id and role that mark what isn't main text, and starts of such words.
+# Words in class, id and role that mark what isn't main text.
 MARKS = frozenset(
-    "ad ads alert banner breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal "
-    "nav navbar navigation newsletter notice notices pager pagination paywall popup promo promos recommended related replies reply respond search share sharing sidebar "
-    "signup skip social subscribe tags toolbar topbar widget widgets".split()
+    "ad ads advert advertise advertisement advertisements advertising advertorial adverts alert banner breadcrumb breadcrumbs comment commentform commenting commentlist comments "
+    "complementary consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination "
+    "paywall popup promo promos recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe tags toolbar topbar widget widgets".split()
 )
-MARK_STARTS = ("advert", "comment", "sponsor")
-# Words that say nothing beside a mark in a name such as "ad-slot", and marks that paragraphs of an article may bear too.
+COMMENTS = frozenset("comment commentform commenting commentlist comments".split())
+# Words that say nothing beside a mark in a name such as "ad-slot"; those of them that speak of text; marks that blocks of an article may bear too.
 NEUTRAL = frozenset(
     "area bar block blocks body bottom box button buttons container content entry group header holder inner item items left link links list main "
     "outer page panel post posts right row section site slot story text title top unit wrap wrapper".split()
 )
-AMBIGUOUS = frozenset("alert copyright disclaimer menu notice notices related replies reply respond search share sharing social tags widget widgets".split())
+SPOKEN = frozenset("body content entry story text title".split())
+AMBIGUOUS = frozenset("alert banner copyright disclaimer menu modal notice notices popup related replies reply respond search share sharing social tags widget widgets".split())
 PLAIN = frozenset("address blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 HEADER = frozenset(("header", "head"))
 #: Deeper blocks become neighbours of those at this depth.
@@ -76,15 +77,11 @@ class Block:
         self.tag, self.label, self.children = tag, label, []
 
 
-def _marked(word: str) -> bool:
-    return word in MARKS or word.startswith(MARK_STARTS)
-
-
 def _label(tag: str, attributes: str) -> str:
     """The tag, with "!" if its names say that it isn't main text, and their words.
 
     A name does if it is made of marks and neutral words; marks beside other words say nothing.
-    On a block of plain text, ambiguous marks say nothing either: "?".
+    On a block of plain text, or beside a word that speaks of text, ambiguous marks say nothing either: "?".
     """
     parts, hint = set(), ""
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
@@ -96,17 +93,53 @@ def _label(tag: str, attributes: str) -> str:
             for token in value.split():
                 words = _PART.findall(re.sub(r"\d+", " ", token))
                 parts.update(words)
-                marks = [w for w in words if _marked(w)]
-                if marks and all(_marked(w) or w in NEUTRAL for w in words):
-                    doubtful = tag in PLAIN and all(w in AMBIGUOUS for w in marks)
+                marks = [w for w in words if w in MARKS]
+                if marks and all(w in MARKS or w in NEUTRAL for w in words):
+                    doubtful = all(w in AMBIGUOUS for w in marks) and (tag in PLAIN or not SPOKEN.isdisjoint(words))
                     hint = "!" if hint == "!" or not doubtful else "?"
     return " ".join([tag + hint, *sorted(parts)])
 
 
+class _Open:
+    """The open blocks, innermost last, and where each tag's are among them, so that no walk over them is needed."""
+
+    def __init__(self, root: Block):
+        self.stack, self.places = [root], {}
+
+    def push(self, block: Block) -> None:
+        self.places.setdefault(block.tag, []).append(len(self.stack))
+        self.stack.append(block)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The innermost place of any of the tags; 0, the page's, if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+
+class _Ends:
+    """Searches of a page for the next of some pattern that never look at the same part twice."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def next(self, pattern: str, position: int) -> re.Match | None:
+        known = self.found.get(pattern, position - 1)
+        if known is not None and (isinstance(known, int) or known.start() < position):
+            self.found[pattern] = re.compile(pattern, re.I).search(self.page, position)
+        return self.found[pattern]
+
+
 def parse(page: str) -> Block:
-    """A page's tree; markup that isn't closed, nested wrongly or cut off is read as browsers mostly do."""
+    """A page's tree; markup that isn't closed, nested wrongly or cut off is read as browsers mostly do.
+
+    The time goes with the page's length, whatever is unclosed in it.  Blocks deeper than ``DEPTH`` become neighbours of those at that depth.
+    """
     root = Block("#page", "#page")
-    stack, run, links, in_link, position, n = [root], [], 0, 0, 0, len(page)
+    open_, ends = _Open(root), _Ends(page)
+    stack, run, links, in_link, position, n = open_.stack, [], 0, 0, 0, len(page)
 
     def flush() -> None:
         nonlocal links
@@ -136,21 +169,18 @@ def parse(page: str) -> Block:
         if found[1]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            elif tag == "p" and all(b.tag != "p" for b in stack):
-                flush()
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                if place := open_.last((tag,)):
+                    open_.close(place)
             continue
         if tag in HIDDEN:
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, position)
-                position = end.end() if end else n
+            end = ends.next(rf"</{tag}\s*>", position)
+            if tag == "head":  # if it isn't closed, it ends where the body starts
+                body = ends.next(r"<body\b", position)
+                position = body.start() if body and (not end or body.start() < end.start()) else end.end() if end else position
             else:
-                position = _past(page, position, tag)
+                position = end.end() if end else n if tag in RAW else position
             continue
         if tag == "a":
             in_link = 1
@@ -160,14 +190,11 @@ def parse(page: str) -> Block:
             flush()
             in_link = 0
             if stack[-1].tag == "p":
-                stack.pop()
-            closes = CLOSES.get(tag, ())
-            for k in range(len(stack) - 1, 0, -1) if closes else ():
-                if stack[k].tag in HOLDS.get(tag, "").split():
-                    break
-                if stack[k].tag in closes:
-                    del stack[k:]
-                    break
+                open_.close(len(stack) - 1)
+            if tag in CLOSES:
+                place = open_.last(CLOSES[tag])
+                if place > open_.last(HOLDS[tag]):
+                    open_.close(place)
             block = Block(tag, _label(tag, found[3] or ""))
             if len(stack) > DEPTH:  # what isn't main text there keeps what is nested in it from being so
                 if _is_aside(stack[-1].label, False):
@@ -175,22 +202,11 @@ def parse(page: str) -> Block:
                 stack[DEPTH].children.append(block)
             else:
                 stack[-1].children.append(block)
-            stack.append(block)
+            open_.push(block)
     flush()
     return root
 
 
-def _past(page: str, position: int, tag: str) -> int:
-    """The end of an element that doesn't show; of a head, the body's start if it isn't closed."""
-    end = re.compile(rf"</{tag}\s*>", re.I).search(page, position)
-    if tag == "head":
-        body = re.compile(r"<body\b", re.I).search(page, position)
-        if body and (not end or body.start() < end.start()):
-            return body.start()
-        return end.end() if end else position
-    return end.end() if end else position
-
-
 # A wrapper's item is a list: [key, least, most, seen, constant or None, characters, read, children].
 # least and most are 0 or 1 and 1 or 2 (repeated); texts have the key "#text" and no children.
 # seen has the least signatures of the pages with the item, EVIDENCE at most: copies of a page have one signature, so
@@ -200,6 +216,7 @@ KEY, LEAST, MOST, SEEN, CONSTANT, CHARS, READ, CHILDREN = range(8)
 TEXT = "#text"
 #: A text that is the same on so many different pages is a constant of its host; in an article it takes more.
 EVIDENCE_AROUND, EVIDENCE = 3, 8
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _signature(tree: Block) -> int:
@@ -355,40 +372,58 @@ def merged(wrappers: list[list]) -> list | None:
 def mark(wrapper: list, least_around: int = EVIDENCE_AROUND, least_inside: int = EVIDENCE) -> dict:
     """Which of a wrapper's texts are main text: ``{"k": key, "c": children}``, and for texts ``{"k", "m", "n", "o"}``; ``r`` if repeated.
 
-    Slots are main text, and constants aren't: texts that are the same over ``least_around`` different pages, or ``least_inside`` in an
-    article.  Where constants make up most of the characters, in an article or around it, the pages are all but copies
-    of each other, and being constant says nothing there.  Tags and marks of blocks tell what else isn't.
+    Slots are main text.  Constants are texts that are the same over ``least_around`` different pages, or ``least_inside`` in an
+    article; the place of one tells whether it belongs to the story.
+
+    ``m`` holds for pages with an article or main block: what is in it and no tag or mark sets aside, but for constants alone in a division (or other block that isn't of plain text)
+    that holds no slot; constant headings, paragraphs and items stay.  ``n`` holds for pages whose articles are all in blocks that only their marks set aside: an
+    article or main block lifts those around it.
 
-    ``m`` holds for pages with an article or main block: what is in it.  ``n`` holds for pages whose articles are all
-    in blocks that only their marks set aside: an article or main block lifts those around it.  ``o`` holds for pages
-    without one: what is never mostly links.
+    ``o`` holds for pages without one: what is not mostly links on every page, but for constants outside of the story.  The story's are those among a
+    block's slots, between the first and the last of its parts that hold slots, and headings before, paragraphs and items beside such parts.
+
+    Where constants that aren't the story's make up most of the characters, in an article or around it, the pages are all but copies of each other, and being constant says nothing there.
     """
     total = {True: [0, 0], False: [0, 0]}
 
-    def weigh(item: list, aside: bool, in_main: bool) -> None:
-        if item[KEY] == TEXT:
-            if not aside:
-                total[in_main][_constant(item, in_main)] += item[CHARS]
-            return
-        aside = aside or _is_aside(item[KEY], in_main)
-        for x in item[CHILDREN]:
-            weigh(x, aside, in_main or _tag(item[KEY]) in MAIN)
-
-    def _constant(item: list, in_main: bool) -> bool:
+    def constant(item: list, in_main: bool) -> bool:
         return item[CONSTANT] is not None and len(item[SEEN]) >= (least_inside if in_main else least_around)
 
-    def marked(item: list, aside: bool, in_main: bool, doubtful: bool, around: str | None) -> dict:
+    def holds_slots(item: list, in_main: bool) -> bool:
+        if item[KEY] == TEXT:
+            return not constant(item, in_main) and bool(item[READ])
+        in_main = in_main or _tag(item[KEY]) in MAIN
+        return not _is_aside(item[KEY], in_main) and any(holds_slots(x, in_main) for x in item[CHILDREN])
+
+    def marked(item: list, aside: bool, in_main: bool, doubtful: bool, around: str | None, told: bool) -> dict:
+        """``told``: whether constants here belong to the story."""
         key = item[KEY]
         if key == TEXT:
+            furniture = constant(item, in_main) and not told
+            if weighing:
+                total[in_main][furniture] += 0 if aside else item[CHARS]
             slots, constants = total[in_main]
-            content = not (_constant(item, in_main) and slots > constants) and not (doubtful and not item[READ])
+            content = not (doubtful and not item[READ]) and not (furniture and slots > constants)
             return {"k": key, "r": item[MOST] > 1, "m": in_main and content and not aside, "n": in_main and content and not around, "o": bool(content and not aside and item[READ])}
         here, tag = _is_aside(key, in_main), _tag(key)
-        around, in_main = _lifted(around, here, key), in_main or tag in MAIN
-        return {"k": key, "r": item[MOST] > 1, "c": [marked(x, aside or here, in_main, doubtful or "?" in key.split(" ")[0], around) for x in item[CHILDREN]]}
+        around, in_main, doubtful = _lifted(around, here, key), in_main or tag in MAIN, doubtful or "?" in key.split(" ")[0]
+        slots = [k for k, x in enumerate(item[CHILDREN]) if holds_slots(x, in_main)]
+        children = []
+        for k, x in enumerate(item[CHILDREN]):
+            plain = _tag(x[KEY]) in PLAIN
+            if in_main:
+                mine = plain or bool(slots) and x[KEY] == TEXT or told and not slots
+            elif slots:  # a part with slots of its own tells for itself what in it is the story's
+                mine = k not in slots and (x[KEY] == TEXT or slots[0] < k < slots[-1] or plain and (k < slots[0] or _tag(x[KEY]) not in HEADINGS))
+            else:
+                mine = told
+            children.append(marked(x, aside or here, in_main, doubtful, around, mine))
+        return {"k": key, "r": item[MOST] > 1, "c": children}
 
-    weigh(wrapper, False, False)
-    return marked(wrapper, False, False, False, None)
+    weighing = True
+    marked(wrapper, False, False, False, None, False)
+    weighing = False
+    return marked(wrapper, False, False, False, None, False)
 
 
 def _tag(label: str) -> str:
@@ -413,7 +448,7 @@ def _lifted(around: str | None, here: bool, label: str) -> str | None:
     Navigation, footers, forms and comments keep what they hold.
     """
     tag = _tag(label)
-    if around == "kept" or (here and (tag in ASIDE or any(p.startswith("comment") for p in label.split(" ")[1:]))):
+    if around == "kept" or (here and (tag in ASIDE or not COMMENTS.isdisjoint(label.split(" ")[1:]))):
         return "kept"
     return "marked" if here else None if tag in MAIN else around
 
@@ -569,10 +604,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     trimmed and joined in page order by newlines; empty ones go.
 
     Defined cases: a null or empty page has an empty text; pages without a host, or with a null URL,
-    are one host's; a host with a single page is its own wrapper; repeated rows get a result each;
-    an empty table gives an empty result; other columns are ignored.
+    are one host's; a host with a single page is its own wrapper; repeated rows get a result each; very long pages are parsed whole, in time
+    that goes with their length; blocks deeper than ``DEPTH`` become neighbours of those at that depth; an empty table gives an empty result; other columns are ignored.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    rows = small_batches(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")))
     kind = rows.schema["page_id"].dataType.simpleString()
     found = cut(plans(rows))
     n, size = found.agg(F.count("*"), F.coalesce(F.sum(F.length("plan")), F.lit(0))).first()

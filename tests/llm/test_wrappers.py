@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -169,3 +170,46 @@ def test_hosts(spark):
     urls = ["http://A.example/x", "https://u:p@b:8/", "//c?x", "d/e", None, " http://e#x"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert [x[0] for x in df.select(w.host_of(F.col("u"))).collect()] == ["a.example", "b", "c", "", "", "e"]
+
+
+def recipe(i, around):
+    """A page whose headings and closing line are on every page of its host."""
+    story = f"<h1>Cake {i}</h1><h2>Ingredients</h2><ul><li>{i} eggs<li>Salt</ul><h2>Method</h2><p>Mix for {i} minutes.</p><p>Serve warm.</p>"
+    want = f"Cake {i}\nIngredients\n{i} eggs\nSalt\nMethod\nMix for {i} minutes.\nServe warm."
+    return f"<body><nav><a href=/>Home</a></nav><div><p>Our kitchen</p></div>{around.format(story)}<div>Imprint</div><footer>All rights</footer></body>", want
+
+
+def test_constant_lines_of_a_story_stay_whatever_the_host(spark):
+    for around in ("<article>{}</article>", "<main><div>{}</div></main>", "<div>{}</div>", "<div><section>{}</section></div>"):
+        for n in (3, 7, 8, 100):
+            made = [recipe(i, around) for i in range(n)]
+            assert extracted([p for p, _ in made]) == [t for _, t in made], (around, n)
+    page, want = recipe(1, "<article>{}</article>")
+    assert extracted([page]) == [want]
+    conclusion = [f"<body><div>Site</div><div><h1>On {i}</h1><p>Words of {i}</p><h2>Conclusion</h2><p>So {i}.</p></div></body>" for i in range(5)]
+    assert extracted(conclusion) == [f"On {i}\nWords of {i}\nConclusion\nSo {i}." for i in range(5)]
+
+
+def test_words_that_begin_like_marks_are_none():
+    story = "<article><h1>T{0}</h1><section class='commentary'>Said {0}</section><div class='sponsorship'>Paid {0}</div><div class='popup-text'>Up {0}</div><div class='comments'>No {0}</div><div class='sponsored'>No {0}</div><div class='ad-text'>No {0}</div></article>"
+    for n in (1, 9):
+        assert extracted([story.format(i) for i in range(n)]) == [f"T{i}\nSaid {i}\nPaid {i}\nUp {i}" for i in range(n)]
+
+
+def test_the_wrapper_alone_finds_the_text(spark):
+    """Pages of a host whose tags and names say nothing: 0.95 of the text, and what is the same on all of them goes."""
+    for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(60).collect():
+        article = re.search(r"<article>(.*?)</article>", x["html"], re.S)[1]
+        bodies = [re.sub(r"\w+", lambda m: m[0][::-1] if k else m[0], re.sub(r"<[^>]*>", "\n", article)) for k in range(2)]
+        pages = ["<div><p>Site</p></div><div>" + "".join(f"<p>{line} {k}</p>" for line in body.split("\n") if line.strip()) + "</div><div>Imprint</div>" for k, body in enumerate([*bodies, "one\ntwo", "three\nfour"])]
+        got = extracted(pages)
+        want = [" ".join(html.unescape(f"{line} {k}").split()) for k, body in enumerate(bodies[:1]) for line in body.split("\n") if line.strip()]
+        assert sum(map(len, got[0].split("\n"))) >= 0.95 * sum(map(len, want)) and "Site" not in got[0].split("\n") and "Imprint" not in got[0].split("\n")
+
+
+def test_time_goes_with_the_length():
+    n = 40_000
+    began = time.process_time()
+    for page in ("<div>" * n + "</section>" * n, "<p>" * n + "</p>" * n, "<svg>" * n, "<head>" * n, "<div>" * n + "<li>" * n, "<li><ul>" + "<div>" * n + "<li></li>" * n, "<td>" * n + "</tr>" * n, "</p>" * 4 * n):
+        w.parse(page + "<p>end")
+    assert time.process_time() - began < 40
