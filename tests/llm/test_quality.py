@@ -94,3 +94,23 @@ def test_random_texts(spark):
 def test_accepted_rows(spark):
     docs = spark.createDataFrame([(0, None), (1, PROSE), (2, "short"), (1, PROSE)], "doc_id long, text string")
     assert [(x["doc_id"], x["clean_text"]) for x in quality.accepted(docs).collect()] == [(1, PROSE)] * 2
+
+
+CLEAN = [
+    "The privacy policy of the king was a subject of debate among historians.", "The use of cookies in baking goes back to Persia, they say.", "He wished to leave a comment on the matter.",
+    "今天天气很好。", "他们昨天去了北京，在那里住了三天，然后回到家里看望父母和孩子们", "彼は言った「行きましょう」", "كيف حالك اليوم؟", "यह एक अच्छा दिन है।", "Նա եկավ տուն։",
+]
+RECIPE = "Apple cake\n\nA cake for the cold days of the year.\nIngredients\n\n- two eggs and a cup of flour\n- salt\n- three sour apples from the garden\n\nMethod\n1. Mix the eggs with the flour and salt\n2) Bake\nServe it warm.\nNotes\nIt keeps for days."
+
+
+def test_clean_lines_recipes_and_lists_stay(spark):
+    out = judged(spark, [f"{x}\n{PROSE}" for x in CLEAN] + [f"{RECIPE}\n{PROSE}"])
+    assert [out[i]["clean_text"] for i in range(len(CLEAN))] == [f"{x}\n{PROSE}" for x in CLEAN]
+    assert out[len(CLEAN)]["clean_text"] == f"{RECIPE}\n{PROSE}"
+
+
+def test_menus_and_loose_lines_go(spark):
+    bad = ["Home\nNews\nAbout us", "- Home\n- News\n- About us", "Privacy policy\nTerms of use", "All rights reserved by the makers of this page and their friends.", "- one item of no list", "今日 新闻"]
+    out = judged(spark, [f"{PROSE}\n{x}" for x in bad] + [f"{x}\n\n{PROSE}" for x in bad[:2]])
+    assert [out[i]["clean_text"] for i in range(len(bad))] == [PROSE] * len(bad)
+    assert [out[len(bad) + i]["clean_text"].strip() for i in range(2)] == [PROSE] * 2
