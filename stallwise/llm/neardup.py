@@ -4,7 +4,7 @@
    class, which goes on as one; copies, however many, cost nothing from here.
 2. A class's sketch is its ``k`` smallest hashes.  Inverted lists of sketch values
    propose pairs.  A linked pair shares at least ``least_shared`` of its sketch values (but for a chance
-   below 1e-7), so it shares one among each side's rarest ``k - least_shared + 1``; only those
+   of ``risk``), so it shares one among each side's rarest ``k - least_shared + 1``; only those
    enter the lists, and a passage that thousands of texts share does not.
 3. Every list first pairs its members with one hub, the member whose values most others
    hold.  What that links is contracted.  In lists of up to ``crowd`` members, those of
@@ -31,15 +31,20 @@ from .common import Scratch, cut, give_back, small_batches
 from .graph import components
 from .shingles import shingle_sets
 
-#: Ids up to this many are broadcast to find the texts to verify (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-
+#: Ids of so many bytes at most are broadcast to find the texts to verify; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+#: So many values make every sketch the whole set.
+EXACT = 1 << 40
+#: The chance that a linked pair's sketches are taken for those of an unlinked one, at each of two places.
+RISK = 1e-7
 
 _SIGN = np.uint64(1 << 63)
 
 
-def least_shared(k: int, percent: int, risk: float = 1e-7) -> int:
+def least_shared(k: int, percent: int, risk: float = RISK) -> int:
     """The most values that two sketches of ``k`` share with a chance of at least ``1 - risk`` at the least similarity."""
+    if k >= EXACT:
+        return 1  # no set is larger than its sketch, so nothing goes by this
     p, below, n = percent / 100, 0.0, 0
     while True:
         below += math.comb(k, n) * p**n * (1 - p) ** (k - n)
@@ -86,7 +91,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return small_batches(docs.select("text")).mapInArrow(hashed, "class binary, hashes array<long>")
 
 
-def rarest(classes: DataFrame, k: int, percent: int) -> DataFrame:
+def rarest(classes: DataFrame, k: int, percent: int, risk: float = RISK) -> DataFrame:
     """The inverted lists: ``value, class, n, weight`` for each class's rarest sketch values that another class has too.
 
     The weight is how many classes hold the class's values, summed: the text that a group's
@@ -95,7 +100,7 @@ def rarest(classes: DataFrame, k: int, percent: int) -> DataFrame:
     n, held = F.col("n"), F.least(F.col("n"), F.lit(k))
     # Sets this small pair only with sets that their sketches hold whole, so the bound is exact.
     whole = n * 100 <= k * percent
-    prefix = F.when(whole, n - F.ceil(n * percent / 100) + 1).otherwise(held - least_shared(k, percent) + 1)
+    prefix = F.when(whole, n - F.ceil(n * percent / 100) + 1).otherwise(held - least_shared(k, percent, risk) + 1)
     values = classes.select("class", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("c")).filter("c > 1")
     shared = values.join(common, "value").groupBy("class").agg(F.first("n").alias("n"), F.sum("c").alias("weight"), F.sort_array(F.collect_list(F.struct("c", "value"))).alias("vs"))
@@ -143,7 +148,7 @@ def _linked(x: str, y: str, n: Column, m: Column, percent: int) -> Column:
     return F.size(F.array_intersect(x, y)) * (100 + percent) >= (n + m) * percent
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int, risk: float = RISK) -> DataFrame:
     """``a, b, sure`` for pairs that their sketches don't rule out; ``sure`` if the sketches hold the full sets."""
 
     def sketched(name: str) -> DataFrame:
@@ -154,7 +159,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Dat
     # One of the sketches is full, so their union has k values at least; of its k smallest, how many both have.
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     both = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    found = F.when(whole, _linked("s_a", "s_b", F.col("n_a"), F.col("n_b"), percent)).otherwise(both >= least_shared(k, percent))
+    found = F.when(whole, _linked("s_a", "s_b", F.col("n_a"), F.col("n_b"), percent)).otherwise(both >= least_shared(k, percent, risk))
     return joined.filter(found).select("a", "b", whole.alias("sure"))
 
 
@@ -162,7 +167,8 @@ def sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
     """``class, hashes``: the full sets of some classes, from one text of each."""
     wanted = cut(wanted.select("class").distinct())
     ids = wanted.join(classes, "class").select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
+    size = ids.agg(F.coalesce(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 24), F.lit(0))).first()[0] + 24 * wanted.count()
+    if size <= BROADCAST_BYTES:
         ids, wanted = F.broadcast(ids), F.broadcast(wanted)
     texts = docs.alias("d").join(ids.alias("i"), F.equal_null(F.col("d.doc_id"), F.col("i.doc_id")), "left_semi")
     sets = full_sets(texts, width).join(wanted, "class", "left_semi")
@@ -204,9 +210,9 @@ def crowd_pairs(lists: DataFrame, classes: DataFrame, docs: DataFrame, percent:
     return pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, width: int, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, width: int, scratch: Scratch, risk: float = RISK) -> DataFrame:
     """The links ``a, b`` among the pairs, confirmed on the full sets of one text of each class."""
-    likely = cut(estimated(pairs, classes, k, percent))
+    likely = cut(estimated(pairs, classes, k, percent, risk))
     unsure = likely.filter(~F.col("sure"))
     sets = scratch.write(sets_of(unsure.select(F.col("a").alias("class")).union(unsure.select("b")), classes, docs, width), "sets")
     joined = unsure.join(sets.select(F.col("class").alias("b"), F.col("hashes").alias("h_b")), "b")
@@ -217,7 +223,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int = 5, crowd: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int | None = 64, width: int = 5, crowd: int = 50, risk: float = RISK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's group: ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs of other than white space with A-Z in lower case.  Two texts are linked when the
@@ -225,19 +231,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int
     / 100; a text with fewer words is one shingle.  component_id is the smallest id that links reach;
     the row with that id is kept.
 
+    A link is missed with a chance of ``2 * risk`` at most where neither set fits a sketch of ``k``.  With ``k`` None nothing is left to chance: the
+    inverted lists hold prefixes of the whole sets and no estimate comes before the verification, at the cost of tables as large as the sets.
+
     Defined cases: a null, empty or blank text has no shingles, is linked with nothing and is
     its own component; rows with a null id take part, but name no component unless all its
     ids are null (then component_id is null), and are never kept; rows with equal ids get
     a result each; an empty table gives an empty result; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    k = EXACT if k is None else k
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(sketches(docs, k, width), "sketches")
     grouped = rows.filter(F.col("class").isNotNull()).groupBy("class")
     classes = scratch.write(grouped.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    lists = scratch.write(rarest(classes, k, percent), "lists")
+    lists = scratch.write(rarest(classes, k, percent, risk), "lists")
     first = cut(hub_pairs(lists, percent))
-    links = verified(first, classes, docs, k, percent, width, scratch)
+    links = verified(first, classes, docs, k, percent, width, scratch, risk)
     roots = cut(components(links))
     # What is left: short lists pair their members, long ones those that differ alike from the hub.
     left = scratch.write(_apart(lists, roots).drop("root"), "apart")
@@ -247,7 +257,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 64, width: int
     pairs = cross_pairs(short, roots, percent).union(crowd_pairs(long_, classes, docs, percent, width, scratch)).distinct()
     pairs = cut(pairs.join(first, ["a", "b"], "left_anti"))
     scratch.drop("lists", "apart", "crowd_sets", "differences")
-    more = verified(pairs, classes, docs, k, percent, width, scratch)
+    more = verified(pairs, classes, docs, k, percent, width, scratch, risk)
     if not more.isEmpty():
         roots = cut(components(links.union(more)))
     member = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -78,6 +78,7 @@ def test_near_copies_shared_passages_and_chains(spark):
     want = sorted(brute(rows), key=repr)
     assert found(spark, rows) == want
     assert found(spark, rows, crowd=1) == want  # all by their differences from hubs
+    assert found(spark, rows, k=None) == want  # on whole sets
 
 
 def test_defined_cases(spark):
