@@ -137,12 +137,50 @@ def json_or(raw: Column, kind: str, fallback: Column) -> Column:
     return F.coalesce(F.from_json(raw, kind), fallback)
 
 
-def valid_chat(messages: Column, most: int = 20, longest: int = 500) -> Column:
-    """The status of a chat request, an array of structs ``role, content``: 400 without messages, with too many, or one too long; else 200."""
-    wrong = F.exists(messages, lambda m: F.length(m["content"]) > longest)
-    return F.when((F.size(messages) < 1) | (F.size(messages) > most) | F.coalesce(wrong, F.lit(False)), 400).otherwise(200)
+def valid_chat(messages: Column, most: int = 20, longest: int = 500, available: Column | None = None, answered: Column | None = None) -> Column:
+    """The status of a chat request, an array of structs ``role, content``.
+
+    503 if the service isn't ``available``; 400 without messages (null or empty), with too many, or one too long; 502 if it wasn't ``answered``; else 200.
+    """
+    n = F.coalesce(F.size(messages), F.lit(0))
+    wrong = (n < 1) | (n > most) | F.coalesce(F.exists(messages, lambda m: F.length(m["content"]) > longest), F.lit(False))
+    status = F.when(wrong, 400) if available is None else F.when(~available, 503).when(wrong, 400)
+    return (status if answered is None else status.when(~answered, 502)).otherwise(200)
 
 
 def prompt(*facts: tuple[str, Column]) -> Column:
     """Lines "label: value" for the facts there are."""
     return F.concat_ws("\n", *[F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in facts])
+
+
+# How a listing's facts are told to the assistant.
+FACTS = {"title": "Наслов", "description": "Опис", "condition": "Состојба", "brand": "Бренд", "model": "Модел", "location": "Локација", "seller_notes": "Забелешки од продавачот"}
+NO_FACTS = "(нема дополнителни податоци)"
+RETAIL, MARKET = "Setec.mk", "друг оглас за нов истиот модел"
+INSTRUCTIONS = (
+    "Помагаш на купувач да процени еден оглас за електроника.\nКористи ги само податоците подолу; не додавај ништо свое.\nАко нешто го нема во нив, кажи дека не знаеш.\n"
+    "Технички детали пренесувај неутрално; предност или мана е само она што продавачот така го навел.\nОдговарај кратко, на македонски."
+)
+
+
+def _number(c: Column) -> Column:
+    """A double as text: with a decimal at least, never with an exponent up to 10^18."""
+    return F.when(F.abs(c) < 1e7, c.cast("string")).otherwise(F.regexp_replace(c.cast("decimal(24,4)").cast("string"), r"(\.\d+?)0+$", "$1"))
+
+
+def listing_prompt(instructions: str = INSTRUCTIONS, retail: str = "setec") -> Column:
+    """The assistant's instructions and a listing's facts, those there are, from its columns.
+
+    Prices stand in both currencies where both are known; a reference price says where it is from and how many percent of it the listing asks, rounded half to even.
+    """
+    told = {k: F.when(F.coalesce(F.col(k), F.lit("")) != "", F.concat(F.lit(f"{v}: "), F.col(k))) for k, v in FACTS.items()}
+    euros, denars = F.col("price_eur"), F.col("price_mkd")
+    price = F.when(euros.isNotNull(), F.concat(F.lit("Цена: "), _number(euros), F.lit(" EUR"), F.coalesce(F.concat(F.lit(" ("), _number(denars), F.lit(" МКД)")), F.lit(""))))
+    pairs = F.transform(F.map_entries("specs"), lambda x: F.concat(F.lit("'"), x["key"], F.lit("': "), F.coalesce(F.concat(F.lit("'"), x["value"], F.lit("'")), F.lit("None"))))
+    specs = F.when(F.size("specs") > 0, F.concat(F.lit("Спецификации: {"), F.array_join(pairs, ", "), F.lit("}")))
+    new, ratio = F.col("reference_new_price_mkd"), F.col("price_vs_new_ratio")
+    source = F.when(F.col("reference_source") == retail, RETAIL).otherwise(MARKET)
+    share = F.coalesce(F.concat(F.lit(" Овој оглас чини "), F.bround(ratio * 100).cast("long").cast("string"), F.lit("% од таа цена.")), F.lit(""))
+    reference = F.when(new != 0, F.concat(F.lit("Споредбена цена на нов уред: "), _number(new), F.lit(" МКД (споредено со "), source, F.lit(")."), share))
+    facts = F.concat_ws("\n", told["title"], told["description"], price, *[told[k] for k in ("condition", "brand", "model", "location", "seller_notes")], specs, reference)
+    return F.concat(F.lit(f"{instructions}\n\nПодатоци за огласот:\n"), F.coalesce(F.nullif(facts, F.lit("")), F.lit(NO_FACTS)))
