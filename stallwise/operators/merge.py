@@ -82,6 +82,12 @@ def price_events(stored: DataFrame, scraped: DataFrame, key: str, price: str, ti
     return told.filter(F.col("key_").isNull()).select(*latest.columns), history
 
 
+def repriced(stored: DataFrame, scraped: DataFrame, key: str, price: str, time: str) -> DataFrame:
+    """The stored rows with their last scraped price where one was seen; scraped rows without a price change nothing, other columns stay."""
+    latest = last_wins(scraped.filter(F.col(price).isNotNull()), [key], time, price).select(F.col(key).alias("key_"), F.col(price).alias("new_"))
+    return stored.join(latest, F.col(key) == F.col("key_"), "left").withColumn(price, F.coalesce("new_", price)).select(*stored.columns)
+
+
 def with_history(rows: DataFrame, history: DataFrame, key: str) -> DataFrame:
     """Each row's number of price entries, and the least and greatest price of them; rows without one stay."""
     entries = history.groupBy(F.col("key").alias("key_")).agg(F.count("*").alias("n_prices"), F.min("price").alias("least_price"), F.max("price").alias("greatest_price"))
