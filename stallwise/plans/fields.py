@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import prices, records, text
-from ..operators import merge, pricing
+from ..operators import merge, pricing, ranges
 from ..sources import listings as sources
-from ..sources import stored
+from ..sources import keyed, stored
 from .catalog import register
 from .fixture import table
 from .models import _folder
@@ -128,3 +131,26 @@ def replaced_partitions(spark, d):
     fresh = spark.read.schema(rows.schema).parquet(path).filter("band in (3, 7)").withColumn("p_name", F.upper("p_name"))
     stored.replace_partitions(fresh, path, "band", gone=[5])
     return spark.read.schema(rows.schema).parquet(path)
+
+
+@register("keyed_upserts", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice ELSE 0.0 END AS price FROM part WHERE p_partkey >= 10 AND p_partkey % 3 <> 1")
+def keyed_upserts(spark, d):
+    """The parts upserted into a keyed table in batches, half of them again with a price, and read back page by page from a key on."""
+    keyed.register(spark)
+    path = f"{_local(spark)}/{uuid.uuid4().hex}.db"
+    keyed.create(path, "parts", "p_partkey INTEGER PRIMARY KEY, p_name TEXT NOT NULL, price REAL")
+    rows = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("price"))
+    for some in (rows.withColumn("price", F.lit(0.0)), rows.filter("p_partkey % 2 = 0")):
+        some.repartition(4, "p_partkey").write.format("keyed_table").options(path=path, table="parts", key="p_partkey", page=200).mode("append").save()
+    found = spark.read.format("keyed_table").options(path=path, table="parts", key="p_partkey", page=300).load()
+    return found.filter((F.col("p_partkey") >= 10) & (F.col("p_partkey") % 3 != 1))
+
+
+def _local(spark) -> str:
+    """The shared folder, which must be a mounted one here: a database is a file that tasks open."""
+    folder = ranges.shared_folder(spark)
+    if not folder.startswith(("file:", "/")):
+        raise ValueError("a keyed table needs a shared folder that is mounted")
+    path = folder.removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
+    return path
