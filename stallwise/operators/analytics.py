@@ -55,27 +55,38 @@ def brand_key() -> Column:
     return F.lower(F.trim("brand"))
 
 
-def brand_labels(ads: DataFrame) -> DataFrame:
-    """``brand_key, brand``: each brand's most frequent spelling, of equal ones that of the first listing."""
-    named = ads.filter(F.coalesce(F.trim("brand"), F.lit("")) != "")
-    spelled = named.groupBy(brand_key().alias("brand_key"), F.trim("brand").alias("brand")).agg(F.count("*").alias("n"), F.min("ad_url").alias("first"))
+def _labels(spelled: DataFrame) -> DataFrame:
+    """``brand_key, brand`` from spellings with how often (``n``) and where first they come."""
+    spelled = spelled.groupBy("brand_key", "brand").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     best = F.row_number().over(Window.partitionBy("brand_key").orderBy(F.desc("n"), "first"))
     return spelled.withColumn("place", best).filter("place = 1").select("brand_key", "brand")
 
 
+def _spelled(ads: DataFrame, *by: str, **sums: Column) -> DataFrame:
+    """Listings with a brand, counted by its key and spelling and other columns: what both figures and labels are taken from, so that listings are read once."""
+    named = ads.filter(F.coalesce(F.trim("brand"), F.lit("")) != "")
+    more = [c.alias(k) for k, c in sums.items()]
+    return named.groupBy(brand_key().alias("brand_key"), F.trim("brand").alias("brand"), *by).agg(F.count("*").alias("n"), F.min("ad_url").alias("first"), *more)
+
+
+def brand_labels(ads: DataFrame) -> DataFrame:
+    """``brand_key, brand``: each brand's most frequent spelling, of equal ones that of the first listing."""
+    return _labels(_spelled(ads))
+
+
 def plausible() -> Column:
     """With a reference, a ratio of a tenth at least; without, a price that isn't a placeholder."""
     return F.when(F.col("reference_new_price_mkd").isNotNull(), F.col("price_vs_new_ratio") >= 0.10).otherwise(F.col("price_eur") >= LEAST_PRICE_EUR)
 
 
-def trimmed(rows: DataFrame, key: str, value: str) -> DataFrame:
+def trimmed(rows: DataFrame, key: str, value: str, count: str | None = None) -> DataFrame:
     """Per key: ``n, q1, q3`` of all values; of those within 1.5 quartile ranges, ``m`` of them, their ``total``, the ``middle`` two's sum, least and greatest.
 
     Quartiles are values by place, q1 at max(0, n // 4 - 1), q3 at min(n - 1, 3n // 4) from 0.  With
-    fewer than three values inside, all count.  Values are first counted by (key, value), so
+    fewer than three values inside, all count.  A row counts ``count`` times.  Values are first counted by (key, value), so
     a key's window sorts its distinct values, not its rows.
     """
-    cells = rows.groupBy(key, value).agg(F.count("*").alias("rows_"))
+    cells = rows.groupBy(key, value).agg((F.sum(count) if count else F.count("*")).alias("rows_"))
     w = Window.partitionBy(key)
     cells = cells.withColumns({"n": F.sum("rows_").over(w), "upto": F.sum("rows_").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
     first, third = F.greatest(F.lit(1), F.floor(F.col("n") / 4)), F.least(F.col("n"), F.floor(3 * F.col("n") / 4) + 1)
@@ -106,8 +117,9 @@ def trimmed(rows: DataFrame, key: str, value: str) -> DataFrame:
 def brand_prices(ads: DataFrame, source: str | None = None, least: int = 3) -> DataFrame:
     rows = ads.filter((F.col("ad_type") == "product") & (F.col("price_eur") > 0) & plausible() & (F.coalesce(F.trim("brand"), F.lit("")) != ""))
     rows = rows.filter(F.col("source") == source) if source else rows
-    found = trimmed(rows.select(brand_key().alias("brand_key"), "price_eur"), "brand_key", "price_eur").filter(F.col("n") >= least)
-    named = found.join(brand_labels(rows), "brand_key")
+    cells = _spelled(rows, "price_eur")
+    found = trimmed(cells, "brand_key", "price_eur", "n").filter(F.col("n") >= least)
+    named = found.join(_labels(cells), "brand_key")
     shown = {"min_price": "least", "max_price": "greatest", "q1": "q1", "q3": "q3"}
     means = [rounded(F.col("total"), F.col("m"), 2).alias("avg_price"), rounded(F.col("middle"), F.lit(2), 2).alias("median_price")]
     return named.select("brand", F.col("n").alias("count"), *means, *[F.round(c, 2).alias(k) for k, c in shown.items()]).orderBy(F.desc("count"), "brand")
@@ -115,8 +127,9 @@ def brand_prices(ads: DataFrame, source: str | None = None, least: int = 3) -> D
 
 def deal_share(ads: DataFrame, least: int = 10) -> DataFrame:
     rows = ads.filter((F.col("ad_type") == "product") & F.col("price_vs_new_ratio").isNotNull() & (F.coalesce(F.trim("brand"), F.lit("")) != ""))
-    shares = rows.groupBy(brand_key().alias("brand_key")).agg(F.count("*").alias("total"), F.count_if("good_price_deal").alias("deals")).filter(F.col("total") >= least)
-    out = shares.join(brand_labels(rows), "brand_key").withColumn("pct", percent(F.col("deals"), F.col("total")))
+    cells = _spelled(rows, deals=F.count_if("good_price_deal"))
+    shares = cells.groupBy("brand_key").agg(F.sum("n").alias("total"), F.sum("deals").alias("deals")).filter(F.col("total") >= least)
+    out = shares.join(_labels(cells), "brand_key").withColumn("pct", percent(F.col("deals"), F.col("total")))
     return out.select("brand", "total", "deals", "pct").orderBy(F.desc("pct"), "brand")
 
 
