@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import ingest, ordered
+from ..streaming import activity, ingest, ordered
 from .catalog import register
 from .fixture import table
 from .models import _folder
@@ -84,3 +85,25 @@ def stream_known_stop(spark, d):
     stops = ingest.known_run_stop(stream, "event_type", "place", "known", 6)
     ingest.start(stops, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/stops/batch={n}"), f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema("event_type string, last long").parquet(f"{folder}/stops").select("event_type", "last")
+
+
+@register("activity_feed", """SELECT 'ingest' AS agent, 'info' AS level, 'started' AS message UNION ALL SELECT 'ingest', 'info', count(*) || ' rows' FROM events UNION ALL SELECT 'ingest', 'info', 'finished'
+  UNION ALL SELECT 'broken', 'info', 'started' UNION ALL SELECT 'broken', 'error', 'failed'""")
+def activity_feed(spark, d):
+    """What the activity log has of two streams over the events, one of which fails in its first micro-batch."""
+    folder = _folder(spark)
+    log = activity.ActivityLog(spark, f"{folder}/log")
+    spark.streams.addListener(log)
+    try:
+        stream = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d).select("event_id", "user_id")
+        for name, rows in (("ingest", stream), ("broken", stream.withColumn("user_id", F.raise_error(F.lit("broken on purpose"))))):
+            query = rows.writeStream.queryName(name).format("parquet").option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True).start(f"{folder}/{name}")
+            try:
+                query.awaitTermination()
+            except StreamingQueryException:
+                if name != "broken":
+                    raise
+        activity.wait_for_ends(spark, f"{folder}/log", 2)
+    finally:
+        spark.streams.removeListener(log)
+    return activity.entries(spark, f"{folder}/log").select("agent", "level", "message")
