@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import CLUSTER_NOISE, cluster_title, words
-from ..operators import grouping, reduction, similarity
+from ..operators import cells, grouping, reduction, similarity
 from ..sources import listings as sources
 from ..streaming import ingest
 from .catalog import register
@@ -121,3 +121,9 @@ def stream_new_rows(spark, d):
     out = _folder(spark)
     ingest.start(ingest.normalised(rows), ingest.new_rows_sink(out, "ad_url", "scraped_at", stored), f"{out}-checkpoint").awaitTermination()
     return spark.read.parquet(out).select("user_id", "title", "scraped_at", "location")
+
+
+@register("knn_top1_dup_index")
+def knn_top1_dup_index(spark, d):
+    """Each vector's nearest earlier one within 0.6 by the index of cells; ``knn_top1_dup_all`` is the exact way, tests/test_cells.py measures the recall."""
+    return cells.duplicates(table(spark, d, "embeddings"), 0.6)
