@@ -15,12 +15,13 @@ from .catalog import register
 from .fixture import table
 from .models import _folder
 
-KEY = F.col("p_partkey")
+def _key():
+    return F.col("p_partkey")
 
 
 def _one_of(*values: str | None):
     """One of the values by the part's key."""
-    return F.get(F.array(*[F.lit(v) for v in values]), (KEY % len(values)).cast("int"))
+    return F.get(F.array(*[F.lit(v) for v in values]), (_key() % len(values)).cast("int"))
 
 
 def _case(values: tuple[str | None, ...]) -> str:
@@ -37,12 +38,12 @@ SELLERS = {"Приватен": "private", "Private person": "private", "Комп
   CASE WHEN p_partkey % 10 <= 1 THEN 'today' WHEN p_partkey % 10 = 2 THEN 'yesterday' WHEN p_partkey % 10 <= 7 THEN (p_partkey % 10 - 1) || ' days ago' ELSE CAST(DATE '2024-03-10' - CAST(p_partkey % 10 - 1 AS INT) AS VARCHAR) END AS age FROM part""")
 def listing_labels(spark, d):
     """Kinds of listing and seller, page numbers, addresses in style sheets, and how long ago a day is."""
-    css = F.when(KEY % 3 == 0, F.concat(F.lit("background: url('//cdn.example/"), KEY.cast("string"), F.lit(".jpg?w=1')"))).when(KEY % 3 == 1, "url(http://a.example/b.png)").otherwise("none")
-    page = text.page_of(F.when(KEY % 4 != 0, F.concat(F.lit("Страна "), KEY.cast("string"), F.lit(" од "), (KEY + 5).cast("string"))).otherwise("one page"))
+    css = F.when(_key() % 3 == 0, F.concat(F.lit("background: url('//cdn.example/"), _key().cast("string"), F.lit(".jpg?w=1')"))).when(_key() % 3 == 1, "url(http://a.example/b.png)").otherwise("none")
+    page = text.page_of(F.when(_key() % 4 != 0, F.concat(F.lit("Страна "), _key().cast("string"), F.lit(" од "), (_key() + 5).cast("string"))).otherwise("one page"))
     today = F.lit("2024-03-10").cast("date")
     return table(spark, d, "part").select(
         "p_partkey", text.listing_type(_one_of(*KINDS)).alias("kind"), text.seller_type(_one_of(*SELLERS)).alias("seller"), page["page"].alias("page"), page["pages"].alias("pages"),
-        text.css_url(css).alias("image"), prices.age_label(F.date_sub(today, (KEY % 10 - 1).cast("int")), today).alias("age"),
+        text.css_url(css).alias("image"), prices.age_label(F.date_sub(today, (_key() % 10 - 1).cast("int")), today).alias("age"),
     )
 
 
@@ -62,10 +63,10 @@ def listing_texts(spark, d):
     description = F.concat_ws("\n", "p_name", F.concat(F.lit(" "), F.upper(type_), F.lit(" ")), F.lit("Other"))
     labels = F.array(*[F.lit(x) for x in ("Brand:", " Type : ", "Empty", "Type", "same", "")])
     named = records.labelled(labels, F.array("p_brand", type_, F.lit(" "), "p_name", F.lit("Same"), F.lit("x")))
-    values = F.create_map(F.lit("x"), F.lit(" "), F.lit("y"), F.when(KEY % 2 == 0, F.col("p_name")).otherwise(F.lit(None)), F.lit("w"), type_)
+    values = F.create_map(F.lit("x"), F.lit(" "), F.lit("y"), F.when(_key() % 2 == 0, F.col("p_name")).otherwise(F.lit(None)), F.lit("w"), type_)
     return table(spark, d, "part").select(
-        "p_partkey", records.without_spec_lines(description, specs).alias("description"), records.shown_notes(F.when(KEY % 2 == 0, F.col("p_brand")).otherwise(F.concat(F.lit(" "), F.upper(type_))), type_).alias("notes"),
-        records.embedding_input(F.col("p_name"), F.when(KEY % 3 != 0, type_)).alias("embedded"), named["brand"].alias("brand"), named["type"].alias("type"), F.size(named).alias("n_specs"),
+        "p_partkey", records.without_spec_lines(description, specs).alias("description"), records.shown_notes(F.when(_key() % 2 == 0, F.col("p_brand")).otherwise(F.concat(F.lit(" "), F.upper(type_))), type_).alias("notes"),
+        records.embedding_input(F.col("p_name"), F.when(_key() % 3 != 0, type_)).alias("embedded"), named["brand"].alias("brand"), named["type"].alias("type"), F.size(named).alias("n_specs"),
         records.joined_nodes(F.array(F.lit(" a "), F.lit(""), type_, F.lit(" "))).alias("nodes"), records.first_of(values, "x", "z", "y", "w").alias("first"),
     )
 
@@ -73,15 +74,15 @@ def listing_texts(spark, d):
 @register("reference_matches", """SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 4 <> 1 THEN floor(p_retailprice) * 2 END AS reference, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 4 <> 1 THEN 1 END AS n FROM part""")
 def reference_matches(spark, d):
     """Models in catalogue titles that name more than them: a network generation that the title lacks, storage after it, a variant that is another model; and listings of several variants."""
-    several = KEY % 5 == 0
-    number = KEY.cast("string")
-    brand = F.concat(F.lit("Acme"), (KEY % 200).cast("string"))
-    model = F.when(several, F.concat(F.lit("galaxy "), (KEY % 90 + 10).cast("string"))).otherwise(F.concat(F.lit("Galaxy a"), number, F.lit(" 5G")))
-    title = F.when(several, F.concat(model, F.lit(", "), (KEY % 90 + 10).cast("string"), F.lit(" Pro i "), (KEY % 90 + 10).cast("string"), F.lit(" Pro Max"))).otherwise(model)
+    several = _key() % 5 == 0
+    number = _key().cast("string")
+    brand = F.concat(F.lit("Acme"), (_key() % 200).cast("string"))
+    model = F.when(several, F.concat(F.lit("galaxy "), (_key() % 90 + 10).cast("string"))).otherwise(F.concat(F.lit("Galaxy a"), number, F.lit(" 5G")))
+    title = F.when(several, F.concat(model, F.lit(", "), (_key() % 90 + 10).cast("string"), F.lit(" Pro i "), (_key() % 90 + 10).cast("string"), F.lit(" Pro Max"))).otherwise(model)
     parts = table(spark, d, "part")
-    ads = parts.select(KEY.cast("string").alias("ad_url"), F.lit("product").alias("ad_type"), brand.alias("brand"), model.alias("model"), title.alias("title"), F.lit("Used").alias("condition"), F.floor("p_retailprice").cast("double").alias("price_mkd"))
+    ads = parts.select(_key().cast("string").alias("ad_url"), F.lit("product").alias("ad_type"), brand.alias("brand"), model.alias("model"), title.alias("title"), F.lit("Used").alias("condition"), F.floor("p_retailprice").cast("double").alias("price_mkd"))
     price = F.floor("p_retailprice").cast("double")
-    exact = parts.filter(KEY % 4 != 1).select(F.upper(brand).alias("brand"), F.concat(brand, F.lit(" galaxy a"), number, F.lit(" 128GB black")).alias("title"), (price * 2).alias("price_mkd"))
+    exact = parts.filter(_key() % 4 != 1).select(F.upper(brand).alias("brand"), F.concat(brand, F.lit(" galaxy a"), number, F.lit(" 128GB black")).alias("title"), (price * 2).alias("price_mkd"))
     other = parts.select(brand.alias("brand"), F.concat(F.lit("galaxy a"), number, F.lit(" ultra 256gb")).alias("title"), (price / 2).alias("price_mkd"))
     longer = parts.select(brand.alias("brand"), F.concat(F.lit("galaxy a"), number, F.lit("c 64gb")).alias("title"), (price / 3).alias("price_mkd"))
     found = pricing.reference_prices(ads, exact.union(other).union(longer))
@@ -94,23 +95,23 @@ def json_lines_again(spark, d):
     folder = _folder(spark)
     rows = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
     sources.write_json_lines(rows, folder)
-    rows.select(F.when(KEY % 2 == 0, "").otherwise(F.concat(F.lit('{"p_partkey": '), KEY.cast("string"), F.lit(', "p_na')))).write.mode("append").text(folder)
+    rows.select(F.when(_key() % 2 == 0, "").otherwise(F.concat(F.lit('{"p_partkey": '), _key().cast("string"), F.lit(', "p_na')))).write.mode("append").text(folder)
     return sources.read_json_lines(spark, folder, rows.schema)
 
 
 @register("retail_catalogue", "SELECT 'https://shop.example/' || p_partkey AS url, 'shop' AS source, split_part(p_brand, ' ', 1) AS brand, p_brand || ' ' || p_name AS title, p_retailprice AS price_mkd, p_retailprice + 100 AS original_price_mkd FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 7 <> 0")
 def retail_catalogue(spark, d):
     """The parts as pages of a catalogue's nested JSON, some without a price or a handle."""
-    price = F.when(KEY % 3 != 0, F.struct(F.col("p_retailprice").alias("calculated_amount"), (F.col("p_retailprice") + 100).alias("original_amount")))
-    product = F.struct(F.when(KEY % 7 != 0, KEY.cast("string")).alias("handle"), F.concat_ws(" ", "p_brand", "p_name").alias("title"), F.array(F.struct(price.alias("calculated_price"))).alias("variants"))
-    pages = table(spark, d, "part").groupBy((KEY % 50).alias("page")).agg(F.to_json(F.struct(F.collect_list(product).alias("products"))).alias("body"))
+    price = F.when(_key() % 3 != 0, F.struct(F.col("p_retailprice").alias("calculated_amount"), (F.col("p_retailprice") + 100).alias("original_amount")))
+    product = F.struct(F.when(_key() % 7 != 0, _key().cast("string")).alias("handle"), F.concat_ws(" ", "p_brand", "p_name").alias("title"), F.array(F.struct(price.alias("calculated_price"))).alias("variants"))
+    pages = table(spark, d, "part").groupBy((_key() % 50).alias("page")).agg(F.to_json(F.struct(F.collect_list(product).alias("products"))).alias("body"))
     return sources.read_retail(pages, "shop", "https://shop.example/")
 
 
 @register("evolved_rows", "SELECT p_partkey AS k, p_name AS name, p_size AS size, NULL::VARCHAR AS segment FROM part UNION ALL SELECT c_custkey, c_name, NULL, c_mktsegment FROM customer")
 def evolved_rows(spark, d):
     """Rows of two schemas in one: each lacks a column of the other's."""
-    parts = table(spark, d, "part").select(KEY.alias("k"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    parts = table(spark, d, "part").select(_key().alias("k"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
     return merge.evolve(parts, table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name")))
 
 
@@ -119,7 +120,7 @@ def evolved_rows(spark, d):
 def repriced_rows(spark, d):
     """The parts with the price of their last scrape, where one was seen."""
     scraped = table(spark, d, "lineitem").filter("l_partkey % 2 = 0").select(F.col("l_partkey").alias("k"), F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("at"))
-    return merge.repriced(table(spark, d, "part").select(KEY.alias("k"), F.col("p_retailprice").alias("price")), scraped, "k", "price", "at")
+    return merge.repriced(table(spark, d, "part").select(_key().alias("k"), F.col("p_retailprice").alias("price")), scraped, "k", "price", "at")
 
 
 @register("replaced_partitions", "SELECT p_partkey, CASE WHEN p_size % 10 IN (3, 7) THEN upper(p_name) ELSE p_name END AS p_name, CAST(p_size % 10 AS INT) AS band FROM part WHERE p_size % 10 <> 5")
@@ -138,7 +139,7 @@ def keyed_upserts(spark, d):
     """The parts upserted into a keyed table in batches, half of them again with a price, and read back page by page from a key on."""
     keyed.register(spark)
     path = f"{_local(spark)}/{uuid.uuid4().hex}.db"
-    keyed.create(path, "parts", "p_partkey INTEGER PRIMARY KEY, p_name TEXT NOT NULL, price REAL")
+    keyed.create(path, "parts", "p_partkey INTEGER PRIMARY _key(), p_name TEXT NOT NULL, price REAL")
     rows = table(spark, d, "part").select("p_partkey", "p_name", F.col("p_retailprice").alias("price"))
     for some in (rows.withColumn("price", F.lit(0.0)), rows.filter("p_partkey % 2 = 0")):
         some.repartition(4, "p_partkey").write.format("keyed_table").options(path=path, table="parts", key="p_partkey", page=200).mode("append").save()
