@@ -139,6 +139,7 @@ def fit(
     Bounds, all on the fit alone: ``max_rows`` distinct texts at most (but one of each language at least), chosen by a
     hash of the text, whole, with as many of each language as it has or as the bound leaves it; and the
     ``max_words`` words and ``max_grams`` n-grams that are the most frequent in them, those of languages with few included.
+    Words of more than 60 letters, which are none, take no part in the fit.
     """
     usable = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     sample = _sample(usable, max_rows)
@@ -264,8 +265,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """Predict every row's language: all columns of ``docs``, and ``lang_pred, score``.
 
     Defined cases: a text that is null or has no letter gives ``und`` with score 0, as does
-    a model without languages; ties go to the first language by name; columns of the input
-    with the new names are replaced; an empty table gives an empty result.
+    a model without languages; ties go to the first language by name; very long texts are scored whole; repeated rows are scored each and alike; columns
+    of the input with the new names are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)

@@ -122,7 +122,7 @@ def scan(
     k-grams within half as many words again as the template has.  Of spans that overlap, those with
     the best share stay.
 
-    Defined cases: a null or empty text has no words, empty labels and score 0; repeated
+    Defined cases: a null or empty text has no words, empty labels and score 0; very long texts are scanned whole; repeated
     rows and equal ids get a result each; spans are ordered by place, label and template; an empty
     table gives an empty result; other columns are ignored.
     """
