@@ -69,7 +69,10 @@ def give_back() -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver look for shuffles that nothing refers to any more, so that their files go now and not whenever its memory fills."""
+    """Have the driver look for shuffles and broadcasts that nothing refers to any more, so that executors drop their files and blocks now and not whenever the driver's memory fills.
+
+    Every stage broadcasts its tasks, so work of many small stages would otherwise fill executors with what is long done.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

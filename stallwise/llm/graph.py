@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_shuffles
 
 
 #: Up to so many edges (16 to 40 MB) are worked on as one partition, where groupings and joins need no shuffle.
@@ -23,7 +23,9 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     mark = _mark(edges)
-    for _ in range(max_rounds):
+    for step in range(max_rounds):
+        if step % 4 == 3:
+            free_shuffles(links.sparkSession)
         if mark[0] <= ONE_PARTITION:
             edges = edges.coalesce(1)
         both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_shuffles
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -145,6 +145,7 @@ def mix(
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = cut(targets(totals, weights, share, cap))
     found = solve(cells, goals, cap)
+    free_shuffles(docs.sparkSession)
     rate = F.when(F.col("multiplier").isNull(), F.lit(float(cap))).otherwise(
         F.least(F.lit(float(cap)), F.exp(F.least(F.col("multiplier") * F.col("size") / F.col("mean"), F.lit(700.0))))
     )

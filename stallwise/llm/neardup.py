@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, give_back, small_batches
+from .common import Scratch, cut, free_shuffles, give_back, small_batches
 from .graph import components
 from .shingles import shingle_sets
 
@@ -220,6 +220,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
     links = joined.filter(_linked("h_a", "h_b", F.size("h_a"), F.size("h_b"), percent)).select("a", "b")
     links = cut(links.union(likely.filter("sure").select("a", "b")))
     scratch.drop("sets")
+    free_shuffles(docs.sparkSession)
     return links
 
 
@@ -249,6 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int | None = 64, widt
     first = cut(hub_pairs(lists, percent))
     links = verified(first, classes, docs, k, percent, width, scratch, risk)
     roots = cut(components(links))
+    free_shuffles(docs.sparkSession)
     # What is left: short lists pair their members, long ones those that differ alike from the hub.
     left = scratch.write(_apart(lists, roots).drop("root"), "apart")
     lengths = left.groupBy("value").agg(F.count("*").alias("length"))
@@ -260,6 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int | None = 64, widt
     more = verified(pairs, classes, docs, k, percent, width, scratch, risk)
     if not more.isEmpty():
         roots = cut(components(links.union(more)))
+        free_shuffles(docs.sparkSession)
     member = classes.select("class", "doc_id").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component"))
     named = member.join(least, "root").select("class", "component")
