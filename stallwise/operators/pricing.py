@@ -54,16 +54,36 @@ def try_at_least_two(anchor: Column, runs: Column) -> Column:
     return anchor.isNotNull() & (F.size(runs) >= 2)
 
 
+def named_models(title: Column, sizes: Column) -> Column:
+    """The runs of a title's tokens that ``matches`` takes as a model, of the given sizes, each once."""
+    m = F.size(title)
+    variant, storage = (F.transform(title, f) for f in (lambda t: t.isin(*VARIANTS), lambda t: t.rlike(STORAGE)))
+
+    def run(start: Column, n: Column) -> Column:
+        after = (start + n + 1, F.greatest(m, F.lit(1)))
+        first, kept = F.array_position(F.slice(variant, *after), True), F.array_position(F.slice(storage, *after), True)
+        return F.when((first == 0) | ((kept > 0) & (kept < first)), F.slice(title, start + 1, n))
+
+    def of(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), m - n), lambda start: run(start, n))
+
+    runs = F.flatten(F.transform(F.filter(sizes, lambda n: (n > 0) & (n <= m)), of))
+    return F.array_distinct(F.filter(runs, lambda r: r.isNotNull()))
+
+
 def retail_matches(ads: DataFrame, retail: DataFrame) -> DataFrame:
     """``ad_url, retail_price, retail_n``: the least price and the number of catalogue entries for each listing's model.
 
-    Listings are reduced to their distinct (brand, model) first, so tokens are compared once a model.
+    A catalogue title is spelled out once as the runs of tokens that it names, of the sizes that models have, and those are added up before they
+    meet the models of their brand by equality; no model is held against the titles of its whole brand.
     """
     catalogue = retail.filter((F.col("price_mkd") > 0) & (norm(F.col("brand")) != "") & (norm(F.col("title")) != ""))
     catalogue = catalogue.select(norm(F.col("brand")).alias("brand_key"), model_tokens(F.col("title")).alias("title_tokens"), "price_mkd")
     models = ads.select(norm(F.col("brand")).alias("brand_key"), norm(F.col("model")).alias("model_key")).distinct().withColumn("tokens", model_tokens(F.col("model_key")))
-    found = models.join(catalogue, "brand_key").filter(matches(F.col("tokens"), F.col("title_tokens")))
-    return found.groupBy("brand_key", "model_key").agg(F.min("price_mkd").alias("retail_price"), F.count("*").cast("int").alias("retail_n"))
+    sizes = models.agg(F.collect_set(F.size("tokens")).alias("sizes"))
+    runs = catalogue.crossJoin(F.broadcast(sizes)).select("brand_key", F.explode(named_models(F.col("title_tokens"), F.col("sizes"))).alias("tokens"), "price_mkd")
+    prices = runs.groupBy("brand_key", "tokens").agg(F.min("price_mkd").alias("retail_price"), F.count("*").cast("int").alias("retail_n"))
+    return models.join(prices, ["brand_key", "tokens"]).select("brand_key", "model_key", "retail_price", "retail_n")
 
 
 def market_prices(ads: DataFrame, least: int = 2) -> DataFrame:
