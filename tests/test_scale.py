@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from stallwise.operators import pricing
+from stallwise.operators import pricing, similarity
 
 
 def plan(df):
@@ -24,3 +24,17 @@ def test_retail_matches_by_equality(spark):
     assert want and {tuple(x) for x in found.collect()} == want
     joins = [x for x in plan(found).splitlines() if "Join Inner" in x]
     assert any("tokens" in x for x in joins)  # not a brand's models with all its titles
+
+
+def test_nearest_in_block_by_matrices(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], rng.choice([1, 2, 2, 2, None])) for i in range(150)] + [(200, [0.0] * 3, 2), (201, None, 2), (202, [1.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    at = df.filter("label is not null and embedding is not null and vec_id < 200")
+    pairs = at.alias("a").join(at.alias("b"), F.expr("a.label = b.label and b.vec_id < a.vec_id"))
+    pairs = pairs.select(F.col("a.vec_id"), F.col("b.vec_id").alias("other"), F.round(1 - similarity.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("d")).filter("d <= 0.2")
+    want = {(x[0], x[1][1], x[1][0]) for x in pairs.groupBy("vec_id").agg(F.min(F.struct("d", "other"))).collect()}
+    for size in (7, 512):
+        found = similarity.nearest_in_block(df.repartition(3), "label", 0.2, size=size)
+        assert want and {tuple(x) for x in found.collect()} == want
+        assert "zip_with" not in plan(found).lower()  # pairs meet in packs, not one by one
