@@ -373,11 +373,18 @@ def model_numbers(spark, d):
 @register("title_gate", """SELECT a.s_suppkey AS a, b.s_suppkey AS b, lower(trim(a.s_name)) = lower(trim(b.s_name)) OR starts_with(lower(trim(a.s_name)), lower(trim(b.s_name))) OR starts_with(lower(trim(b.s_name)), lower(trim(a.s_name))) AS same_seller,
   least(length(a.s_name), length(b.s_name)) / greatest(length(a.s_name), length(b.s_name)) >= 0.95 AS alike FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey""")
 def title_gate(spark, d):
-    rows = table(spark, d, "supplier")
-    other = rows.select(F.col("s_suppkey").alias("b"), F.col("s_name").alias("name_b"), F.col("s_nationkey").alias("nation"))
-    pairs = rows.join(other, (F.col("s_nationkey") == F.col("nation")) & (F.col("s_suppkey") < F.col("b")))
-    ratio = F.least(F.length("s_name"), F.length("name_b")) / F.greatest(F.length("s_name"), F.length("name_b"))
-    return pairs.select(F.col("s_suppkey").alias("a"), "b", text.sellers_match(F.col("s_name"), F.col("name_b")).alias("same_seller"), (ratio >= 0.95).alias("alike"))
+    """Every two suppliers of a nation through the gate; a nation's pairs are dealt out over the tasks, and names are cleaned once a supplier."""
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", text.seller_name(F.col("s_name")).alias("name"), F.length("s_name").alias("n"))
+    side = 16
+    mine, cells = F.pmod(F.xxhash64("s_suppkey"), F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    left = rows.withColumn("row", mine).withColumn("column", cells)
+    right = rows.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("nation"), F.col("name").alias("name_b"), F.col("n").alias("n_b"), mine.alias("column_b")).withColumn("row_b", cells)
+    same = (F.col("s_nationkey") == F.col("nation")) & (F.col("row") == F.col("row_b")) & (F.col("column") == F.col("column_b")) & (F.col("s_suppkey") < F.col("b"))
+    # Numbers given, so that few suppliers, who make many pairs, aren't put back into few tasks.
+    left, right = left.repartition(side * side, "s_nationkey", "row", "column"), right.repartition(side * side, "nation", "row_b", "column_b")
+    pairs = left.join(right.hint("shuffle_hash"), same)
+    alike = F.least("n", "n_b") / F.greatest("n", "n_b") >= 0.95
+    return pairs.select(F.col("s_suppkey").alias("a"), "b", text.names_match(F.col("name"), F.col("name_b")).alias("same_seller"), alike.alias("alike"))
 
 
 def _word(p: str) -> str:

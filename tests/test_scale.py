@@ -4,7 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from stallwise.operators import pricing, similarity
+import __spark_entry__ as entry
+from stallwise.functions import text
+from stallwise.operators import filters, pricing, reduction, similarity
+from stallwise.sources import cards
 
 
 def plan(df):
@@ -38,3 +41,44 @@ def test_nearest_in_block_by_matrices(spark):
         found = similarity.nearest_in_block(df.repartition(3), "label", 0.2, size=size)
         assert want and {tuple(x) for x in found.collect()} == want
         assert "zip_with" not in plan(found).lower()  # pairs meet in packs, not one by one
+
+
+def test_pages_of_one_part_are_dealt_out(spark):
+    pages = spark.range(40).select("id", F.lit("<ul><li><a href='/p/1'>Phone 999</a></li></ul>").alias("html")).coalesce(1)
+    found = cards.read_cards(pages, F.lit("s"), F.lit("https://a.example"), "a.example")
+    assert found.count() == 40 and found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_pairs_of_suppliers_are_dealt_out(spark, tmp_path):
+    rows = [(i, f" Name  {i % 40}" if i % 9 else None, i % 2) for i in range(300)]
+    suppliers = spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    found = entry.queries()["title_gate"](spark, str(tmp_path))
+    other = suppliers.toDF("b", "name_b", "nation")
+    pairs = suppliers.join(other, F.expr("s_nationkey = nation and s_suppkey < b"))
+    want = {(x[0], x[1], x[2]) for x in pairs.select("s_suppkey", "b", text.sellers_match(F.col("s_name"), F.col("name_b"))).collect()}
+    assert {(x["a"], x["b"], x["same_seller"]) for x in found.collect()} == want
+    per = [x["count"] for x in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per) > 50 and max(per) < len(want) / 10  # two nations, many tasks
+
+
+def test_similar_takes_its_rows_out_of_a_list(spark):
+    rng = random.Random(8)
+    schema = "ad_url string, ad_type string, cluster_id int, posted_date date, scraped_at timestamp"
+    rows = [(f"u{i % 90}", rng.choice(["product", "service"]), rng.choice([1, 2, None]), None, None) for i in range(100)] + [("alone", "product", 7, None, None)]
+    ads = spark.createDataFrame(rows, schema)
+    found = filters.similar(ads.filter("ad_url not in ('u1', 'u2', 'u3', 'u4', 'u5', 'u6', 'u7', 'u8', 'u9', 'u0')"))
+    newest = {c: sorted(r[0] for r in rows if r[1] == "product" and r[2] == c and r[0] not in {f"u{i}" for i in range(10)})[:7] for c in (1, 2, 7)}
+    want = {(r[0], u, k) for r in rows if r[2] and r[0] not in {f"u{i}" for i in range(10)} for k, u in enumerate([u for u in newest[r[2]] if u != r[0]][:6], 1)}
+    assert {tuple(x) for x in found.collect()} == want
+    # Rows that share a key are one listing with both lists, as the window by ad_url had it.
+    twice = spark.createDataFrame([("a", "service", 1, None, None), ("a", "service", 1, None, None), ("b", "product", 1, None, None), ("c", "product", 1, None, None)], schema)
+    assert sorted(tuple(x) for x in filters.similar(twice).filter("ad_url = 'a'").collect()) == [("a", "b", 1), ("a", "b", 2), ("a", "c", 3), ("a", "c", 4)]
+    assert "windowspecdefinition(ad_url" not in plan(found)
+
+
+def test_weights_of_one_part_are_dealt_out(spark):
+    rows = spark.range(2000).coalesce(1).select(F.col("id").alias("k"), F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id") % 7), F.lit("all"), F.lit(None)).alias("terms"))
+    found = reduction.weights(rows, "k", "terms", max_df=1.0)
+    assert found.groupBy("k").agg(F.sum(F.col("w") * F.col("w")).alias("s")).filter("abs(s - 1) > 1e-9").count() == 0 and found.count() == 4000
+    assert "Aggregate [k" not in plan(found).replace("_", "")  # a row's terms are counted in the row
