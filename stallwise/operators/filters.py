@@ -77,15 +77,20 @@ def in_order(ads: DataFrame, keys: DataFrame, key: str = "ad_url") -> DataFrame:
 def similar(ads: DataFrame, limit: int = 6, cluster: str = "cluster_id") -> DataFrame:
     """For every listing the newest products of its cluster but itself; ``rank`` from 1.
 
-    Only a cluster's newest ``limit + 1`` can be anyone's, so those are ranked and joined.
+    Only a cluster's newest ``limit + 1`` can be anyone's, so those go to each listing as one list, out of which its own six are taken in the row.
+    Rows that share an ``ad_url`` are one listing with all their lists.
     """
     products = ads.filter((F.col("ad_type") == "product") & F.col(cluster).isNotNull())
     w = Window.partitionBy(cluster).orderBy(*order())
-    top = products.select(cluster, F.col("ad_url").alias("similar_url"), F.row_number().over(w).alias("place"), "posted_date", "scraped_at", "ad_url")
-    top = top.filter(F.col("place") <= limit + 1).select(F.col(cluster).alias("of"), "similar_url", "place")
-    pairs = ads.filter(F.col(cluster).isNotNull()).select("ad_url", cluster).join(top, F.col(cluster) == F.col("of")).filter("ad_url <> similar_url")
-    rank = F.row_number().over(Window.partitionBy("ad_url").orderBy("place"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= limit).select("ad_url", "similar_url", "rank")
+    top = products.select(cluster, "ad_url", F.row_number().over(w).alias("place"), "posted_date", "scraped_at").filter(F.col("place") <= limit + 1)
+    lists = top.groupBy(F.col(cluster).alias("of")).agg(F.collect_list(F.struct("place", "ad_url")).alias("list"))
+    each = ads.filter(F.col(cluster).isNotNull()).groupBy("ad_url").agg(F.collect_list(cluster).alias("of_"))
+    # One cluster each, but for rows that share an ad_url.
+    one = each.filter(F.size("of_") == 1).select("ad_url", F.col("of_")[0].alias("of")).join(lists, "of").select("ad_url", "list")
+    several = each.filter(F.size("of_") > 1).select("ad_url", F.explode("of_").alias("of")).join(lists, "of").groupBy("ad_url").agg(F.flatten(F.collect_list("list")).alias("list"))
+    others = F.filter(F.sort_array("list"), lambda x: x["ad_url"] != F.col("ad_url"))
+    found = one.unionByName(several).select("ad_url", F.posexplode(F.slice(others, 1, limit)))
+    return found.select("ad_url", F.col("col.ad_url").alias("similar_url"), (F.col("pos") + 1).alias("rank"))
 
 
 def work_queue(kind: str, canonical: tuple[str, ...] = ()) -> Column:
