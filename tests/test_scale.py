@@ -82,3 +82,13 @@ def test_weights_of_one_part_are_dealt_out(spark):
     found = reduction.weights(rows, "k", "terms", max_df=1.0)
     assert found.groupBy("k").agg(F.sum(F.col("w") * F.col("w")).alias("s")).filter("abs(s - 1) > 1e-9").count() == 0 and found.count() == 4000
     assert "Aggregate [k" not in plan(found).replace("_", "")  # a row's terms are counted in the row
+
+
+def test_copies_of_a_title_are_compared_once(spark):
+    titles = ["apple iphone 16 128gb black", "apple iphone 16 128gb blacks", "samsung galaxy tab nine", "two words"]
+    rows = [(f"u{k:02d}{i}", t, 100.0, "xy"[k % 2]) for k in range(12) for i, t in enumerate(titles)]
+    ads = spark.createDataFrame(rows, "ad_url string, title string, price_eur double, source string")
+    links = {(x["t1"], x["t2"]) for x in similarity.alike_titles(ads, 0.75).collect()}
+    assert similarity.alike_titles(ads, 0.75).count() == len(links) == 5
+    found = {(x[0], x[1]) for x in similarity.duplicates(ads, 0.75, side="source").collect()}
+    assert found == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3] and (a[1], b[1]) in links}
