@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grouping import batch_kmeans
-from .ranges import written
+from .ranges import small_batches, written
 
 #: The most cells and sampled rows; rows compared at once.
 CELLS, SAMPLE, ASKED, PACK = 1024, 20_000, 200, 2048
@@ -61,61 +61,79 @@ class Index:
         self.rows = written(self.placed(at, 1), "cells")
 
     def placed(self, at: DataFrame, cells: int) -> DataFrame:
-        """The rows with the nearest cells to each."""
+        """The rows with the nearest cells to each, nearest first."""
         centres, size = self.centres, self.size
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not len(batch):
-                    continue
                 usual = batch["size"].to_numpy() == size
-                rows, of = np.flatnonzero(~usual), np.zeros(int((~usual).sum()), dtype=np.int32)
+                of = np.zeros((len(batch), min(cells, len(centres))), dtype=np.int32)
                 if usual.any():
                     x = np.array(batch["unit"].filter(pa.array(usual)).to_pylist())
-                    order = np.argsort((centres * centres).sum(axis=1) / 2 - x @ centres.T, axis=1)[:, :cells]
-                    rows, of = np.concatenate([rows, np.repeat(np.flatnonzero(usual), order.shape[1])]), np.concatenate([of, order.ravel().astype(np.int32)])
-                taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([taken["id"], taken["unit"], taken["size"], pa.array(of)], names=["id", "unit", "size", "cell"])
+                    of[usual] = np.argsort((centres * centres).sum(axis=1) / 2 - x @ centres.T, axis=1)[:, :cells]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * of.shape[1], pa.int32()), pa.array(of.ravel()))
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["unit"], batch["size"], lists], names=["id", "unit", "size", "cells"])
 
-        return at.mapInArrow(found, f"id {self.kind}, unit array<double>, size int, cell int")
+        return small_batches(at).mapInArrow(found, f"id {self.kind}, unit array<double>, size int, cells array<int>")
+
+    def shelves(self) -> DataFrame:
+        """``size, cell, shelf, of``: shelves of about ``PACK`` rows; small cells share one, a large one has ``of`` of them from ``shelf`` on."""
+        counts = self.rows.groupBy("size", F.col("cells")[0].alias("cell")).count()
+        upto = F.coalesce(F.sum("count").over(Window.partitionBy("size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counts.select("size", "cell", F.floor(upto / PACK).cast("int").alias("shelf"), F.ceil(F.col("count") / PACK).cast("int").alias("of"))
 
     def search(self, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", earlier: bool = False, all_cells: bool = False) -> DataFrame:
         """``query, key, similarity, rank``: the k most alike rows found for each query, ties by the smallest key; ``earlier``: with smaller keys only.
 
-        ``all_cells`` is the exact way.  Packs of a cell's rows meet packs of the queries that look into it, each some thousand rows at most on average, so a
-        large cell is many small pieces of work.
+        ``all_cells`` is the exact way.  A pack of queries of neighbouring cells meets the shelves in which any of them looks into a cell, and a query is
+        compared with the rows of its own cells there; a vector is in one pack and on one shelf, however many cells are looked into.
         """
         asked = self.placed(units(queries, key, vector), len(self.centres) if all_cells else self.probes)
-        pairs = _packed(asked).join(_packed(self.rows).withColumnsRenamed({"ids": "ids2", "flat": "flat2"}), ["size", "cell"])
-        kind = self.kind
+        shelves = written(self.shelves(), "shelves")
+        # The cells that a pack's queries look into are on these shelves, of all sizes of vectors.
+        held = shelves.select("size", "cell", F.explode(F.sequence(F.col("shelf"), F.col("shelf") + F.col("of") - 1)).alias("shelf")).groupBy("size", "shelf").agg(F.collect_set("cell").alias("held"))
+        packs = _packed(asked, shelves)
+        wanted = packs.select("size", "ids", "flat", "cells", F.array_distinct(F.flatten("cells")).alias("wanted"))
+        stock = _packed(self.rows, shelves).join(F.broadcast(held), ["size", "shelf"]).select(F.col("size").alias("size2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"), F.col("cells").alias("cells2"), "held")
+        # Each part meets each; parts grow with the packs, so none is large.
+        parts = max(1, min(shelves.agg(F.sum("of")).first()[0] or 1, max(12, -(-self.rows.count() // (64 * PACK)))))
+        met = (F.col("size") == F.col("size2")) & F.arrays_overlap("wanted", "held")
+        pairs = small_batches(wanted.repartition(parts)).crossJoin(stock.repartition(parts)).filter(met).select("ids", "flat", "cells", "ids2", "flat2", F.flatten("cells2").alias("cells2"))
+        kind, n_cells = self.kind, len(self.centres)
 
         def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for mine, flat, theirs, flat2 in zip(*(batch[c] for c in ("ids", "flat", "ids2", "flat2"))):
+                for mine, flat, looks, theirs, flat2, of in zip(*(batch[c] for c in ("ids", "flat", "cells", "ids2", "flat2", "cells2"))):
                     a, b = mine.values.to_numpy(zero_copy_only=False), theirs.values.to_numpy(zero_copy_only=False)
+                    looked = np.zeros((len(a), n_cells), dtype=bool)
+                    looked[np.arange(len(a))[:, None], looks.values.flatten().to_numpy().reshape(len(a), -1)] = True
+                    at_cell = of.values.to_numpy()
                     u, w = (x.values.to_numpy(zero_copy_only=False).reshape(n, -1) for x, n in ((flat, len(a)), (flat2, len(b))))
                     for i in range(0, len(a), 256):
                         near = np.round(u[i : i + 256] @ w.T, 6) + 0.0
                         names = a[i : i + 256, None]
                         near[(b[None, :] >= names) if earlier else (b[None, :] == names)] = -np.inf
-                        for j, row in enumerate(near):
-                            at = np.flatnonzero(row >= (np.partition(row, -k)[-k] if len(row) > k else -2))
-                            at = at[row[at] > -np.inf]
-                            best = at[np.lexsort((b[at], -row[at]))[:k]]
-                            if len(best):
-                                yield pa.RecordBatch.from_arrays([mine.values.take(pa.array(np.full(len(best), i + j))), theirs.values.take(pa.array(best)), pa.array(row[best])], names=["query", key, "similarity"])
+                        near[~looked[i : i + 256][:, at_cell]] = -np.inf
+                        kth = np.partition(near, -k, axis=1)[:, -k, None] if len(b) > k else -2
+                        of_query, at = np.nonzero((near >= kth) & (near > -np.inf))
+                        order = np.lexsort((b[at], -near[of_query, at], of_query))
+                        of_query, at = of_query[order], at[order]
+                        best = np.arange(len(at)) - np.searchsorted(of_query, of_query) < k
+                        of_query, at = of_query[best], at[best]
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([mine.values.take(pa.array(of_query + i)), theirs.values.take(pa.array(at)), pa.array(near[of_query, at])], names=["query", key, "similarity"])
 
         found = pairs.mapInArrow(compared, f"query {kind}, {key} {kind}, similarity double")
         order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """``size, cell, ids, flat``: about ``PACK`` rows of a cell to a row."""
-    counts = rows.groupBy("size", "cell").agg(F.count("*").alias("n"))
-    salted = rows.join(counts, ["size", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PACK).cast("long")))
-    packs = salted.groupBy("size", "cell", "salt").agg(F.sort_array(F.collect_list(F.struct("id", "unit"))).alias("p"))
-    return packs.select("size", "cell", F.col("p.id").alias("ids"), F.flatten("p.unit").alias("flat"))
+def _packed(rows: DataFrame, shelves: DataFrame) -> DataFrame:
+    """``size, shelf, ids, flat, cells``: about ``PACK`` rows of neighbouring cells to a row, or rows of cells that have no shelf."""
+    home = F.col("cells")[0]
+    at = rows.withColumn("cell", home).join(F.broadcast(shelves), ["size", "cell"], "left").withColumn("shelf", F.coalesce(F.col("shelf") + F.pmod(F.xxhash64("id"), F.col("of")), -1 - F.pmod(F.xxhash64("id"), F.lit(64))))
+    packs = at.groupBy("size", "shelf").agg(F.sort_array(F.collect_list(F.struct("id", "unit", "cells"))).alias("p"))
+    return packs.select("size", "shelf", F.col("p.id").alias("ids"), F.flatten("p.unit").alias("flat"), F.col("p.cells").alias("cells"))
 
 
 def duplicates(rows: DataFrame, max_distance: float, key: str = "vec_id", vector: str = "embedding", recall: float = 0.95) -> DataFrame:
