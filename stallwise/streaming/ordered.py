@@ -2,13 +2,14 @@
 
 What comes out doesn't depend on how rows arrive or on how they are cut into micro-batches, as long as none is later than the
 ``delay``; Spark drops those that are.  A key's state is its rows within the delay and one small tuple, which a
-timer drops once it can't matter any more.  State and timers live in the checkpoint, so a restart goes on where the stream stopped.
+timer drops once it can't matter any more; keys are dealt out to buckets, whose states are kept together.  State and timers live in the checkpoint, so a restart goes on where the stream stopped.
 
 The state store must be RocksDB's (``rocksdb``).  Times are microseconds since 1970 inside, whatever the session's zone.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from datetime import timedelta
 from typing import Any
@@ -30,15 +31,18 @@ def rocksdb(spark: SparkSession) -> None:
 
 
 class InOrder(StatefulProcessor):
-    """Takes a key's rows in order of time and of ``order``; ``until`` tells up to when a state matters."""
+    """Takes the rows of each key of a bucket in order of time and of ``order``; ``until`` tells up to when a key's state matters.
 
-    def __init__(self, schema: T.StructType, kept: str, out: list[str], order: list[str], step: Step, until: Callable[[tuple], int | None]):
-        self.schema, self.kept, self.out, self.order, self.step, self.until = schema, kept, out, order, step, until
+    A bucket's rows and its keys' states are read and written at once: a call to the state server costs as much as many rows, so there are a few a bucket and none a key.
+    """
+
+    def __init__(self, schema: T.StructType, keys: list[str], order: list[str], out: list[str], step: Step, until: Callable[[tuple], int | None]):
+        self.schema, self.keys, self.out, self.order, self.step, self.until = schema, keys, out, order, step, until
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", self.schema)
-        self.state = handle.getValueState("state", self.kept)
+        self.state = handle.getValueState("states", "states binary")
 
     def wake(self, micros: int) -> None:
         """A timer for the first millisecond after a time."""
@@ -54,9 +58,13 @@ class InOrder(StatefulProcessor):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = [dict(zip(self.schema.names, x)) for x in self.held.get()]
         due = sorted((x for x in rows if x[MICROS] <= passed), key=lambda x: (x[MICROS], *[(x[c] is not None, x[c]) for c in self.order]))
-        state, emitted = self.state.get(), []
+        stored = self.state.get()
+        states, emitted = pickle.loads(bytes(stored[0])) if stored is not None else {}, []
         for row in due:
-            state, told = self.step(state, row)
+            name = tuple(row[c] for c in self.keys)
+            state, told = self.step(states.get(name), row)
+            if state is not None:
+                states[name] = tuple(state)
             if told is not None:
                 emitted.append(Row(**dict(zip(self.out, told))))
         rest = [x for x in rows if x[MICROS] > passed]
@@ -65,13 +73,18 @@ class InOrder(StatefulProcessor):
             self.wake(min(x[MICROS] for x in rest))
         elif due:
             self.held.clear()
-        last = self.until(tuple(state)) if state is not None else None
-        if last is not None and last <= passed:
-            self.state.clear()
-        elif due and state is not None:
-            self.state.update(tuple(state))
-            if last is not None:
-                self.wake(last)
+        ends = {k: self.until(s) for k, s in states.items()}
+        gone = [k for k, last in ends.items() if last is not None and last <= passed]
+        for k in gone:
+            del states[k]
+        if not states:
+            if stored is not None:
+                self.state.clear()
+        elif due or gone:
+            self.state.update((pickle.dumps(states),))
+            lasts = [ends[k] for k in states if ends[k] is not None]
+            if lasts:
+                self.wake(min(lasts))
         return iter(emitted)
 
     def close(self) -> None:
@@ -82,10 +95,14 @@ def _micros(span: timedelta) -> int:
     return span // timedelta(microseconds=1)
 
 
-def _run(rows: DataFrame, keys: list[str], time: str, delay: str, kept: str, out: T.StructType, order: list[str], step: Step, until: Callable) -> DataFrame:
+#: Buckets of keys: more of them are smaller states, each written whole when one of its keys has rows, and more calls.
+BUCKETS = 512
+
+
+def _run(rows: DataFrame, keys: list[str], time: str, delay: str, out: T.StructType, order: list[str], step: Step, until: Callable) -> DataFrame:
     rows = rows.filter(F.col(time).isNotNull()).withWatermark(time, delay).withColumn(MICROS, F.unix_micros(time))
     held = T.StructType([f for f in rows.schema.fields if f.name != time])
-    return rows.groupBy(*keys).transformWithState(InOrder(held, kept, out.names, order, step, until), out, "append", "eventTime")
+    return rows.withColumn("bucket_", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))).groupBy("bucket_").transformWithState(InOrder(held, keys, order, out.names, step, until), out, "append", "eventTime")
 
 
 def price_history(rows: DataFrame, keys: list[str], price: str, time: str, delay: str, *order: str, forget: timedelta | None = None) -> DataFrame:
@@ -104,8 +121,7 @@ def price_history(rows: DataFrame, keys: list[str], price: str, time: str, delay
 
     kinds = {f.name: f.dataType for f in rows.schema}
     out = T.StructType([*[T.StructField(c, kinds[c]) for c in keys], T.StructField("price", kinds[price]), T.StructField("recorded_at", T.LongType())])
-    kept = f"price {kinds[price].simpleString()}, seen long"
-    found = _run(rows, keys, time, delay, kept, out, list(order), step, lambda s: None if gap is None else s[1] + gap)
+    found = _run(rows, keys, time, delay, out, list(order), step, lambda s: None if gap is None else s[1] + gap)
     return found.withColumn("recorded_at", F.timestamp_micros("recorded_at"))
 
 
@@ -113,7 +129,7 @@ def marked_within(rows: DataFrame, keys: list[str], time: str, lookback: timedel
     """The stream's rows with ``known``: whether the key's last new row lies within the lookback before.
 
     A known row doesn't prolong the lookback, so a key comes back as new once its last new row is older.  The state is the
-    time of that row, and goes with the lookback: what a micro-batch costs follows from its own rows and keys, however long the stream runs.
+    time of that row, and goes with the lookback: what a micro-batch costs follows from its rows and the keys of the lookback in their buckets, however long the stream runs.
     """
     names, span = rows.columns, _micros(lookback)
 
@@ -122,5 +138,5 @@ def marked_within(rows: DataFrame, keys: list[str], time: str, lookback: timedel
         return state if known else (row[MICROS],), (*[row[MICROS if c == time else c] for c in names], known)
 
     out = T.StructType([*[T.StructField(f.name, T.LongType() if f.name == time else f.dataType) for f in rows.schema.fields], T.StructField("known", T.BooleanType())])
-    found = _run(rows, keys, time, delay, "seen long", out, list(order), step, lambda s: s[0] + span)
+    found = _run(rows, keys, time, delay, out, list(order), step, lambda s: s[0] + span)
     return found.withColumn(time, F.timestamp_micros(time))

@@ -1,6 +1,7 @@
 """Work that grows with the input only: equal results by brute force, and plans or figures that would show the older, larger work."""
 
 import random
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ import __spark_entry__ as entry
 from stallwise.functions import text
 from stallwise.operators import filters, pricing, reduction, similarity
 from stallwise.sources import cards
+from stallwise.streaming import ordered
 
 
 def plan(df):
@@ -92,3 +94,9 @@ def test_copies_of_a_title_are_compared_once(spark):
     assert similarity.alike_titles(ads, 0.75).count() == len(links) == 5
     found = {(x[0], x[1]) for x in similarity.duplicates(ads, 0.75, side="source").collect()}
     assert found == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3] and (a[1], b[1]) in links}
+
+
+def test_streams_keep_state_by_bucket(spark, tmp_path):
+    source = spark.readStream.schema("k string, at timestamp").parquet(f"file://{tmp_path}")
+    found = ordered.marked_within(source, ["k"], "at", timedelta(days=1), "1 hour")
+    assert "bucket_" in found._jdf.queryExecution().analyzed().toString()
