@@ -15,6 +15,9 @@ from ..functions.text import cluster_title, words
 from .ranges import written
 from .reduction import truncated_svd, weights
 
+#: The most titles that a task cleans, on average.
+TITLES = 20_000
+
 
 def title_terms(tokens: Column) -> Column:
     """The words of a title and its pairs of words that follow each other."""
@@ -40,21 +43,31 @@ def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(centres)
 
 
-def fit_batches(x: np.ndarray, k: int, seed: int, batch: int = 2000, passes: int = 100, patience: int = 10) -> tuple[np.ndarray, float]:
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy().astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def fit_batches(x: np.ndarray, k: int, seed: int, batch: int = 2000, passes: int = 100, patience: int = 10, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Centres by batches of rows: each moves towards its rows of a batch by the share that they are of all it has had.
 
     Ends when the smoothed cost of a batch hasn't improved for ``patience`` batches; gives the centres and their cost on the rows.
+    A row is drawn, and counts in the cost, as often as ``times`` says.
     """
     rng = np.random.default_rng(seed)
-    centres, had = _spread(x[rng.permutation(len(x))[: 3 * batch]], k, rng), np.zeros(k)
+    times = np.ones(len(x)) if times is None else times
+    upto = np.cumsum(times) / times.sum()
+    some = x[rng.permutation(len(x))[: 3 * batch]]
+    if times.max() > times.min():  # and some whatever their copies, so that there are k to choose from
+        some = x[np.unique(np.concatenate([np.searchsorted(upto, rng.random(3 * batch), side="right").clip(max=len(x) - 1), rng.permutation(len(x))[:k]]))]
+    centres, had = _spread(some, k, rng), np.zeros(k)
     best, smooth, idle = np.inf, None, 0
     for _ in range(max(1, passes * len(x) // batch)):
-        some = x[rng.integers(len(x), size=min(batch, len(x)))]
+        some = x[np.searchsorted(upto, rng.random(min(batch, len(x))), side="right").clip(max=len(x) - 1)]
         distance = _distances(some, centres)
         of = distance.argmin(axis=1)
         n = np.bincount(of, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, of, some)
+        sums = (of[None, :] == np.arange(k)[:, None]).astype(np.float64) @ some
         had += n
         live = n > 0
         centres[live] += (sums[live] - n[live, None] * centres[live]) / had[live, None]
@@ -67,64 +80,99 @@ def fit_batches(x: np.ndarray, k: int, seed: int, batch: int = 2000, passes: int
         if starved.any() and idle == 0:  # centres that hardly any row goes to start again elsewhere
             centres[starved] = some[rng.choice(len(some), size=int(starved.sum()), replace=len(some) < starved.sum())]
             had[starved] = had[~starved].min() if (~starved).any() else 0
-    return centres, float(_distances(x, centres).min(axis=1).sum())
+    for _ in range(k):  # a centre that no row is nearest to goes to the row farthest from its own
+        distance = _distances(x, centres)
+        near, empty = distance.min(axis=1), np.setdiff1d(np.arange(k), distance.argmin(axis=1))
+        if not len(empty) or near.max() < 1e-12:
+            break
+        centres[empty[0]] = x[near.argmax()]
+    return centres, float(_distances(x, centres).min(axis=1) @ times)
 
 
-def batch_kmeans(rows: DataFrame, key: str, vector: str, k: int, starts: int = 5, most: int = 50_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+def batch_kmeans(rows: DataFrame, key: str, vector: str, k: int, starts: int = 5, most: int = 50_000, seed: int = 42, copies: str | None = None) -> tuple[DataFrame, np.ndarray]:
     """``key, cluster_id, cost`` (squared distance) of every row, and the centres, fitted in ``starts`` ways on at most ``most`` rows.
 
     The fit's rows are a sample by hash of the key, all rows up to ``most``; each start is a task's work on its own copy of them, the one of least cost wins, and
     every row is assigned.  Batches are drawn from the sample, so the fit reads the table once however long it runs.
+    A row counts as often as its column ``copies`` says, if that is given; the column is then in the result.
     """
     n = rows.count()
     chance = min(1.0, most / max(1, n))
     some = rows.filter(F.col(vector).isNotNull()).withColumn("place_", F.xxhash64(F.col(key), F.lit(seed)))
-    some = some.filter(F.pmod("place_", F.lit(1_000_003)) < chance * 1_000_003).orderBy("place_", key).limit(most).select(F.col(vector).alias("vector_"))
-    copies = some.crossJoin(rows.sparkSession.range(starts).withColumnRenamed("id", "start_"))
+    some = some.filter(F.pmod("place_", F.lit(1_000_003)) < chance * 1_000_003).orderBy("place_", key).limit(most).select(F.col(vector).alias("vector_"), (F.col(copies) if copies else F.lit(1)).cast("double").alias("times_"))
+    each = some.crossJoin(rows.sparkSession.range(starts).withColumnRenamed("id", "start_"))
 
     def fitted(group: pa.Table) -> pa.Table:
-        x = np.array(group["vector_"].to_pylist(), dtype=np.float64)
-        centres, cost = fit_batches(x, min(k, len(x)), seed + group["start_"][0].as_py())
+        x = _vectors(group["vector_"])
+        centres, cost = fit_batches(x, min(k, len(x)), seed + group["start_"][0].as_py(), times=group["times_"].to_numpy())
         return pa.table({"cost": [cost], "centres": [centres.tolist()]})
 
-    best = copies.groupBy("start_").applyInArrow(fitted, "cost double, centres array<array<double>>").orderBy("cost").first()
-    centres = np.array(best["centres"])
+    # By range, as the few starts would otherwise meet in one task.
+    best = each.repartitionByRange(starts, "start_").groupBy("start_").applyInArrow(fitted, "cost double, centres array<array<double>>").orderBy("cost").first()
+    centres, kept = np.array(best["centres"]), [copies] if copies else []
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                distance = _distances(np.array(batch[vector].to_pylist(), dtype=np.float64), centres)
-                yield pa.record_batch([batch[key], pa.array(distance.argmin(axis=1).astype(np.int32)), pa.array(distance.min(axis=1))], names=[key, "cluster_id", "cost"])
+                distance = _distances(_vectors(batch[vector]), centres)
+                told = [pa.array(distance.argmin(axis=1).astype(np.int32)), pa.array(distance.min(axis=1))]
+                yield pa.record_batch([batch[key], *told, *[batch[c] for c in kept]], names=[key, "cluster_id", "cost", *kept])
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(assigned, f"{key} {kind}, cluster_id int, cost double"), centres
+    schema = ", ".join([f"{key} {rows.schema[key].dataType.simpleString()}, cluster_id int, cost double", *[f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept]])
+    return rows.filter(F.col(vector).isNotNull()).select(key, vector, *kept).mapInArrow(assigned, schema), centres
 
 
-def title_groups(ads: DataFrame, key: str = "ad_url", title: str = "title", most: int = 150, dimensions: int = 100, seed: int = 42) -> DataFrame:
-    """``key, cluster_id, cluster_label`` of titles of three words or more; a label has up to four of a group's weightiest words and pairs.
+def _units(rows: DataFrame, vector: str) -> DataFrame:
+    """The rows whose vector isn't 0, with vectors of length 1."""
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = _vectors(batch[vector])
+                length = np.sqrt((x * x).sum(axis=1))
+                live = length > 0
+                x = x[live] / length[live, None]
+                ends = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                batch = batch.filter(pa.array(live))
+                yield pa.record_batch([pa.ListArray.from_arrays(ends, pa.array(x.ravel())) if c == vector else batch[c] for c in batch.schema.names], names=batch.schema.names)
 
-    All words and pairs of two titles or more, up to nine tenths of them, count.  Titles without any of those are the group -1, which has no label.
-    Fewer than six titles are one group, and each is labelled by its own words.
+    return rows.mapInArrow(scaled, rows.schema)
+
+
+def text_groups(ads: DataFrame, key: str = "ad_url", title: str = "title", most: int = 150, dimensions: int = 100, seed: int = 42) -> DataFrame:
+    """``title_, copies, cluster_id, cluster_label`` of each different title of three words or more; a label has up to four of a group's weightiest words and pairs.
+
+    Equal titles are one, with their number as its weight in all counts, sums and draws, so copies cost a grouping.
+    All words and pairs of two listings or more, up to nine tenths of them, count.  Titles without any of those are the group -1, which has no label.
+    Fewer than six listings are one group, and each is labelled by its own words.
     """
-    rows = ads.select(key, words(cluster_title(F.col(title))).alias("tokens")).filter(F.size("tokens") >= 3)
+    each = ads.groupBy(F.col(title).alias("title_")).agg(F.min(key).alias("key_"), F.count("*").alias("copies"))
+    each = written(each, "each")  # cut here, as Spark would clean titles before it groups them
+    parts = max(1, -(-each.count() // TITLES))
+    rows = each.repartition(parts, "title_").withColumn("tokens", words(cluster_title(F.col("title_")))).filter(F.size("tokens") >= 3)
     rows = written(rows.withColumn("terms", title_terms(F.col("tokens"))), "titles")
-    n = rows.count()
+    n = rows.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     if n < 6:  # less than two groups of three
-        return rows.select(key, F.lit(0).alias("cluster_id"), F.array_join("tokens", " · ").alias("cluster_label"))
-    found = written(weights(rows, key, "terms"), "weights")
+        return rows.select("title_", "copies", F.lit(0).alias("cluster_id"), F.array_join("tokens", " · ").alias("cluster_label"))
+    found = written(weights(rows, "key_", "terms", copies="copies"), "weights")
     if found.isEmpty():
-        return rows.select(key, F.lit(-1).alias("cluster_id"), F.lit(None).cast("string").alias("cluster_label"))
-    reduced, _ = truncated_svd(found, key, dimensions, seed=seed)
-    length = F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x))
-    unit = written(reduced.withColumn("length_", length).filter("length_ > 0").select(key, F.transform("reduced", lambda x: x / F.col("length_")).alias("unit")), "unit")
-    groups, _ = batch_kmeans(unit, key, "unit", min(most, n // 3), seed=seed)
-    groups = written(groups, "groups")
-    terms = found.join(groups, key).groupBy("cluster_id", "term").agg(F.sum("w").alias("w"))
+        return rows.select("title_", "copies", F.lit(-1).alias("cluster_id"), F.lit(None).cast("string").alias("cluster_label"))
+    reduced, _ = truncated_svd(found, "key_", dimensions, seed=seed, copies="copies")
+    unit = written(_units(reduced, "reduced"), "unit")
+    groups, _ = batch_kmeans(unit, "key_", "reduced", min(most, n // 3), seed=seed, copies="copies")
+    groups = written(groups.select("key_", "cluster_id"), "groups")
+    terms = found.join(groups, "key_").groupBy("cluster_id", "term").agg(F.sum(F.col("w") * F.col("copies")).alias("w"))
     top = terms.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("w"), "term"))).filter("place <= 4")
     names = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), lambda x: F.length(x) > 2)
     labels = top.groupBy("cluster_id").agg(F.array_join(names, " · ").alias("cluster_label"))
-    out = rows.select(key).join(groups.select(key, "cluster_id"), key, "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
-    return out.join(labels, "cluster_id", "left").select(key, "cluster_id", "cluster_label")
+    out = rows.select("title_", "copies", "key_").join(groups, "key_", "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+    return out.join(labels, "cluster_id", "left").select("title_", "copies", "cluster_id", "cluster_label")
+
+
+def title_groups(ads: DataFrame, key: str = "ad_url", title: str = "title", most: int = 150, dimensions: int = 100, seed: int = 42) -> DataFrame:
+    """``key, cluster_id, cluster_label`` of titles of three words or more, by ``text_groups``."""
+    found = text_groups(ads, key, title, most, dimensions, seed)
+    return ads.select(key, F.col(title).alias("title_")).join(found, "title_").select(key, "cluster_id", "cluster_label")
 
 
 def vector_groups(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", most: int = 20, least: int = 10, seed: int = 42) -> DataFrame:

@@ -75,3 +75,53 @@ def test_groups_of_titles(spark):
     assert few["odd"] == (0, "never · seen · before") and grouping.title_groups(ads.limit(0)).count() == 0
     alone = spark.createDataFrame([(str(i), f"a{i} b{i} c{i}") for i in range(9)], "ad_url string, title string")
     assert {tuple(x)[1:] for x in grouping.title_groups(alone).collect()} == {(-1, None)}
+
+
+def test_copies_weigh_as_so_many_rows(spark):
+    """A row with copies has the weights, singular values and projections of as many rows of its own."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [f"t{j}" for j in rng.integers(0, 12, 4)], int(rng.integers(1, 6))) for i in range(60)]
+    once = spark.createDataFrame(rows, "k long, terms array<string>, copies long")
+    each = spark.createDataFrame([(100 * k + i, t) for k, t, n in rows for i in range(n)], "k long, terms array<string>")
+    a, b = reduction.weights(once, "k", "terms", copies="copies").cache(), reduction.weights(each, "k", "terms").cache()
+    want = {(x["k"] // 100, x["term"]): x["w"] for x in b.collect()}
+    assert {(x["k"], x["term"]): x["w"] for x in a.collect()} == pytest.approx(want) and set(a.columns) == {"k", "term", "w", "copies"}
+    found, values = reduction.truncated_svd(a, "k", 12, copies="copies")
+    exact = np.linalg.svd(matrix(b.collect())[1], compute_uv=False)
+    assert values == pytest.approx(exact[: len(values)]) and len(values) == np.sum(exact > 1e-5)
+    keys, m = matrix(a.collect())
+    got = {x["k"]: x["reduced"] for x in found.collect()}
+    r = np.array([got[k] for k in keys])
+    assert r @ r.T == pytest.approx(m @ m.T, abs=1e-6)
+    assert {x["k"]: x["copies"] for x in found.collect()} == {k: n for k, _, n in rows}
+
+
+def test_weighted_batches_cost_what_full_passes_do(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(200, 8)) + 6 * rng.normal(size=8) for _ in range(12)])
+    n = rng.integers(1, 40, len(x))
+    rows = spark.createDataFrame([(i, v, int(c)) for i, (v, c) in enumerate(zip(x.tolist(), n))], "k long, v array<double>, n long").repartition(4)
+    groups, _ = grouping.batch_kmeans(rows, "k", "v", 12, copies="n")
+    full = KMeans(k=12, seed=1, maxIter=50, weightCol="n").fit(rows.select("n", array_to_vector("v").alias("features"))).summary.trainingCost
+    assert groups.agg(F.sum(F.col("cost") * F.col("n"))).first()[0] <= 1.02 * full
+
+
+def test_no_centre_is_left_without_rows():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 3))
+    for seed in range(5):
+        centres, _ = grouping.fit_batches(x, 60, seed, times=np.where(np.arange(90) < 5, 10_000, 1))
+        assert len(np.unique(grouping._distances(x, centres).argmin(axis=1))) == 60
+
+
+def test_copies_of_a_title_cost_a_grouping(spark, monkeypatch):
+    """Tables between the steps have a row for each different title, whatever the number of listings."""
+    kept, real = {}, grouping.written
+    monkeypatch.setattr(grouping, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    rows = [(f"{j}-{i}", f"{a} {b} case") for i in range(50) for j, (a, b) in enumerate((a, b) for a in ("red", "blue", "old") for b in ("iphone", "drill"))]
+    ads = spark.createDataFrame(rows, "ad_url string, title string")
+    got = grouping.title_groups(ads, most=3)
+    assert got.count() == len(rows) == got.select("ad_url").distinct().count() and {x["cluster_id"] for x in got.collect()} == {0, 1, 2}
+    by_title = got.join(ads, "ad_url").groupBy("title").agg(F.count_distinct("cluster_id").alias("n"))
+    assert by_title.filter("n <> 1").isEmpty()
+    assert kept["titles"].count() == 6 == kept["unit"].count() and kept["weights"].count() < 40
