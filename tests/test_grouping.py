@@ -6,6 +6,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from stallwise.operators import grouping, reduction
 
 
@@ -125,3 +126,14 @@ def test_copies_of_a_title_cost_a_grouping(spark, monkeypatch):
     by_title = got.join(ads, "ad_url").groupBy("title").agg(F.count_distinct("cluster_id").alias("n"))
     assert by_title.filter("n <> 1").isEmpty()
     assert kept["titles"].count() == 6 == kept["unit"].count() and kept["weights"].count() < 40
+
+
+def test_sizes_come_from_the_different_titles(spark, tmp_path):
+    """Sizes add up copies; the listings aren't met again."""
+    rows = [(i, f"Brand#{i % 3}", f"{a} {b}", "NEW") for i, (a, b) in enumerate((a, b) for _ in range(20) for a in ("red", "hot") for b in ("ring", "bolt"))]
+    odd = [(900, "solo", "only here", "once"), (901, "solo2", "never again", "more"), (902, "short", None, None), (903, None, None, None)]
+    spark.createDataFrame(rows + odd, "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    found = entry.queries()["title_cluster_sizes"](spark, str(tmp_path))
+    got = found.first()
+    assert (got["n_titles"], got["n_without"]) == (82, 2) and 0 < got["n_groups"] <= 12
+    assert not any(str(tmp_path) in f for f in found.inputFiles())
