@@ -96,6 +96,27 @@ def test_copies_of_a_title_are_compared_once(spark):
     assert found == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3] and (a[1], b[1]) in links}
 
 
+def test_candidates_meet_as_matrices(spark, monkeypatch):
+    """Equal to brute force where a gram's titles are many packs; candidates aren't rows."""
+    rng = random.Random(9)
+    words = ["red", "reds", "iphone", "iphones", "galaxy", "case", "cases", "max16", "max17", "pro"]
+    titles = sorted({" ".join(rng.choices(words, k=4)) for _ in range(150)})
+    ads = spark.createDataFrame([(f"u{i:03d}", t) for i, t in enumerate(titles)], "ad_url string, title string")
+    plans, real = {}, similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: (plans.update({name: plan(df)}), real(df, name))[1])
+    monkeypatch.setattr(similarity, "MET", 16, raising=False)
+    found = {(x["t1"], x["t2"]): x["s"] for x in similarity.alike_titles(ads, 0.7).collect()}
+    weights = similarity.tf_idf(ads, "ad_url", "title")
+    w = {}
+    for x in weights.collect():
+        w.setdefault(x["ad_url"], {})[x["gram"]] = x["w"]
+    pairs = ads.toDF("a", "t1").crossJoin(ads.toDF("b", "t2")).filter(text.titles_fit(F.col("t1"), F.col("t2"))).collect()
+    scores = {(x["t1"], x["t2"]): sum(v * w[x["b"]].get(g, 0) for g, v in w[x["a"]].items()) for x in pairs}
+    want = {k: s for k, s in scores.items() if s >= 0.7}
+    assert len(want) > 2 * len(titles) and set(found) == set(want) and all(abs(found[k] - s) < 1e-9 for k, s in want.items())
+    assert "FlatMapGroupsInArrow" in plans["scored"]
+
+
 def test_streams_keep_state_by_bucket(spark, tmp_path):
     source = spark.readStream.schema("k string, at timestamp").parquet(f"file://{tmp_path}")
     found = ordered.marked_within(source, ["k"], "at", timedelta(days=1), "1 hour")
