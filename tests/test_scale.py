@@ -117,6 +117,17 @@ def test_candidates_meet_as_matrices(spark, monkeypatch):
     assert "FlatMapGroupsInArrow" in plans["scored"]
 
 
+def test_pairs_of_listings_are_not_joined_again(spark):
+    """Pairs grow with the square of copies: what is told of both listings comes with them, and listings of one site don't meet."""
+    rows = [(f"u{k:02d}{i}", t, 100.0, "xyz"[k % 3], f" Ann  {k % 2}" if k % 5 else None) for k in range(12) for i, t in enumerate(["apple iphone 16 128gb servis", "samsung galaxy tab nine"])]
+    ads = spark.createDataFrame(rows, "ad_url string, title string, price_eur double, source string, seller_name string")
+    found = similarity.find_duplicates(ads)
+    want = {(a[0], b[0], bool(a[4] and a[4] == b[4]), "servis" in a[1]) for a in rows for b in rows if a[0] < b[0] and a[3] != b[3] and a[1] == b[1]}
+    assert {(x["ad_url_1"], x["ad_url_2"], x["same_seller"], x["is_service"]) for x in found.collect()} == want
+    last = next(x for x in plan(found).splitlines() if "Join" in x)
+    assert "band" in last and "source_2" in last and "price_eur" in last
+
+
 def test_streams_keep_state_by_bucket(spark, tmp_path):
     source = spark.readStream.schema("k string, at timestamp").parquet(f"file://{tmp_path}")
     found = ordered.marked_within(source, ["k"], "at", timedelta(days=1), "1 hour")
