@@ -55,7 +55,9 @@ class Index:
         main = at.filter(F.col("size") == self.size)
         self.centres, self.probes = np.zeros((1, max(1, self.size))), 1
         if n > 4 * k:
-            _, self.centres = batch_kmeans(main, "id", "unit", min(CELLS, math.ceil(2 * math.sqrt(n))), starts=2, most=SAMPLE, seed=seed)
+            place, chance = F.xxhash64("id", F.lit(seed)), min(1.0, 1.05 * SAMPLE / n)
+            fit = main.filter(F.pmod(place, F.lit(1_000_003)) < chance * 1_000_003).orderBy(place, "id").limit(SAMPLE)
+            _, self.centres = batch_kmeans(written(fit, "sample"), "id", "unit", min(CELLS, math.ceil(2 * math.sqrt(n))), starts=2, most=SAMPLE, seed=seed, passes=0)
             some = main.select("unit").orderBy(F.xxhash64("id"), "id").limit(min(SAMPLE, 5000)).collect()
             self.probes = probes(np.array([x["unit"] for x in some]), self.centres, k, recall)
         self.rows = written(self.placed(at, 1), "cells")

@@ -58,8 +58,8 @@ def fit_batches(x: np.ndarray, k: int, seed: int, batch: int = 2000, passes: int
     times = np.ones(len(x)) if times is None else times
     upto = np.cumsum(times) / times.sum()
     some = x[rng.permutation(len(x))[: 3 * batch]]
-    if times.max() > times.min():  # and some whatever their copies, so that there are k to choose from
-        some = x[np.unique(np.concatenate([np.searchsorted(upto, rng.random(3 * batch), side="right").clip(max=len(x) - 1), rng.permutation(len(x))[:k]]))]
+    if times.max() > times.min():  # and as many whatever their copies, so that there are k to choose from
+        some = x[np.unique(np.concatenate([np.searchsorted(upto, rng.random(3 * batch), side="right").clip(max=len(x) - 1), rng.permutation(len(x))[: max(k, 3 * batch)]]))]
     centres, had = _spread(some, k, rng), np.zeros(k)
     best, smooth, idle = np.inf, None, 0
     for _ in range(max(1, passes * len(x) // batch)):
@@ -89,27 +89,77 @@ def fit_batches(x: np.ndarray, k: int, seed: int, batch: int = 2000, passes: int
     return centres, float(_distances(x, centres).min(axis=1) @ times)
 
 
-def batch_kmeans(rows: DataFrame, key: str, vector: str, k: int, starts: int = 5, most: int = 50_000, seed: int = 42, copies: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """``key, cluster_id, cost`` (squared distance) of every row, and the centres, fitted in ``starts`` ways on at most ``most`` rows.
-
-    The fit's rows are a sample by hash of the key, all rows up to ``most``; each start is a task's work on its own copy of them, the one of least cost wins, and
-    every row is assigned.  Batches are drawn from the sample, so the fit reads the table once however long it runs.
-    A row counts as often as its column ``copies`` says, if that is given; the column is then in the result.
-    """
-    n = rows.count()
-    chance = min(1.0, most / max(1, n))
-    some = rows.filter(F.col(vector).isNotNull()).withColumn("place_", F.xxhash64(F.col(key), F.lit(seed)))
-    some = some.filter(F.pmod("place_", F.lit(1_000_003)) < chance * 1_000_003).orderBy("place_", key).limit(most).select(F.col(vector).alias("vector_"), (F.col(copies) if copies else F.lit(1)).cast("double").alias("times_"))
-    each = some.crossJoin(rows.sparkSession.range(starts).withColumnRenamed("id", "start_"))
+def _centres(at: DataFrame, k: int, starts: int, most: int, seed: int) -> np.ndarray:
+    """Centres of all rows of ``place_, vector_, times_``: parts of about ``most`` rows fit ``k`` each, those centres, with their rows' number, are fitted in turn."""
 
     def fitted(group: pa.Table) -> pa.Table:
-        x = _vectors(group["vector_"])
-        centres, cost = fit_batches(x, min(k, len(x)), seed + group["start_"][0].as_py(), times=group["times_"].to_numpy())
-        return pa.table({"cost": [cost], "centres": [centres.tolist()]})
+        order = np.argsort(group["place_"].to_numpy(), kind="stable")
+        x, times = _vectors(group["vector_"])[order], group["times_"].to_numpy()[order]
+        part, first = group["part_"][0].as_py(), group["start_"][0].as_py()
+        centres, cost = min((fit_batches(x, min(k, len(x)), seed + start, times=times) for start in range(first, starts, spread)), key=lambda found: found[1])
+        had = np.bincount(_distances(x, centres).argmin(axis=1), weights=times, minlength=len(centres))
+        return pa.table({"part_": [part], "cost": [cost], "centres": [centres.tolist()], "had": [had.tolist()]})
+
+    while True:
+        parts = max(1, -(-at.count() // max(most, 2 * k)))
+        spread = starts if parts < starts else 1  # starts are tasks of their own where there are few parts
+        each = at.withColumn("part_", F.pmod(F.xxhash64("place_", F.lit(seed)), F.lit(parts))).crossJoin(at.sparkSession.range(spread).withColumnRenamed("id", "start_"))
+        # By range, as few parts and starts would otherwise meet in one task.
+        found = each.repartitionByRange(parts * spread, "part_", "start_").groupBy("part_", "start_").applyInArrow(fitted, "part_ long, cost double, centres array<array<double>>, had array<double>")
+        if parts == 1:
+            return np.array(found.orderBy("cost").first()["centres"])
+        best = found.groupBy("part_").agg(F.min_by(F.arrays_zip("centres", "had"), "cost").alias("best")).select("part_", F.posexplode("best").alias("n", "c"))
+        at = written(best.filter("c.had > 0").select(F.xxhash64("part_", "n").alias("place_"), F.col("c.centres").alias("vector_"), F.col("c.had").alias("times_")), "centres")
+
+
+def _moved(at: DataFrame, centres: np.ndarray, passes: int) -> np.ndarray:
+    """Centres after passes over all rows of ``vector_, times_``: each goes to its rows' mean while the cost falls by a thousandth, one without rows to the row farthest from its own."""
+    k, last = len(centres), np.inf
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, centres.shape[1] + 2))
+        for batch in batches:
+            if len(batch):
+                x, times = _vectors(batch["vector_"]), batch["times_"].to_numpy()
+                distance = _distances(x, centres)
+                told = np.hstack([x, np.ones((len(x), 1)), distance.min(axis=1)[:, None]]) * times[:, None]
+                total += (distance.argmin(axis=1)[None, :] == np.arange(k)[:, None]).astype(np.float64) @ told
+        yield pa.record_batch([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["place", "value"])
+
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.record_batch([batch["vector_"], pa.array(_distances(_vectors(batch["vector_"]), centres).min(axis=1))], names=["vector_", "far"])
+
+    for step in range(passes + k + 1):
+        total = np.zeros((k, centres.shape[1] + 2))
+        for place, value in at.mapInArrow(summed, "place int, value double").groupBy("place").agg(F.sum("value")).collect():
+            total.flat[place] = value
+        had, cost = total[:, -2], total[:, -1].sum()
+        empty = np.flatnonzero(had == 0)
+        if len(empty):
+            rows = at.mapInArrow(farthest, "vector_ array<double>, far double").filter("far >= 1e-12").groupBy("vector_").agg(F.max("far").alias("far")).orderBy(F.desc("far"), "vector_").limit(len(empty)).collect()
+            if not rows:
+                break
+            centres = centres.copy()
+            centres[empty[: len(rows)]] = [x["vector_"] for x in rows]
+        elif step >= passes or cost >= last * 0.999:
+            break
+        else:
+            last, centres = cost, total[:, :-2] / had[:, None]
+    return centres
+
 
-    # By range, as the few starts would otherwise meet in one task.
-    best = each.repartitionByRange(starts, "start_").groupBy("start_").applyInArrow(fitted, "cost double, centres array<array<double>>").orderBy("cost").first()
-    centres, kept = np.array(best["centres"]), [copies] if copies else []
+def batch_kmeans(rows: DataFrame, key: str, vector: str, k: int, starts: int = 5, most: int = 50_000, seed: int = 42, copies: str | None = None, passes: int = 20) -> tuple[DataFrame, np.ndarray]:
+    """``key, cluster_id, cost`` (squared distance) of every row, and the centres, which all rows fit.
+
+    Rows are dealt by hash into parts of about ``most``, each fitted by batches in ``starts`` ways, of which the one of least cost wins; the parts' centres are fitted
+    in the same way until they are one part.  Then up to ``passes`` passes over all rows move the centres to the means of their rows.
+    A row counts as often as its column ``copies`` says, if that is given; the column is then in the result.
+    """
+    some = rows.filter(F.col(vector).isNotNull()).select(F.xxhash64(F.col(key), F.lit(seed)).alias("place_"), F.col(vector).alias("vector_"), (F.col(copies) if copies else F.lit(1)).cast("double").alias("times_"))
+    centres, kept = _centres(some, k, starts, most, seed), [copies] if copies else []
+    centres = _moved(some.select("vector_", "times_"), centres, passes)
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -115,6 +115,18 @@ def test_no_centre_is_left_without_rows():
         assert len(np.unique(grouping._distances(x, centres).argmin(axis=1))) == 60
 
 
+def test_every_row_counts_in_the_fit(spark):
+    """More rows than a part has: what is rare or far among them has its share in the centres, which are the means of their rows."""
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(300, 6)) + 8 * rng.normal(size=6) for _ in range(10)] + [np.full((1, 6), 500.0), np.full((1, 6), -500.0)])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "k long, v array<double>").repartition(4)
+    groups, centres = grouping.batch_kmeans(rows, "k", "v", 12, most=200, passes=60)
+    of = {r["k"]: r["cluster_id"] for r in groups.collect()}
+    assert len(of) == len(x) and len(set(of.values())) == 12 and len(centres) == 12
+    by = np.array([of[i] for i in range(len(x))])
+    assert max(np.abs(x[by == c].mean(axis=0) - centres[c]).max() for c in range(12)) < 0.3
+
+
 def test_copies_of_a_title_cost_a_grouping(spark, monkeypatch):
     """Tables between the steps have a row for each different title, whatever the number of listings."""
     kept, real = {}, grouping.written
