@@ -21,11 +21,30 @@ from .ranges import small_batches, written
 CELLS, SAMPLE, ASKED, PACK = 1024, 20_000, 200, 2048
 
 
-def units(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, unit, size``: vectors of length 1; rows without a key, a whole vector or a direction go."""
-    at = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null and not exists(v, x -> x is null or isnan(x))")
-    at = at.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).filter("length > 0 and length < double('infinity')")
-    return at.select("id", F.transform("v", lambda x: x / F.col("length")).alias("unit"), F.size("v").alias("size"))
+def units(rows: DataFrame, key: str, vector: str, digits: int | None = None) -> DataFrame:
+    """``id, unit, size``: vectors of length 1, rounded if asked; rows without a key, a whole vector or a direction go."""
+    kind = rows.schema[key].dataType.simpleString()
+    at = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, flat = np.diff(batch["v"].offsets.to_numpy()), batch["v"].flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            of = np.repeat(np.arange(len(batch)), size)
+            with np.errstate(all="ignore"):
+                length = np.sqrt(np.bincount(of, weights=flat * flat, minlength=len(batch)))
+                live = (length > 0) & np.isfinite(length)
+                unit = (flat / length[of])[live[of]]
+            unit = unit if digits is None else np.round(unit, digits) + 0.0
+            ends = pa.array(np.concatenate([[0], np.cumsum(size[live])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["id"].filter(pa.array(live)), pa.ListArray.from_arrays(ends, pa.array(unit)), pa.array(size[live], pa.int32())], names=["id", "unit", "size"])
+
+    return at.mapInArrow(scaled, f"id {kind}, unit array<double>, size int")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows over all tasks, as Spark would leave them in a few that are small in bytes."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
 
 def probes(sample: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
@@ -48,7 +67,7 @@ class Index:
 
     def __init__(self, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, recall: float = 0.95, seed: int = 42):
         self.kind = rows.schema[key].dataType.simpleString()
-        at = written(units(rows, key, vector), "units")
+        at = written(dealt(units(rows, key, vector)), "units")
         sizes = at.groupBy("size").count().orderBy(F.desc("count"), "size").first()
         self.size, n = (sizes["size"], sizes["count"]) if sizes else (0, 0)
         # Vectors of other lengths than most are in one cell of their length.
@@ -71,8 +90,9 @@ class Index:
                 usual = batch["size"].to_numpy() == size
                 of = np.zeros((len(batch), min(cells, len(centres))), dtype=np.int32)
                 if usual.any():
-                    x = np.array(batch["unit"].filter(pa.array(usual)).to_pylist())
-                    of[usual] = np.argsort((centres * centres).sum(axis=1) / 2 - x @ centres.T, axis=1)[:, :cells]
+                    far = (centres * centres).sum(axis=1) / 2 - batch["unit"].filter(pa.array(usual)).flatten().to_numpy().reshape(-1, size) @ centres.T
+                    first = np.argpartition(far, cells - 1, axis=1)[:, :cells] if cells < len(centres) else np.tile(np.arange(len(centres)), (len(far), 1))
+                    of[usual] = np.take_along_axis(first, np.argsort(np.take_along_axis(far, first, axis=1), axis=1), axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * of.shape[1], pa.int32()), pa.array(of.ravel()))
                 yield pa.RecordBatch.from_arrays([batch["id"], batch["unit"], batch["size"], lists], names=["id", "unit", "size", "cells"])
 
@@ -84,13 +104,13 @@ class Index:
         upto = F.coalesce(F.sum("count").over(Window.partitionBy("size").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return counts.select("size", "cell", F.floor(upto / PACK).cast("int").alias("shelf"), F.ceil(F.col("count") / PACK).cast("int").alias("of"))
 
-    def search(self, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", earlier: bool = False, all_cells: bool = False) -> DataFrame:
-        """``query, key, similarity, rank``: the k most alike rows found for each query, ties by the smallest key; ``earlier``: with smaller keys only.
+    def search(self, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", earlier: bool = False, all_cells: bool = False, least: float = -2.0) -> DataFrame:
+        """``query, key, similarity, rank``: the k most alike rows found for each query, ties by the smallest key; ``earlier``: with smaller keys only; ``least``: as alike as that.
 
         ``all_cells`` is the exact way.  A pack of queries of neighbouring cells meets the shelves in which any of them looks into a cell, and a query is
         compared with the rows of its own cells there; a vector is in one pack and on one shelf, however many cells are looked into.
         """
-        asked = self.placed(units(queries, key, vector), len(self.centres) if all_cells else self.probes)
+        asked = self.placed(dealt(units(queries, key, vector)), len(self.centres) if all_cells else self.probes)
         shelves = written(self.shelves(), "shelves")
         # The cells that a pack's queries look into are on these shelves, of all sizes of vectors.
         held = shelves.select("size", "cell", F.explode(F.sequence(F.col("shelf"), F.col("shelf") + F.col("of") - 1)).alias("shelf")).groupBy("size", "shelf").agg(F.collect_set("cell").alias("held"))
@@ -111,19 +131,23 @@ class Index:
                     looked[np.arange(len(a))[:, None], looks.values.flatten().to_numpy().reshape(len(a), -1)] = True
                     at_cell = of.values.to_numpy()
                     u, w = (x.values.to_numpy(zero_copy_only=False).reshape(n, -1) for x, n in ((flat, len(a)), (flat2, len(b))))
-                    for i in range(0, len(a), 256):
-                        near = np.round(u[i : i + 256] @ w.T, 6) + 0.0
-                        names = a[i : i + 256, None]
-                        near[(b[None, :] >= names) if earlier else (b[None, :] == names)] = -np.inf
-                        near[~looked[i : i + 256][:, at_cell]] = -np.inf
-                        kth = np.partition(near, -k, axis=1)[:, -k, None] if len(b) > k else -2
-                        of_query, at = np.nonzero((near >= kth) & (near > -np.inf))
-                        order = np.lexsort((b[at], -near[of_query, at], of_query))
-                        of_query, at = of_query[order], at[order]
+                    # Only queries that look into a cell here, and the rows of the cells that they look into.
+                    asking = np.flatnonzero(looked[:, np.unique(at_cell)].any(axis=1))
+                    there = np.flatnonzero(looked[asking].any(axis=0)[at_cell])
+                    for i in range(0, len(asking), 256):
+                        of_pack = asking[i : i + 256]
+                        names = a[of_pack, None]
+                        may = looked[of_pack][:, at_cell[there]] & ((b[there] < names) if earlier else (b[there] != names))
+                        near = np.where(may, u[of_pack] @ w[there].T, -np.inf)
+                        kth = near.max(axis=1, initial=-np.inf)[:, None] if k == 1 else np.partition(near, -k, axis=1)[:, -k, None] if len(there) > k else -2
+                        # Ties after the rounding are at most one unit of it below the k-th.
+                        of_query, at = np.nonzero((near >= np.maximum(kth, least) - 2e-6) & (near > -np.inf))
+                        alike = np.round(near[of_query, at], 6) + 0.0
+                        order = np.lexsort((b[there[at]], -alike, of_query))
+                        of_query, at, alike = of_query[order], at[order], alike[order]
                         best = np.arange(len(at)) - np.searchsorted(of_query, of_query) < k
-                        of_query, at = of_query[best], at[best]
-                        if len(at):
-                            yield pa.RecordBatch.from_arrays([mine.values.take(pa.array(of_query + i)), theirs.values.take(pa.array(at)), pa.array(near[of_query, at])], names=["query", key, "similarity"])
+                        if best.any():
+                            yield pa.RecordBatch.from_arrays([mine.values.take(pa.array(of_pack[of_query[best]])), theirs.values.take(pa.array(there[at[best]])), pa.array(alike[best])], names=["query", key, "similarity"])
 
         found = pairs.mapInArrow(compared, f"query {kind}, {key} {kind}, similarity double")
         order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
@@ -143,10 +167,10 @@ def duplicates(rows: DataFrame, max_distance: float, key: str = "vec_id", vector
 
     Equal directions go as one: their least key stands for them in the index and answers for the others, so copies, however many, cost a grouping.
     """
-    at = written(units(rows, key, vector).withColumn("unit", F.transform("unit", lambda x: F.round(x, 9))), "rounded")
-    named = at.groupBy("unit").agg(F.min("id").alias("first"))
-    copies = at.join(named, "unit").filter(F.col("id") != F.col("first")).select(F.col("id").alias(key), F.col("first").alias("duplicate_of"), F.lit(0.0).alias("distance"))
-    firsts = written(named.select(F.col("first").alias(key), F.col("unit").alias(vector)), "firsts")
-    found = Index(firsts, key, vector, k=1, recall=recall).search(firsts, 1, key, vector, earlier=True)
+    at = written(units(rows, key, vector, digits=9).select("id", "unit"), "rounded")
+    named = written(at.groupBy("unit").agg(F.min("id").alias("first"), F.count("*").alias("n")), "firsts")
+    copies = at.join(named.filter("n > 1"), "unit").filter(F.col("id") != F.col("first")).select(F.col("id").alias(key), F.col("first").alias("duplicate_of"), F.lit(0.0).alias("distance"))
+    firsts = named.select(F.col("first").alias(key), F.col("unit").alias(vector))
+    found = Index(firsts, key, vector, k=1, recall=recall).search(firsts, 1, key, vector, earlier=True, least=1 - max_distance)
     near = found.select(F.col("query").alias(key), F.col(key).alias("duplicate_of"), (F.round(1 - F.col("similarity"), 6) + F.lit(0.0)).alias("distance"))
     return near.filter(F.col("distance") <= max_distance).unionByName(copies)

@@ -46,3 +46,17 @@ def test_empty_and_tiny(spark, grouped):
     few = grouped.filter("vec_id in (1, 2, 41)")
     assert sorted(x["vec_id"] for x in cells.Index(few).search(few.filter("vec_id = 1"), 5).collect()) == [2, 41]
     assert cells.Index(few).search(few, 2).agg(F.max("rank")).first()[0] == 2
+
+
+def test_vectors_are_scaled_as_matrices_and_dealt_out(spark, grouped):
+    """Lengths come from whole batches, not from a function for each number, and one file's rows are in many tasks."""
+    found = cells.units(grouped, "vec_id", "embedding", digits=9)
+    assert "transform(" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {x["id"]: x["unit"] for x in found.collect()}
+    want = {x["vec_id"]: np.array(x["embedding"]) for x in grouped.filter("vec_id is not null and embedding is not null and vec_id not in (3000, 3002)").collect()}
+    assert set(got) == set(want) and all(np.abs(np.array(got[k]) - v / np.linalg.norm(v)).max() < 1e-8 for k, v in want.items())
+    index = cells.Index(grouped.coalesce(1))
+    assert index.rows.select(F.input_file_name()).distinct().count() > 1
+    close = index.search(grouped.filter("vec_id < 60"), 3, least=0.9)
+    whole = index.search(grouped.filter("vec_id < 60"), 3).filter("similarity >= 0.9")
+    assert {(x["query"], x["vec_id"]) for x in close.filter("similarity >= 0.9").collect()} == {(x["query"], x["vec_id"]) for x in whole.collect()}
