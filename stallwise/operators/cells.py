@@ -131,23 +131,25 @@ class Index:
                     looked[np.arange(len(a))[:, None], looks.values.flatten().to_numpy().reshape(len(a), -1)] = True
                     at_cell = of.values.to_numpy()
                     u, w = (x.values.to_numpy(zero_copy_only=False).reshape(n, -1) for x, n in ((flat, len(a)), (flat2, len(b))))
-                    # Only queries that look into a cell here, and the rows of the cells that they look into.
-                    asking = np.flatnonzero(looked[:, np.unique(at_cell)].any(axis=1))
-                    there = np.flatnonzero(looked[asking].any(axis=0)[at_cell])
-                    for i in range(0, len(asking), 256):
-                        of_pack = asking[i : i + 256]
-                        names = a[of_pack, None]
-                        may = looked[of_pack][:, at_cell[there]] & ((b[there] < names) if earlier else (b[there] != names))
-                        near = np.where(may, u[of_pack] @ w[there].T, -np.inf)
-                        kth = near.max(axis=1, initial=-np.inf)[:, None] if k == 1 else np.partition(near, -k, axis=1)[:, -k, None] if len(there) > k else -2
-                        # Ties after the rounding are at most one unit of it below the k-th.
-                        of_query, at = np.nonzero((near >= np.maximum(kth, least) - 2e-6) & (near > -np.inf))
-                        alike = np.round(near[of_query, at], 6) + 0.0
-                        order = np.lexsort((b[there[at]], -alike, of_query))
-                        of_query, at, alike = of_query[order], at[order], alike[order]
-                        best = np.arange(len(at)) - np.searchsorted(of_query, of_query) < k
-                        if best.any():
-                            yield pa.RecordBatch.from_arrays([mine.values.take(pa.array(of_pack[of_query[best]])), theirs.values.take(pa.array(there[at[best]])), pa.array(alike[best])], names=["query", key, "similarity"])
+                    parts = []
+                    for cell in np.unique(at_cell):  # a cell's rows meet the queries that look into it
+                        there, asking = np.flatnonzero(at_cell == cell), np.flatnonzero(looked[:, cell])
+                        for i in range(0, len(asking), 512):
+                            some = asking[i : i + 512]
+                            names, near = a[some, None], u[some] @ w[there].T
+                            near[(b[there] >= names) if earlier else (b[there] == names)] = -np.inf
+                            kth = near.max(axis=1, initial=-np.inf)[:, None] if k == 1 else np.partition(near, -k, axis=1)[:, -k, None] if len(there) > k else -2
+                            # Ties after the rounding are at most one unit of it below the k-th.
+                            of_query, at = np.nonzero((near >= np.maximum(kth, least) - 2e-6) & (near > -np.inf))
+                            parts.append((some[of_query], there[at], np.round(near[of_query, at], 6) + 0.0))
+                    if not parts:
+                        continue
+                    of_query, at, alike = (np.concatenate(x) for x in zip(*parts))
+                    order = np.lexsort((b[at], -alike, of_query))
+                    of_query, at, alike = of_query[order], at[order], alike[order]
+                    best = np.arange(len(at)) - np.searchsorted(of_query, of_query) < k
+                    if best.any():
+                        yield pa.RecordBatch.from_arrays([mine.values.take(pa.array(of_query[best])), theirs.values.take(pa.array(at[best])), pa.array(alike[best])], names=["query", key, "similarity"])
 
         found = pairs.mapInArrow(compared, f"query {kind}, {key} {kind}, similarity double")
         order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
